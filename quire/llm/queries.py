@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module of this subpackage that defines it.
 MODULES = {
+    "op1_quality_model": "quality_model",
     "op2_byte_bpe": "byte_bpe",
     "op3_quality_rules": "quality_rules",
+    "op4_pii": "pii",
     "op5_interleave": "sharding",
+    "op6_pivot_search": "pivot_search",
     "op7_packing": "packing",
+    "op8_warc": "warc",
     "op9_simhash": "simhash",
+    "op10_preferences": "chat_format",
 }
 
 
