@@ -1,22 +1,25 @@
-"""Token ids of whole texts under the word-end BPE vocabulary, with a bounded word memo per worker.
+"""Token ids of whole texts under the word-end BPE vocabulary, with a bounded memo per worker.
 
-The vocabulary splits lower-cased text into pieces that are encoded apart from each other, so a piece's
-ids are looked up once and joined. Texts outside ASCII and the accented Latin-1 letters, and texts that
-may hold a special token, go through the tokenizer itself, so results equal its own for any text.
+The vocabulary drops white space and splits the rest into pieces that are encoded apart from each other,
+so what stands between white space (a chunk) has ids of its own, looked up once and joined. Texts outside
+ASCII and the accented Latin-1 letters, and texts that may hold a special token, go through the tokenizer
+itself, so results equal its own for any text.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
+from itertools import islice
 
 import numpy as np
 
-LETTERS = "a-zß-öø-ÿ"
-PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
-PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ \\t-\\r{LETTERS}0-9]+")
-#: Entries of the memo; it is emptied when full, which costs time but no correctness.
-MEMO_WORDS = 500_000
+#: Lower-casing and white space are the same here and in the tokenizer; normalisation changes nothing.
+PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
+#: Chunks that the memo may hold; half of it goes when it is full, which costs time but no correctness.
+MEMO_CHUNKS = 800_000
 
 
 class WordEncoder:
@@ -24,39 +27,48 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.whole, self.bare):
+            t.no_truncation()
+            t.no_padding()
+        self.bare.normalizer = normalizers.Sequence([])  # chunks are lower-cased already
+        self.batch = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
         self.memo: dict[str, bytes] = {}
 
     def slow(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: list[str]) -> None:
+        """Add the ids of chunks; collections are put off while short-lived lists are made."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            for at in range(0, len(chunks), 4096):
+                some = chunks[at : at + 4096]
+                self.memo.update(zip(some, [array("I", e.ids).tobytes() for e in self.batch(some, add_special_tokens=False)], strict=True))
+        finally:
+            if collecting:
+                gc.enable()
 
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        out: list[bytes] = []
-        at, pending = [], []
+        if len(self.memo) > MEMO_CHUNKS:
+            for old in list(islice(self.memo, MEMO_CHUNKS // 2)):
+                del self.memo[old]
+        out: list[bytes] = [b""] * len(texts)
+        chunks = {}
         for k, text in enumerate(texts):
             if not text:
-                out.append(b"")
-            elif "<|" in text or not PLAIN.fullmatch(text):
-                out.append(self.slow(text))
+                continue
+            if "<|" in text or not PLAIN.fullmatch(text):
+                out[k] = self.slow(text)
             else:
-                out.append(b"")
-                at.append(k)
-                pending.append(PIECE.findall(text.lower()))
+                chunks[k] = text.lower().split()
         memo = self.memo
-        for start in range(0, len(pending), 64):
-            some = pending[start : start + 64]
-            missing = list(set().union(*some) - memo.keys())
-            for word, e in zip(missing, self.batch(missing, add_special_tokens=False), strict=True):
-                memo[word] = np.array(e.ids, "<u4").tobytes()
-            for k, pieces in zip(at[start : start + 64], some, strict=True):
-                out[k] = b"".join(map(memo.__getitem__, pieces))
+        self.learn(list(set().union(*chunks.values()).difference(memo)))
+        for k, some in chunks.items():
+            out[k] = b"".join([memo[c] for c in some])
         return out
 
 
