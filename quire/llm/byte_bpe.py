@@ -31,7 +31,7 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{
 TABLE_WORDS = 1_000_000
 TABLE_BYTES = 64 << 20
 #: Text bytes of one vectorised batch.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 
 
 def special_tokens(path: str) -> dict[str, int]:
@@ -109,14 +109,8 @@ def _as_binary_rows(taken: pa.Array, first: np.ndarray, last: np.ndarray) -> pa.
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(rows.tobytes()), taken.buffers()[2] or pa.py_buffer(b"")])
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", words: pa.Table | None = None) -> DataFrame:
-    """(id, ids): ids is the little-endian unsigned 32-bit ids of the text, as one binary value."""
-    if words is None:
-        words = word_table(docs, path, text_col)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, words.schema) as w:
-        w.write_table(words)
-    shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+def _encoding(shared, path: str):
+    """Batches (id, words) to batches (id, ids), by the shared table."""
 
     def run(batches):
         held = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
@@ -139,9 +133,24 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 joined = _as_binary_rows(ids.take(index), local[:-1], local[1:])
                 yield pa.record_batch([b.column(0).slice(start, stop - start), joined.cast(pa.binary())], names=["id", "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    return run
+
+
+def _split_and_table(docs: DataFrame, path: str, id_col: str, text_col: str, words: pa.Table | None):
+    """Documents as (id, words), and the word table as a broadcast."""
+    if words is None:
+        words = word_table(docs, path, text_col)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, words.schema) as w:
+        w.write_table(words)
     split = docs.select(ticked(id_col).alias("id"), split_words(ticked(text_col).cast("string"), list(special_tokens(path))).alias("words"))
-    return split.mapInArrow(run, f"id {kind}, ids binary")
+    return split, docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", words: pa.Table | None = None) -> DataFrame:
+    """(id, ids): ids is the little-endian unsigned 32-bit ids of the text, as one binary value."""
+    split, shared = _split_and_table(docs, path, id_col, text_col, words)
+    return split.mapInArrow(_encoding(shared, path), f"id {split.schema['id'].dataType.simpleString()}, ids binary")
 
 
 def piece_table(path: str) -> pa.Array:
@@ -156,8 +165,8 @@ def piece_table(path: str) -> pa.Array:
     return pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.large_binary())
 
 
-def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (id, ids) with the decoded text added; bytes that are not UTF-8 become U+FFFD."""
+def _decoding(path: str):
+    """Batches (id, ids) to batches (id, ids, decoded)."""
 
     def run(batches):
         pieces = piece_table(path)
@@ -176,14 +185,26 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
                 some = b.slice(start, stop - start)
                 yield pa.record_batch([some.column(0), some.column(1), text.cast(pa.string())], names=["id", "ids", "decoded"])
 
-    return encoded.mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, ids binary, decoded string")
+    return run
+
+
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """encoded (id, ids) with the decoded text added; bytes that are not UTF-8 become U+FFFD."""
+    return encoded.mapInArrow(_decoding(path), f"id {encoded.schema['id'].dataType.simpleString()}, ids binary, decoded string")
+
+
+def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", words: pa.Table | None = None) -> DataFrame:
+    """decode_documents(encode_documents(...)) in one pass: one Python worker a task instead of two."""
+    split, shared = _split_and_table(docs, path, id_col, text_col, words)
+    encode, decode = _encoding(shared, path), _decoding(path)
+    return split.mapInArrow(lambda batches: decode(encode(batches)), f"id {split.schema['id'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    found = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    found = encode_and_decode(table(spark, sf_dir, "documents"), path)
     return found.select(
         F.col("id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
