@@ -2,4 +2,126 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from quire.llm.quality_rules import DELTA, GRID, MIN_WORDS, RISK
+
+_cases = ", ".join(f"('{rule}', {float(c)!r}::double)" for rule, cutoffs in GRID.items() for c in cutoffs)
+
+OP3 = rf"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
+), counts AS (
+  SELECT words.doc_id, stratum, len(w) AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words,
+         len(lines) AS n_lines,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
+  FROM words LEFT JOIN covered ON words.doc_id = covered.doc_id
+), judged AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN n_symbols::double / n_words::double ELSE 0 END AS symbols,
+    CASE WHEN n_lines > 0 THEN n_dup_lines::double / n_lines::double ELSE 0 END AS dup_lines,
+    CASE WHEN n_words > 0 THEN n_repeat_words::double / n_words::double ELSE 0 END AS repeats,
+    CASE WHEN word_chars > 0 THEN n_capitals::double / word_chars::double ELSE 0 END AS capitals,
+    CASE WHEN n_words > 0 THEN word_chars::double / n_words::double ELSE 0 END AS word_length
+  FROM counts
+), long AS (
+  SELECT doc_id, stratum, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'word_length']) AS rule,
+         unnest([symbols, dup_lines, repeats, capitals, word_length]) AS v FROM judged
+), good AS (
+  SELECT doc_id, avg(quality::double) >= 0.5 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), grid(rule, cutoff) AS (VALUES {_cases}),
+tests AS (
+  SELECT stratum, l.rule, cutoff, sum(good::int) AS n, sum((good AND v > cutoff)::int) AS k, sum((NOT good AND v > cutoff)::int) AS caught
+  FROM long l JOIN good USING (doc_id) JOIN grid g ON g.rule = l.rule WHERE NOT base_failed GROUP BY ALL
+), certified AS (
+  SELECT *, (SELECT count(DISTINCT stratum) FROM tests) * (SELECT count(*) FROM grid) AS m,
+    CASE WHEN k > n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k::bigint + 1), lambda i:
+      exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) END AS tail
+  FROM tests WHERE n > 0 AND caught > 0
+), chosen AS (
+  SELECT stratum, rule, arg_max(cutoff, {{'caught': caught, 'cutoff': cutoff}}) AS cutoff FROM certified WHERE tail <= {DELTA} / m GROUP BY stratum, rule
+), hits AS (
+  SELECT doc_id, bool_or(v > cutoff) AS over FROM long JOIN chosen USING (stratum, rule) GROUP BY doc_id
+)
+SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines,
+       n_repeat_words::bigint AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(over, false) AS kept
+FROM judged LEFT JOIN hits USING (doc_id)
+"""
+
+OP5 = """
+WITH RECURSIVE steps AS (
+  SELECT i::bigint AS i, 0 AS n, i::bigint AS c FROM range(256) t(i)
+  UNION ALL
+  SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE n < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM steps WHERE n = 8
+), rows AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 8 AS size, coalesce(text, '') AS text,
+         md5('42:' || coalesce(doc_id::varchar, '')) AS digest,
+         CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS stratum
+  FROM documents
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY digest, doc_id) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM rows
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::double / (2 * n)::double, stratum, digest, doc_id) - 1 AS p, count(*) OVER () AS total FROM ranked
+)
+SELECT doc_id, size::bigint AS size,
+       xor(4294967295, list_reduce(list_transform(range(0, strlen(text)), lambda k: ('0x' || hx[2 * k + 1:2 * k + 2])::bigint),
+           lambda a, byte: xor(a >> 8, tab[(xor(a, byte) & 255) + 1]), 4294967295))::bigint AS text_crc32, 'rows' AS law, (p * 24 // total)::int AS shard,
+       (p - ((p * 24 // total) * total + 23) // 24)::bigint AS slot, NULL::int AS grown_shard
+FROM (SELECT *, hex(encode(text)) AS hx FROM placed), crc
+"""
+
+OP8 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), b AS (
+  SELECT *, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * g + 1, 5))::int >> s) & 31) + 1, 1)), '')), '') AS digest,
+         min(page_id) OVER (PARTITION BY html) AS least
+  FROM p
+)
+SELECT page_id, strlen(html)::bigint AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM b
+"""
+
+OP10 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS cut FROM conversations
+), s AS (
+  SELECT conv_id, turn, role, text AS a, CASE WHEN turn = cut AND role = 'assistant' THEN substr(text, 1, length(text) // 2) ELSE text END AS b FROM t
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, a) AS i FROM s
+), f AS (
+  SELECT *, coalesce(min(CASE WHEN a <> b THEN i END) OVER (PARTITION BY conv_id) - 1, count(*) OVER (PARTITION BY conv_id)) AS n FROM o
+), r AS (
+  SELECT *, '<|' || role || '|>' || chr(10) AS head, a || '<|end|>' || chr(10) AS ta, b || '<|end|>' || chr(10) AS tb FROM f
+), m AS (
+  SELECT *, coalesce(sum(length(head || ta)) OVER w, 0) AS at_a, coalesce(sum(length(head || tb)) OVER w, 0) AS at_b
+  FROM r WINDOW w AS (PARTITION BY conv_id, i > n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT conv_id, CASE WHEN count(*) FILTER (i > n) = 0 THEN 'identical' ELSE 'paired' END AS status,
+       count(*) FILTER (i <= n) AS n_prompt_turns, count(*) FILTER (i > n) AS n_chosen_turns, count(*) FILTER (i > n) AS n_rejected_turns,
+       coalesce(string_agg(head || ta, '' ORDER BY i) FILTER (i <= n), '') AS prompt,
+       coalesce(string_agg(head || ta, '' ORDER BY i) FILTER (i > n), '') AS chosen,
+       coalesce(string_agg(head || tb, '' ORDER BY i) FILTER (i > n), '') AS rejected,
+       coalesce(string_agg((at_a + length(head))::bigint || ':' || (at_a + length(head) + length(ta) - 1)::bigint, ',' ORDER BY i) FILTER (i > n AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg((at_b + length(head))::bigint || ':' || (at_b + length(head) + length(tb) - 1)::bigint, ',' ORDER BY i) FILTER (i > n AND role = 'assistant'), '') AS rejected_mask
+FROM m GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op3_quality_rules": OP3, "op5_interleave": OP5, "op8_warc": OP8, "op10_preferences": OP10}
