@@ -44,18 +44,23 @@ GRID: dict[str, list[float]] = {
 RULES = list(GRID)
 
 
-def repeated_window_words(words: Column, width: int = 3) -> Column:
-    """How many words lie in windows of `width` words that occur twice or more in the same text."""
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), n - width)
-    hashed = F.sort_array(F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)])))
-    # Equal windows have equal hashes: without equal neighbours among the sorted hashes nothing repeats.
-    clean = F.size(F.array_distinct(hashed)) == F.size(hashed)
-    windows = F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *[F.get(words, i + k) for k in range(width)]).alias("w"), i.alias("i"))))
-    return F.when((n < width) | clean, F.lit(0)).otherwise(_covered(windows, width))
-
-
-def _covered(windows: Column, width: int) -> Column:
+def with_sorted_windows(df: DataFrame, words: str, out: str, width: int = 3) -> DataFrame:
+    """df with `out`: the sorted (window, start) pairs of the array column `words`; empty where none repeats.
+
+    Equal windows have equal hashes, so without equal hashes nothing repeats. Every array is a column of
+    its own: inside a lambda an expression would be worked out anew for each element.
+    """
+    w, n, hashes = ticked(words), F.size(ticked(words)), spare_name(df, out + "_hashes")
+    starts = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+    hashed = df.withColumn(hashes, F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)])))
+    clean = F.size(F.array_distinct(ticked(hashes))) == F.size(ticked(hashes))
+    places = F.when(clean, F.array().cast("array<int>")).otherwise(starts)
+    windows = F.transform(places, lambda i: F.struct(F.concat_ws(" ", *[F.get(w, i + k) for k in range(width)]).alias("w"), i.alias("i")))
+    return hashed.withColumn(out, F.sort_array(windows)).drop(hashes)
+
+
+def covered_words(windows: Column, width: int = 3) -> Column:
+    """How many words lie in windows that occur twice or more; windows are sorted (window, start) pairs."""
     same = lambda x, j, step: F.coalesce(F.get(windows, j + step)["w"] == x["w"], F.lit(False))
     twice = F.filter(windows, lambda x, j: same(x, j, -1) | same(x, j, 1))
     return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(*[x["i"] + k for k in range(width)])))))
@@ -63,20 +68,19 @@ def _covered(windows: Column, width: int) -> Column:
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a struct column of the counts added; its name is the last of the result."""
-    words, lines, out = (spare_name(docs, x) for x in ("q_words", "q_lines", "q_counts"))
+    words, lines, windows, out = (spare_name(docs, x) for x in ("q_words", "q_lines", "q_windows", "q_counts"))
     text = F.coalesce(ticked(text_col).cast("string"), F.lit(""))
-    with_words = docs.withColumn(words, words_of(text)).withColumn(lines, F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, WORD_SPACE, "")) > 0))
-    n = F.size(words)
+    split = docs.withColumn(words, words_of(text)).withColumn(lines, F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, WORD_SPACE, "")) > 0))
     counts = F.struct(
-        n.cast("long").alias("n_words"),
+        F.size(ticked(words)).cast("long").alias("n_words"),
         F.length(F.translate(text, WORD_SPACE, "")).cast("long").alias("word_chars"),
         count_chars(text, SYMBOLS).alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.col(words)).cast("long").alias("n_repeat_words"),
-        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(ticked(lines)) - F.size(F.array_distinct(ticked(lines)))).cast("long").alias("n_dup_lines"),
+        covered_words(ticked(windows)).cast("long").alias("n_repeat_words"),
+        F.size(ticked(lines)).cast("long").alias("n_lines"),
         count_chars(text, CAPITALS).alias("n_capitals"),
     )
-    return with_words.withColumn(out, counts).drop(words, lines)
+    return with_sorted_windows(split, words, windows).withColumn(out, counts).drop(words, lines, windows)
 
 
 def base_failed(c: Column) -> Column:
