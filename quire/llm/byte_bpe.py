@@ -28,10 +28,10 @@ from quire.llm._shared import materialise, table, ticked
 #: How the vocabulary's pre-tokenizer cuts a text; \s is Unicode white space.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 #: Bounds of the broadcast table.
-TABLE_WORDS = 1_000_000
-TABLE_BYTES = 64 << 20
+TABLE_WORDS = 500_000
+TABLE_BYTES = 32 << 20
 #: Text bytes of one vectorised batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def special_tokens(path: str) -> dict[str, int]:
@@ -63,8 +63,8 @@ def _tokenizer(path: str):
 def _encode_words(tokenizer, words: list[str]) -> pa.Array:
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     out: list[bytes] = []
-    for at in range(0, len(words), 4096):
-        out += [np.array(e.ids, "<u4").tobytes() for e in batch(words[at : at + 4096], add_special_tokens=False)]
+    for at in range(0, len(words), 1024):
+        out += [np.array(e.ids, "<u4").tobytes() for e in batch(words[at : at + 1024], add_special_tokens=False)]
     return pa.array(out, pa.large_binary())
 
 
@@ -76,6 +76,7 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text", max_words: in
     """
 
     def encode(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         tokenizer = _tokenizer(path)
         for b in batches:
             yield pa.record_batch([b.column(0), _encode_words(tokenizer, b.column(0).to_pylist()).cast(pa.binary())], names=["word", "ids"])
@@ -113,6 +114,7 @@ def _encoding(shared, path: str):
     """Batches (id, words) to batches (id, ids), by the shared table."""
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back at once
         held = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
         known = held.column("word").combine_chunks() if held.num_rows else pa.array([], pa.string())
         known_ids = held.column("ids").combine_chunks().cast(pa.large_binary()) if held.num_rows else pa.array([], pa.large_binary())
@@ -169,6 +171,7 @@ def _decoding(path: str):
     """Batches (id, ids) to batches (id, ids, decoded)."""
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         pieces = piece_table(path)
         for b in batches:
             raw = b.column(1)
