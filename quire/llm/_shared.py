@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points that separate words: space and U+0009 to U+000D.
-WORD_SPACE = " \t\n\x0b\x0c\r"
+WORD_SPACE = r"\x20\x09-\x0D"
+WORD_SPACE_RUN = f"[{WORD_SPACE}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +48,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Array of words `[^\\x20\\x09-\\x0D]+`; null text has none."""
-    flat = F.translate(F.coalesce(text, F.lit("")), WORD_SPACE[1:], " " * (len(WORD_SPACE) - 1))
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPACE_RUN), lambda w: w != "")
+
+
+def lines_of(text: Column) -> Column:
+    """Array of the lines that hold a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def count_chars(text: Column, chars: str) -> Column:
-    """How many code points of text are among chars (each below U+10000)."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """How many code points of text are in the character class `chars` (a regular expression)."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))).cast("long")
+
+
+def settled(value: Column) -> Column:
+    """value, worked out once per row where it is defined.
+
+    A condition on a column is otherwise rewritten in terms of the column's inputs, which repeats costly
+    array expressions inside each other's lambdas. A random number that always passes stops that.
+    """
+    return F.when(F.rand() >= 0.0, value)
 
 
 def spare_name(df: DataFrame, name: str) -> str:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._shared import WORD_SPACE, count_chars, materialise, spare_name, table, ticked, words_of
+from quire.llm._shared import WORD_SPACE, count_chars, lines_of, materialise, settled, spare_name, table, ticked, words_of
 from quire.llm.boosting import Forest, fit_forest
 
 MAX_TRAINING_ROWS = 60_000
@@ -34,19 +34,19 @@ def with_statistics(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     """docs with the array<double> column `out` of the statistics named by FEATURES."""
     words, lines = spare_name(docs, "s_words"), spare_name(docs, "s_lines")
     text = F.coalesce(ticked(text_col).cast("string"), F.lit(""))
-    split = docs.withColumn(words, words_of(text)).withColumn(lines, F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, WORD_SPACE, "")) > 0))
+    split = docs.withColumn(words, words_of(text)).withColumn(lines, lines_of(text))
     n, w, rows = F.length(text).cast("double"), F.size(words).cast("double"), F.size(lines).cast("double")
     per = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
     runs = F.size(F.filter(F.col(words), lambda x, i: x == F.get(F.col(words), i - 1)))
     values = {
         "chars": F.log1p(n),
         "words": F.log1p(w),
-        "word_length": per(F.length(F.translate(text, WORD_SPACE, "")), w),
+        "word_length": per(F.length(text) - count_chars(text, WORD_SPACE), w),
         "symbols": per(count_chars(text, "#*$%&<>"), w),
         "bangs": per(count_chars(text, "!?"), w),
         "bars": per(count_chars(text, "|"), w),
-        "capitals": per(count_chars(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n),
-        "digits": per(count_chars(text, "0123456789"), n),
+        "capitals": per(count_chars(text, "A-Z"), n),
+        "digits": per(count_chars(text, "0-9"), n),
         "stops": per(count_chars(text, "."), w),
         "commas": per(count_chars(text, ",;:"), w),
         "beyond_ascii": per(F.octet_length(text) - F.length(text), n),
@@ -56,7 +56,7 @@ def with_statistics(docs: DataFrame, text_col: str, out: str) -> DataFrame:
         "distinct_words": per(F.size(F.array_distinct(words)), w),
         "word_runs": per(runs, w),
     }
-    return split.withColumn(out, F.array(*[values[f] for f in FEATURES])).drop(words, lines)
+    return split.withColumn(out, settled(F.array(*[values[f] for f in FEATURES]))).drop(words, lines)
 
 
 def fold_of(id_col: Column) -> Column:

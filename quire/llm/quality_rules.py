@@ -24,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._shared import WORD_SPACE, count_chars, materialise, spare_name, table, ticked, words_of
+from quire.llm._shared import WORD_SPACE, count_chars, lines_of, materialise, settled, spare_name, table, ticked, words_of
 
 SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CAPITALS = "A-Z"
 MIN_WORDS = 50
 #: Largest share of a stratum's good documents that one rule may reject, and the chance to miss it.
 RISK = 0.01
@@ -70,17 +70,17 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a struct column of the counts added; its name is the last of the result."""
     words, lines, windows, out = (spare_name(docs, x) for x in ("q_words", "q_lines", "q_windows", "q_counts"))
     text = F.coalesce(ticked(text_col).cast("string"), F.lit(""))
-    split = docs.withColumn(words, words_of(text)).withColumn(lines, F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, WORD_SPACE, "")) > 0))
+    split = docs.withColumn(words, words_of(text)).withColumn(lines, lines_of(text))
     counts = F.struct(
         F.size(ticked(words)).cast("long").alias("n_words"),
-        F.length(F.translate(text, WORD_SPACE, "")).cast("long").alias("word_chars"),
+        (F.length(text) - count_chars(text, WORD_SPACE)).cast("long").alias("word_chars"),
         count_chars(text, SYMBOLS).alias("n_symbols"),
         (F.size(ticked(lines)) - F.size(F.array_distinct(ticked(lines)))).cast("long").alias("n_dup_lines"),
         covered_words(ticked(windows)).cast("long").alias("n_repeat_words"),
         F.size(ticked(lines)).cast("long").alias("n_lines"),
         count_chars(text, CAPITALS).alias("n_capitals"),
     )
-    return with_sorted_windows(split, words, windows).withColumn(out, counts).drop(words, lines, windows)
+    return with_sorted_windows(split, words, windows).withColumn(out, settled(counts)).drop(words, lines, windows)
 
 
 def base_failed(c: Column) -> Column:
