@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _families():
+    from quire.plans import catalog_queries, text_queries, usage_queries
+
+    return text_queries, catalog_queries, usage_queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for family in _families() for name, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in _families() for name, sql in family.SQL.items() if sql}
