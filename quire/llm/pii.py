@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -291,7 +292,6 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with personal data masked in the text; length_col, where there is one, follows the new text."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
