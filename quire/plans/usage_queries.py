@@ -1 +1,132 @@
+"""Queries on metering, admission, jobs, cursors and practice."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.functions.text import tokens
+from quire.operators import jobs, practice, usage
+from quire.plans.carriers import table
+from quire.plans.catalog_queries import _view
+
 QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_amount = "CAST(floor(value * 1000) AS BIGINT) - 20000"
+_facts = "SELECT user_id AS uid, COUNTERS FROM {events}"
+_kinds = usage.COUNTERS[:5]
+_counters = ", ".join([f"CASE WHEN event_id % 5 = {k} THEN {_amount} ELSE 0 END AS {c}" for k, c in enumerate(_kinds)] + [f"CASE WHEN event_id % 3 = {k} THEN 1 ELSE 0 END AS {c}" for k, c in enumerate(("model_calls", "speech_calls", "store_calls"))])
+_sums = ", ".join(f"coalesce(sum(greatest({c}, 0)), 0)::bigint AS {c}" for c in usage.COUNTERS)
+
+
+def _usd(p: str = "") -> str:
+    model = f"{p}model_in_chars / 1000000.0::double * 0.30 + {p}model_out_chars / 1000000.0::double * 2.5"
+    speech = f"{p}speech_chars / 1000000.0::double * 16.0"
+    store = f"{p}upload_bytes / 1073741824.0::double * 0.08 + {p}download_bytes / 1073741824.0::double * 0.12"
+    return f"round({model}, 6) AS model_usd, round({speech}, 6) AS speech_usd, round({store}, 6) AS store_usd, round(({model}) + ({speech}) + ({store}), 6) AS total_usd"
+
+
+@query(f"""WITH f AS (SELECT user_id AS uid, {_counters} FROM events), everyone AS (SELECT c_custkey AS uid FROM customer WHERE c_custkey <= 20 UNION SELECT uid FROM f),
+ s AS (SELECT e.uid, grouping(e.uid) = 1 AS is_total, {_sums} FROM everyone e LEFT JOIN f ON e.uid = f.uid GROUP BY ROLLUP (e.uid))
+ SELECT *, {_usd()} FROM s""")
+def usage_report(spark, d):
+    facts = _view(spark, d, _facts.replace("COUNTERS", _counters), "events")
+    accounts = table(spark, d, "customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("uid"))
+    return usage.usage_report(facts, accounts)
+
+
+def _admission_sql(most: int, seconds: int, inclusive: bool) -> str:
+    inside = f"c.t - x <= {seconds}" if inclusive else f"c.t - x < {seconds}"
+    log = f"list_filter(w.log, lambda x: {inside})"
+    return f"""
+WITH RECURSIVE c AS (SELECT user_id, event_id, floor(epoch(ts))::bigint AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
+w AS (
+  SELECT user_id, event_id, t, i, true AS admitted, [t] AS log FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.user_id, c.event_id, c.t, c.i, len({log}) < {most}, CASE WHEN len({log}) < {most} THEN list_append({log}, c.t) ELSE {log} END
+  FROM w JOIN c ON c.user_id = w.user_id AND c.i = w.i + 1
+)
+SELECT user_id, t, event_id, admitted FROM w"""
+
+
+def _calls(spark, d):
+    return table(spark, d, "events").select("user_id", F.unix_timestamp("ts").alias("t"), "event_id")
+
+
+@query(_admission_sql(5, 86_400, True))
+def admission_inclusive(spark, d):
+    return usage.admission(_calls(spark, d), ["user_id"], "t", "event_id", 5, 86_400)
+
+
+@query(_admission_sql(3, 172_800, False))
+def admission_exclusive(spark, d):
+    return usage.admission(_calls(spark, d), ["user_id"], "t", "event_id", 3, 172_800, inclusive=False)
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT user_id, event_id, value AS percent, event_type AS stage, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w AS (
+  SELECT user_id, event_id, percent, stage, i, true AS pushed, percent AS last_p, stage AS last_s FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.user_id, c.event_id, c.percent, c.stage, c.i, c.stage <> w.last_s OR c.percent - w.last_p >= 1.0,
+    CASE WHEN c.stage <> w.last_s OR c.percent - w.last_p >= 1.0 THEN c.percent ELSE w.last_p END, CASE WHEN c.stage <> w.last_s OR c.percent - w.last_p >= 1.0 THEN c.stage ELSE w.last_s END
+  FROM w JOIN c ON c.user_id = w.user_id AND c.i = w.i + 1
+)
+SELECT user_id, event_id, percent, stage, pushed FROM w""")
+def write_throttle(spark, d):
+    updates = table(spark, d, "events").select("user_id", "event_id", F.col("value").alias("percent"), F.col("event_type").alias("stage"))
+    return usage.throttled(updates, ["user_id"], "event_id", "percent", "stage")
+
+
+@query("SELECT user_id, count(*) FILTER (event_id > 500) AS unseen FROM events GROUP BY user_id")
+def unseen_badge(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_id") > 500).alias("unseen"))
+
+
+_row = {
+    "v": "CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 1 ELSE 2 END",
+    "pipeline_version": "CASE WHEN o_orderkey % 5 = 0 THEN 'old' ELSE 'rich-v12' END",
+    "content_hash": "CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE 'h' END",
+    "stage": "CASE WHEN o_orderkey % 13 = 0 THEN ' ' ELSE 'debone' END",
+}
+_now = 883612800  # 1998-01-01
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN v IS NULL THEN 'missing' WHEN v <> 2 THEN 'schema' WHEN p <> 'rich-v12' THEN 'pipeline' WHEN h <> 'h' THEN 'hash' WHEN {_now} - t > 604800 * 100 OR {_now} - t < -300 THEN 'ttl' WHEN trim(s) = '' THEN 'stage' ELSE 'ok' END AS reason,
+ t <= {_now} AS expired FROM (SELECT o_orderkey, {_row['v']} AS v, {_row['pipeline_version']} AS p, {_row['content_hash']} AS h, {_row['stage']} AS s, floor(epoch(o_orderdate))::bigint AS t FROM orders)""")
+def checkpoint_reasons(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", *[F.expr(e).alias(c) for c, e in _row.items()], F.unix_timestamp("o_orderdate").alias("updated_at"))
+    row = {c: F.col(c) for c in (*_row, "updated_at")}
+    reason = jobs.checkpoint_reason(row, F.lit(_now), 2, "rich-v12", F.lit("h"), ttl_hours=168 * 100)
+    return rows.select("o_orderkey", reason.alias("reason"), jobs.lease_expired(F.col("updated_at"), F.lit(_now)).alias("expired"))
+
+
+@query("""SELECT c_custkey, greatest(least(c_custkey, (c_nationkey * 10) - 1), 0)::bigint AS clamped, CASE WHEN c_nationkey > 0 THEN ((c_custkey - 7) % c_nationkey + c_nationkey) % c_nationkey ELSE 0 END::bigint AS wrapped FROM customer""")
+def cursors(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", jobs.clamp_cursor(F.col("c_custkey"), F.col("c_nationkey") * 10).cast("long").alias("clamped"), jobs.wrap_cursor(F.col("c_custkey"), F.lit(-7), F.col("c_nationkey")).cast("long").alias("wrapped"))
+
+
+@query("""SELECT l_orderkey, count(*) >= 2 AND bool_and(l_returnflag = 'N' AND l_linestatus = 'O') FILTER (k <= 2) AS full_pass
+ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS k FROM lineitem) GROUP BY l_orderkey""")
+def full_pass(spark, d):
+    slot = F.struct("l_linenumber", "l_partkey", "l_returnflag", F.when(F.col("l_returnflag") == "N", "recorded").otherwise("skipped").alias("status"), F.when(F.col("l_linestatus") == "O", "b").alias("blob_key"))
+    slots = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(slot)).alias("slots"))
+    return slots.select("l_orderkey", jobs.full_pass(F.col("slots"), F.lit(2)).alias("full_pass"))
+
+
+@query(None)
+def token_diff(spark, d):
+    """Steps between each turn's words and those of the answer's turn before it, by place."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", tokens(F.col("text")).alias("w"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("w").alias("p"))
+    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", practice.token_diff(F.col("p"), F.col("w")).alias("steps"))
