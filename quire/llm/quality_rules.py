@@ -161,7 +161,7 @@ def verdict(counts: Column, stratum: Column, cutoffs: dict[str, dict[str, float]
         limit = None
         for s, c in by.items():
             if s:
-                limit = (limit or F).when(stratum == s, F.lit(c))
+                limit = (F if limit is None else limit).when(stratum == s, F.lit(c))
         if limit is not None:
             over = over | (rules[name] > limit.otherwise(F.lit(by.get("", float("inf")))))
         elif "" in by:

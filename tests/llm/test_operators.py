@@ -122,9 +122,11 @@ def test_certified_cutoffs_reject(spark):
     from quire.llm.quality_rules import keep_good
 
     rows = [(k, prose(k, 60), "en") for k in range(1200)] + [(5000 + k, " ".join(w + "$$" for w in prose(k, 60).split()), "en") for k in range(40)]
+    rows += [(i + 10_000, t, "fr") for i, t, _ in rows] + [(30_000, rows[-1][1], "es")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(r[0], int(r[0] < 5000)) for r in rows if r[0] != 5001], "doc_id long, quality int")
-    assert {r.doc_id for r in keep_good(docs, labels).collect()} == set(range(1200))
+    labels = spark.createDataFrame([(r[0], int(r[0] % 10_000 < 5000)) for r in rows if r[0] not in (5001, 30_000)], "doc_id long, quality int")
+    # A stratum without labels rejects nothing beyond the base rule.
+    assert {r.doc_id for r in keep_good(docs, labels).collect()} == {*range(1200), *range(10_000, 11_200), 30_000}
 
 
 def test_classifier(spark, docs, none, labels):
