@@ -130,8 +130,8 @@ def calibrate(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) ->
             F.sum((~F.col("good") & F.col("x.hit")).cast("long")).alias("caught"),
         )
     )
-    count = labelled.select("stratum").distinct().agg((F.count(F.lit(1)) * sum(map(len, GRID.values()))).alias("m"))
-    certified = tests.crossJoin(F.broadcast(count)).where((F.col("n") > 0) & (binomial_tail(F.col("n"), F.col("k"), risk) <= F.lit(delta) / F.col("m")) & (F.col("caught") > 0))
+    tested = labelled.select("stratum").distinct().count() * sum(map(len, GRID.values()))
+    certified = tests.where((F.col("n") > 0) & (binomial_tail(F.col("n"), F.col("k"), risk) <= F.lit(delta / max(tested, 1))) & (F.col("caught") > 0))
     best = F.max(F.struct("caught", "cutoff", "n", "k"))
     return certified.groupBy("stratum", "rule").agg(best.alias("b")).select("stratum", "rule", "b.cutoff", "b.n", "b.k", "b.caught")
 
