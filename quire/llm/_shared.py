@@ -70,6 +70,14 @@ def settled(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lower the session's rows per Arrow batch to `rows`, never raise them: whole texts are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def spare_name(df: DataFrame, name: str) -> str:
     """name, prefixed until no column of df has it (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._shared import materialise, table, ticked
+from quire.llm._shared import bound_batches, materialise, table, ticked
 
 #: How the vocabulary's pre-tokenizer cuts a text; \s is Unicode white space.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
@@ -140,6 +140,7 @@ def _encoding(shared, path: str):
 
 def _split_and_table(docs: DataFrame, path: str, id_col: str, text_col: str, words: pa.Table | None):
     """Documents as (id, words), and the word table as a broadcast."""
+    bound_batches(docs.sparkSession)
     if words is None:
         words = word_table(docs, path, text_col)
     sink = pa.BufferOutputStream()

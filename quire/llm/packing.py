@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._shared import materialise, table, ticked
+from quire.llm._shared import bound_batches, materialise, table, ticked
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -156,6 +156,7 @@ def pack_documents(
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     source = docs.select(ticked(id_col).alias("id"), ticked(text_col).cast("string").alias("text"))
     pieces = materialise(

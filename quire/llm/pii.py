@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._shared import spare_name, table, ticked
+from quire.llm._shared import bound_batches, spare_name, table, ticked
 
 KINDS = ("email", "ip", "card", "phone")
 #: The guard before an ip changes no match (a run of digits fails or holds as a whole); it keeps time linear.
@@ -286,6 +286,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = [scan(t) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([render(x) for x, _ in found], pa.string()), pa.array([render(x) for _, x in found], pa.string())], names=["id", "base", "added"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(ticked(id_col).alias("id"), ticked(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, base string, added string")
 
@@ -297,6 +298,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     def masked(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else mask(t, [s for part in scan(t) for s in part]) for t in texts], dtype=object)
 
+    bound_batches(docs.sparkSession)
     new = spare_name(docs, "masked")
     out = docs.withColumn(new, masked(ticked(text_col).cast("string")))
     replaced = {text_col: ticked(new)}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._shared import materialise, ticked
+from quire.llm._shared import bound_batches, materialise, ticked
 
 BITS = 64
 SHINGLE = 3
@@ -56,6 +56,7 @@ def _fingerprint_batches(batches):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): one row per row of docs; fp is the fingerprint as a signed long."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(ticked(id_col).alias("id"), ticked(text_col).cast("string").alias("text")).mapInArrow(
         _fingerprint_batches, f"id {kind}, fp long"
