@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,32 +40,39 @@ def candidates(captions: DataFrame, images: DataFrame, page: list[str]) -> DataF
     return near.withColumn("mode", mode).where("mode is not null").select(*page, "caption_no", "image_no", "mode", F.when(F.col("mode") == 0, below).otherwise(above).alias("gap"), area.alias("area"), *[F.col("i" + b).alias(b) for b in boxes])
 
 
-def _shares(a, b) -> bool:
-    w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
-    least = min((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))
-    return w > 0 and h > 0 and w * h > OVERLAP * least
+def _shares(a: tuple, b: tuple) -> bool:
+    """Whether two boxes (x0, y0, x1, y1) overlap by more than OVERLAP of the smaller."""
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    return w > 0 and h > 0 and w * h > OVERLAP * min((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b))
 
 
 def assign(captions: DataFrame, images: DataFrame, page: list[str]) -> DataFrame:
     """(page, caption_no, image_no, mode): in caption order each takes its best image not yet covered.
 
-    Candidates come from a join bounded by the page; the choice is sequential within a page, which is small.
+    Candidates come from a join bounded by the page, best first; the choice is sequential within a page
+    and runs over whole partitions, holding the boxes taken on one page.
     """
+    boxes = ["x0", "y0", "x1", "y1"]
     found = candidates(captions, images, page)
     kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in [*page, "caption_no", "image_no", "mode"])
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = [], []
-        ordered = pdf.assign(size=-pdf["area"]).sort_values(["caption_no", "mode", "gap", "size", "image_no"], kind="stable")
-        for _, options in ordered.groupby("caption_no", sort=True):
-            for o in options.itertuples():
-                if not any(_shares(o, u) for u in used):
-                    used.append(o)
-                    rows.append(o.Index)
-                    break
-        return pdf.loc[rows, [*page, "caption_no", "image_no", "mode"]]
-
-    return found.groupBy(*page).applyInPandas(choose, kinds)
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, served, used = None, None, []
+        for pdf in batches:
+            keep = []
+            for row in zip(*[pdf[c] for c in [*page, "caption_no", *boxes]]):
+                where, caption, box = row[: len(page)], row[len(page)], row[len(page) + 1 :]
+                if where != here:
+                    here, served, used = where, None, []
+                take = caption != served and not any(_shares(box, u) for u in used)
+                if take:
+                    served = caption
+                    used.append(box)
+                keep.append(take)
+            yield pdf.loc[keep, [*page, "caption_no", "image_no", "mode"]]
+
+    dealt = found.repartition(*page).sortWithinPartitions(*page, "caption_no", "mode", "gap", F.desc("area"), "image_no")
+    return dealt.mapInPandas(choose, kinds)
 
 
 def column_band(page_x0: Column, page_x1: Column, x0: Column, x1: Column, bleed: float) -> Column:

@@ -147,7 +147,7 @@ def reading_order(spark, d):
     return layout.reading_order(blocks(spark, d), ["doc_id", "page"])
 
 
-_words = "SELECT l_orderkey AS page, (l_linenumber * 40.0 + l_quantity) AS x0, (l_linenumber % 3) * 20.0 AS y0, (l_linenumber * 40.0 + l_quantity + 12 + l_discount * 100) AS x1, (l_linenumber % 3) * 20.0 + 8 AS y1, l_returnflag || l_linenumber AS word FROM {lineitem}"
+_words = "SELECT l_orderkey AS page, (l_linenumber * 40.0 + l_quantity) AS x0, (l_linenumber % 3) * 20.0 AS y0, (l_linenumber * 40.0 + l_quantity + 12 + round(l_discount * 100)) AS x1, (l_linenumber % 3) * 20.0 + 8 AS y1, l_returnflag || l_linenumber AS word FROM {lineitem}"
 
 
 @query(f"""WITH w AS (SELECT *, round(y0 / 2)::bigint AS line FROM ({_words.replace('{lineitem}', 'lineitem')})),
