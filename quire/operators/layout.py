@@ -60,7 +60,7 @@ def caption_lines(words: DataFrame, page: list[str]) -> DataFrame:
     Words share a line when their tops fall into the same 2-point band; a wide gap cuts the line.
     """
     banded = words.withColumn("line", F.round(F.col("y0") / LINE_PT).cast("long"))
-    along = Window.partitionBy(*page, "line").orderBy("x0", "word")
+    along = Window.partitionBy(*page, "line").orderBy("x0", "word", "x1")
     cut = (F.col("x0") - F.lag("x1").over(along) > WORD_GAP_PT).cast("int")
     parts = banded.withColumn("cut", F.coalesce(cut, F.lit(0))).withColumn("part", F.sum("cut").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     grouped = parts.groupBy(*page, "line", "part").agg(

@@ -151,8 +151,8 @@ _words = "SELECT l_orderkey AS page, (l_linenumber * 40.0 + l_quantity) AS x0, (
 
 
 @query(f"""WITH w AS (SELECT *, round(y0 / 2)::bigint AS line FROM ({_words.replace('{lineitem}', 'lineitem')})),
- c AS (SELECT *, coalesce((x0 - lag(x1) OVER (PARTITION BY page, line ORDER BY x0, word) > 14)::int, 0) AS cut FROM w),
- p AS (SELECT *, sum(cut) OVER (PARTITION BY page, line ORDER BY x0, word ROWS UNBOUNDED PRECEDING)::bigint AS part FROM c)
+ c AS (SELECT *, coalesce((x0 - lag(x1) OVER (PARTITION BY page, line ORDER BY x0, word, x1) > 14)::int, 0) AS cut FROM w),
+ p AS (SELECT *, sum(cut) OVER (PARTITION BY page, line ORDER BY x0, word, x1 ROWS UNBOUNDED PRECEDING)::bigint AS part FROM c)
  SELECT page, line, part, min(x0) AS x0, min(y0)::double AS y0, max(x1) AS x1, max(y1)::double AS y1, string_agg(word, ' ' ORDER BY x0, word) AS text FROM p GROUP BY page, line, part""")
 def caption_lines(spark, d):
     rows = _view(spark, d, _words, "lineitem")
