@@ -48,9 +48,9 @@ tests AS (
   SELECT *, (SELECT count(DISTINCT stratum) FROM tests) * (SELECT count(*) FROM grid) AS m,
     CASE WHEN k > n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k::bigint + 1), lambda i:
       exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) END AS tail
-  FROM tests WHERE n > 0 AND caught > 0
+  FROM tests WHERE n > 0 AND caught > k
 ), chosen AS (
-  SELECT stratum, rule, arg_max(cutoff, {{'caught': caught, 'cutoff': cutoff}}) AS cutoff FROM certified WHERE tail <= {DELTA} / m GROUP BY stratum, rule
+  SELECT stratum, rule, arg_max(cutoff, {{'net': caught - k, 'cutoff': cutoff}}) AS cutoff FROM certified WHERE tail <= {DELTA} / m GROUP BY stratum, rule
 ), hits AS (
   SELECT doc_id, bool_or(v > cutoff) AS over FROM long JOIN chosen USING (stratum, rule) GROUP BY doc_id
 )

@@ -5,8 +5,9 @@ Five ratios of these may reject a document above a cutoff. Candidate cutoffs for
 stratum (the document's language) the labelled good documents are a holdout: a cutoff is certified when
 the exact binomial tail P(Binomial(n, risk) <= wrong rejections) is at most delta over the number of all
 tests (strata x rules x cutoffs), so that with probability 1 - delta every certified cutoff rejects at
-most `risk` of the stratum's good documents. Of the certified cutoffs the one that rejects the most
-labelled bad documents is used; of equal ones, the most lenient. A rule without a certified cutoff, and a
+most `risk` of the stratum's good documents. A certified cutoff is worth having when it rejects more
+labelled bad documents than good ones; of those the one with the largest difference is used, and of
+equal ones the most lenient. A rule without a certified cutoff, and a
 stratum without labels, reject nothing beyond the base rule.
 
 Native throughout: windows are sorted inside their row, the binomial tail is a fold over an array, and
@@ -131,8 +132,8 @@ def calibrate(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) ->
         )
     )
     tested = labelled.select("stratum").distinct().count() * sum(map(len, GRID.values()))
-    certified = tests.where((F.col("n") > 0) & (binomial_tail(F.col("n"), F.col("k"), risk) <= F.lit(delta / max(tested, 1))) & (F.col("caught") > 0))
-    best = F.max(F.struct("caught", "cutoff", "n", "k"))
+    certified = tests.where((F.col("n") > 0) & (binomial_tail(F.col("n"), F.col("k"), risk) <= F.lit(delta / max(tested, 1))) & (F.col("caught") > F.col("k")))
+    best = F.max(F.struct((F.col("caught") - F.col("k")).alias("net"), "cutoff", "n", "k", "caught"))
     return certified.groupBy("stratum", "rule").agg(best.alias("b")).select("stratum", "rule", "b.cutoff", "b.n", "b.k", "b.caught")
 
 
