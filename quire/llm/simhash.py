@@ -248,11 +248,12 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     classes = near_duplicate_classes(docs, id_col, text_col, radius)
     kept = materialise(classes.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id").count(), "representatives")
-    mine = docs.join(kept.where("count = 1").select(F.col("id").alias("__kept")), ticked(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    # A merge join at every size: the ids kept grow with the documents and have no bound to broadcast by.
+    mine = docs.join(kept.where("count = 1").select(F.col("id").alias("__kept")).hint("merge"), ticked(id_col).eqNullSafe(F.col("__kept")), "left_semi")
     repeated = kept.where("count > 1").select(F.col("id").alias("__kept"))
     if repeated.isEmpty():
         return mine
-    return mine.unionByName(docs.join(repeated, ticked(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col]))
+    return mine.unionByName(docs.join(repeated.hint("merge"), ticked(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col]))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
