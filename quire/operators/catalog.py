@@ -115,3 +115,22 @@ def upsert(catalog: DataFrame, entry: DataFrame) -> DataFrame:
 
 def delete_cascade(child: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return child.join(deleted.select(key), key, "left_anti")
+
+
+def cache_hit(pipeline: Column, current: str, source: Column, figures: Column) -> Column:
+    """Whether a stored paper may be reused: same pipeline, and a docx must have figures."""
+    return (pipeline == current) & ((source != "docx") | (figures > 0))
+
+
+def library_list(entries: DataFrame, current: str) -> DataFrame:
+    """Entries for a list, newest first, with `stale` where an older pipeline made them."""
+    shown = entries.select("id", "title", "source", "updated_at", "sentences", "figures", (~F.col("pipeline_version").eqNullSafe(F.lit(current))).alias("stale"))
+    return shown.orderBy(F.desc("updated_at"), "id")
+
+
+def merge_stamp_stores(rows: DataFrame, key: str = "uid", keep: int = 40, users: int = 4000, over: int = 5000) -> DataFrame:
+    """(uid, stamps) from rows (uid, t): distinct stamps in order, the last `keep`; of too many users the newest."""
+    newest = Window.partitionBy(key).orderBy(F.desc("t"))
+    last = rows.select(key, "t").distinct().withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= keep)
+    stores = last.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("stamps"))
+    return stores if stores.count() <= over else stores.orderBy(F.element_at("stamps", -1).desc(), key).limit(users)

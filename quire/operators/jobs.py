@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Percent floors of stages; lifetimes.
@@ -60,3 +60,67 @@ def growing_chunks(chunks: Column, full: Column) -> Column:
     distinct = F.filter(ended, lambda c, i: (i == 0) | (c != F.get(ended, i - 1)))
     grows = F.forall(F.sequence(F.lit(1), F.size(distinct) - 1), lambda i: F.startswith(F.get(distinct, i), F.get(distinct, i - 1)))
     return F.when((F.size(distinct) == 1) | grows, distinct)
+
+
+def build_checkpoint(stage: Column, content_hash: Column, pipeline: Column, done: Column, total: Column, ref: Column, version: int = 2) -> Column:
+    """A resume record without any text: short fields, a cursor within bounds, a plain file name or null."""
+    short = lambda c, n: F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, n)
+    bound = lambda c: F.greatest(F.least(F.coalesce(c, F.lit(0)), F.lit(1_000_000)), F.lit(0))
+    name = short(ref, 80)
+    plain = (name != "") & ~F.contains(name, F.lit("..")) & ~name.rlike(r"[/\\]")
+    return F.struct(
+        F.lit(version).alias("v"),
+        short(pipeline, 32).alias("pipeline_version"),
+        short(stage, 40).alias("stage"),
+        F.lower(short(content_hash, 64)).alias("content_hash"),
+        F.when(bound(total) > 0, F.struct(bound(done).alias("done"), bound(total).alias("total"))).alias("cursor"),
+        F.when(plain, name).alias("payload_ref"),
+    )
+
+
+def stamp(job_done: Column, error: Column, stage: Column, new: Column, old: Column) -> Column:
+    """The new checkpoint while a job runs, else the one it has."""
+    running = ~F.coalesce(job_done, F.lit(False)) & (F.coalesce(error, F.lit("")) == "") & ~F.trim(F.coalesce(stage, F.lit(""))).isin("", "done", "error")
+    return F.when(running, new).otherwise(old)
+
+
+def claim_leases(requests: DataFrame, job: str, at: str, worker: str, seconds: int = LEASE_SECONDS) -> DataFrame:
+    """Requests (job, at, worker) with `claimed`: a lease runs out `seconds` after it was taken.
+
+    Each grant depends on the one before, so requests are replayed by job.
+    """
+    kinds = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in (job, at, worker))
+
+    def run(batches):
+        last, until = None, None
+        for pdf in batches:
+            won = []
+            for j, now in zip(pdf[job], pdf[at]):
+                if j != last:
+                    last, until = j, None
+                free = until is None or until <= now
+                until = now + seconds if free else until
+                won.append(free)
+            yield pdf.assign(claimed=won)
+
+    return requests.select(job, at, worker).repartition(job).sortWithinPartitions(job, at, worker).mapInPandas(run, kinds + ", claimed boolean")
+
+
+def plan_status(sentences: DataFrame, built: DataFrame, doc: str, key: str) -> DataFrame:
+    """(doc, todo, status): sentences without practice chunks, and whether a plan is ok, pending or in error."""
+    plans = built.groupBy(doc).agg(F.count_if(F.col("failed")).alias("failed"))
+    todo = sentences.join(built.where(~F.col("failed")).select(doc, key), [doc, key], "left_anti").groupBy(doc).agg(F.count(F.lit(1)).alias("todo"))
+    every = sentences.select(doc).distinct().join(todo, doc, "left").join(plans, doc, "left").fillna(0, ["todo", "failed"])
+    return every.select(doc, "todo", F.when(F.col("failed") > 0, "error").when(F.col("todo") > 0, "pending").otherwise("ok").alias("status"))
+
+
+def limit_setting(raw: Column, default: int, least: int, most: int) -> Column:
+    """A numeric setting held within bounds; anything else is the default."""
+    value = F.trim(raw).try_cast("long")
+    return F.when(value.isNull(), F.lit(default)).otherwise(F.greatest(F.least(value, F.lit(most)), F.lit(least)))
+
+
+def public_job(done: Column, error: Column, percent: Column, stage: Column) -> Column:
+    """What a caller may see of a job: no owner, no hashes."""
+    state = F.when(F.coalesce(error, F.lit("")) != "", "error").when(F.coalesce(done, F.lit(False)), "done").otherwise("running")
+    return F.struct(state.alias("state"), F.greatest(F.least(percent, F.lit(100)), F.lit(0)).alias("percent"), stage.alias("stage"))

@@ -92,3 +92,73 @@ def assemble_figures(found: DataFrame, doc: str, caption: str = "caption", place
     table = F.col("_o")["kind"] == 2
     number = F.row_number().over(Window.partitionBy(doc, table).orderBy("ord"))
     return placed.withColumn("_i", number).select(doc, "ord", F.format_string("%s-%04d", F.when(table, "tbl").otherwise("fig"), "_i").alias("figure_id"), caption)
+
+
+# A label without its number, the number that may follow it, a caption that starts inside a line.
+LABEL_ALONE, NUMBER_FIRST = r"(?i)^\s*(Fig(?:ure)?|Scheme|Table)\.?\s*$", r"(?i)^\s*S?\d+[a-z]?\b"
+INLINE_CAPTION = r"(?i)(?:^|(?<![A-Za-z])\s+)((?:Fig(?:ure)?|Scheme|Table)\.?\s*S?\d+[a-z]?\b.*)$"
+BAND_PT, FOLLOW_PT = 4.0, 28.0
+ABSTRACT_PAGES, ABSTRACT_SIDE, ABSTRACT_AREA, HEADER_SHARE = 1, 80.0, 12_000.0, 0.08
+
+
+def join_labels(lines: DataFrame, page: list[str], order: str = "line_no") -> DataFrame:
+    """Lines with a lone label joined to the number that follows it in the same band."""
+    along = Window.partitionBy(*page).orderBy(order)
+    nxt = lambda c: F.lead(c).over(along)
+    joins = F.col("text").rlike(LABEL_ALONE) & F.coalesce(nxt("text").rlike(NUMBER_FIRST), F.lit(False)) & (F.abs(F.col("y0") - nxt("y0")) <= BAND_PT)
+    marked = lines.withColumn("_j", F.coalesce(joins, F.lit(False)))
+    # A number that starts a line is never a lone label, so joins cannot chain.
+    wide = {"x0": F.least("x0", nxt("x0")), "y0": F.least("y0", nxt("y0")), "x1": F.greatest("x1", nxt("x1")), "y1": F.greatest("y1", nxt("y1")), "text": F.concat_ws(" ", F.trim("text"), F.trim(nxt("text")))}
+    made = marked.withColumn("_gone", F.coalesce(F.lag("_j").over(along), F.lit(False))).select("*", *[v.alias("_" + k) for k, v in wide.items()])
+    return made.where(~F.col("_gone")).select(*page, order, *[F.when(F.col("_j"), F.col("_" + k)).otherwise(F.col(k)).alias(k) for k in ("x0", "y0", "x1", "y1", "text")])
+
+
+def caption_hits(lines: DataFrame, page: list[str], order: str = "line_no", figures: bool = True, tables: bool = False) -> DataFrame:
+    """(page, line_no, caption_key, caption): captions with the lines that follow closely.
+
+    A caption may start inside a line. It takes the lines behind it until the next caption, or until one
+    stands too far below its first line.
+    """
+    from quire.functions.refs import is_caption
+    from quire.functions.text import caption
+
+    along = Window.partitionBy(*page).orderBy(order)
+    inline = F.trim(F.regexp_extract("text", INLINE_CAPTION, 1))
+    head = lines.withColumn("_h", F.when(inline != "", inline).otherwise(F.col("text")))
+    head = head.withColumn("_is", is_caption(F.col("_h"), figures, tables)).withColumn("_g", F.sum(F.col("_is").cast("int")).over(along)).where("_g > 0")
+    inside = Window.partitionBy(*page, "_g").orderBy(order)
+    far = (F.col("y0") > F.first("y1").over(inside) + FOLLOW_PT) & ~F.col("_is")
+    near = head.withColumn("_far", far.cast("int")).withColumn("_out", F.max("_far").over(inside)).where("_out = 0")
+    parts = near.groupBy(*page, "_g").agg(F.min(order).alias(order), F.sort_array(F.collect_list(F.struct(order, F.when(F.col("_is"), F.col("_h")).otherwise(F.col("text")).alias("t")))).alias("p"))
+    made = parts.select(*page, order, caption(F.array_join(F.transform("p", lambda x: x["t"]), " ")).alias("caption")).withColumn("caption_key", caption_key(F.col("caption")))
+    table = F.col("caption_key").startswith("table:")
+    return made.where(F.col("caption_key").isNotNull() & (table if tables and not figures else ~table if figures and not tables else F.lit(True)))
+
+
+def graphical_abstracts(images: DataFrame, blocks: DataFrame, page: list[str], page_no: str = "page") -> DataFrame:
+    """Images of the first pages that are large, below the header, and near the word abstract."""
+    from quire.operators.figures import beside
+
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    large = (F.col(page_no) <= ABSTRACT_PAGES) & (F.least(w, h) >= ABSTRACT_SIDE) & (w * h >= ABSTRACT_AREA) & (F.col("y1") >= HEADER_SHARE * F.col("page_height"))
+    boxes = ("x0", "y0", "x1", "y1")
+    label = blocks.where(F.col("text").rlike(r"(?i)\babstract\b")).select(*page, *[F.col(c).alias("b" + c) for c in boxes])
+    near = images.where(large).select("*", *[F.col(c).alias("i" + c) for c in boxes]).join(label, page)
+    band = (F.col("by1") >= F.col("iy0") - 80) & (F.col("by0") <= F.col("iy1") + 40)
+    gap = F.greatest(F.col("ix0") - F.col("bx1"), F.col("bx0") - F.col("ix1"), F.lit(0.0))
+    hits = near.where(band & (beside("b", "i") | (gap < 120)))
+    return hits.select(*images.columns).distinct()
+
+
+def nearest_caption(anchors: DataFrame, blocks: DataFrame, page: list[str], anchor: str, above: bool) -> DataFrame:
+    """(page, anchor, caption): the closest caption above a table, or below an image."""
+    from quire.functions.refs import is_caption
+    from quire.functions.text import caption
+    from quire.operators.figures import ABOVE, BELOW, beside
+
+    boxes = ("x0", "y0", "x1", "y1")
+    text = blocks.where(is_caption(F.col("text"), figures=not above, tables=above)).select(*page, caption(F.col("text")).alias("caption"), *[F.col(c).alias("b" + c) for c in boxes])
+    pairs = anchors.select(*page, anchor, *[F.col(c).alias("i" + c) for c in boxes]).join(text, page).where(beside("b", "i"))
+    if above:
+        return pairs.where(F.col("by1").between(F.col("iy0") - ABOVE, F.col("iy0") + 4)).groupBy(*page, anchor).agg(F.max_by("caption", F.struct("by0", "caption")).alias("caption"))
+    return pairs.where(F.col("by0").between(F.col("iy1") - 2, F.col("iy1") + BELOW)).groupBy(*page, anchor).agg(F.min_by("caption", F.struct("by0", "caption")).alias("caption"))

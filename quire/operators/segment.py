@@ -91,3 +91,22 @@ def digest_input(sentences: DataFrame, doc: str, section: str, ord_col: str, tex
     ranked = sentences.where(F.trim(text) != "").withColumn("_n", F.row_number().over(Window.partitionBy(doc, section).orderBy(ord_col)))
     first = ranked.where(F.col("_n") <= most).groupBy(doc, section).agg(F.sort_array(F.collect_list(F.struct("_n", text))).alias("_all"))
     return first.select(doc, section, F.array_join(F.transform("_all", lambda x: F.concat(F.lit("- "), x[text])), "\n").alias("bullets"))
+
+
+def section_groups(sentences: DataFrame, doc: str, ord_col: str = "ord", section: str = "section") -> DataFrame:
+    """(doc, section, first, sentences): sections in the order they first appear; null or blank is body."""
+    name = F.when(F.trim(F.coalesce(F.col(section), F.lit(""))) == "", "body").otherwise(F.col(section))
+    return sentences.groupBy(doc, name.alias(section)).agg(F.min(ord_col).alias("first"), F.count(F.lit(1)).alias("sentences"))
+
+
+def missing_front_matter(sentences: DataFrame, docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
+    """(doc, missing): no title, abstract or introduction found although the text's head names one."""
+    found = sentences.groupBy(doc).agg(F.bool_or(F.col("section").isin("title", "abstract", "introduction")).alias("front"))
+    named = F.substring(F.coalesce(text, F.lit("")), 1, 12_000).rlike(r"(?i)\b(Abstract|Introduction)\b")
+    return docs.join(found, doc, "left").select(doc, (~F.coalesce("front", F.lit(False)) & named).alias("missing"))
+
+
+def session_title(sentences: DataFrame, files: DataFrame, doc: str) -> DataFrame:
+    """(doc, title): the first title sentence, else the file name without its extension."""
+    titles = sentences.where("section = 'title'").groupBy(doc).agg(F.min_by("text", "ord").alias("t"))
+    return files.join(titles, doc, "left").select(doc, F.coalesce("t", F.regexp_replace("filename", r"\.[^.]*$", "")).alias("title"))
