@@ -212,9 +212,12 @@ def _merge(batches):
 
 
 def capture_index(spark, path: str) -> DataFrame:
-    """The captures under path, globally ordered by (key, stamp, page): order of (part, position)."""
+    """The captures under path, globally ordered by (key, stamp, page): order of (part, position).
+
+    A scan task takes whole archives up to spark.sql.files.maxPartitionBytes, which bounds its memory.
+    """
     archives = spark.read.format("binaryFile").load(path).select("path", "content")
-    runs = materialise(archives.repartition(max(1, min(archives.count(), 10_000))).mapInArrow(_runs, RUN_SQL), "runs")
+    runs = materialise(archives.mapInArrow(_runs, RUN_SQL), "runs")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = runs.repartitionByRange(parts, "key", "stamp", "page").sortWithinPartitions("run", "seq")
     return dealt.mapInArrow(_merge, "part int, position long, " + RUN_SQL)
