@@ -83,6 +83,17 @@ SELECT doc_id, size::bigint AS size,
 FROM (SELECT *, hex(encode(text)) AS hx FROM placed), crc
 """
 
+OP6 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, rank::int AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
 OP8 = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
@@ -124,4 +135,4 @@ SELECT conv_id, CASE WHEN count(*) FILTER (i > n) = 0 THEN 'identical' ELSE 'pai
 FROM m GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op3_quality_rules": OP3, "op5_interleave": OP5, "op8_warc": OP8, "op10_preferences": OP10}
+SQL: dict[str, str] = {"op3_quality_rules": OP3, "op5_interleave": OP5, "op6_pivot_search": OP6, "op8_warc": OP8, "op10_preferences": OP10}
