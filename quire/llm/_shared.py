@@ -46,6 +46,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all written tables of this package; call it when no result that reads them is still needed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/quire")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words_of(text: Column) -> Column:
     """Array of words `[^\\x20\\x09-\\x0D]+`; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPACE_RUN), lambda w: w != "")

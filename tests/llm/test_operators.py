@@ -387,3 +387,15 @@ def test_preferences(spark):
     assert one.rejected[start:end] == "nö<|end|>"
     assert got[2].status == "identical" and got[2].chosen == "" and got[3].status == "one_sided"
     assert format_preferences(df.limit(0)).count() == 0
+
+
+def test_scratch(spark):
+    from quire.llm._shared import clear_scratch, materialise, scratch_root
+
+    assert materialise(spark.range(3), "three").count() == 3
+    folder = scratch_root(spark).removeprefix("file://") + "/quire"
+    import os
+
+    assert os.path.isdir(folder)
+    clear_scratch(spark)
+    assert not os.path.exists(folder)
