@@ -43,8 +43,8 @@ def expand_numbers(token: Column) -> Column:
     parts = F.split(token, r"\s*,\s*")
 
     def numbers(part):
-        first = F.try_to_number(F.regexp_extract(part, r"^\s*(\d{1,9})", 1), F.lit("999999999")).cast("int")
-        last = F.try_to_number(F.regexp_extract(part, r"^\s*\d+\s*[-–—]\s*(\d{1,9})\s*$", 1), F.lit("999999999")).cast("int")
+        first = F.regexp_extract(part, r"^\s*(\d{1,9})", 1).try_cast("int")
+        last = F.regexp_extract(part, r"^\s*\d+\s*[-–—]\s*(\d{1,9})\s*$", 1).try_cast("int")
         single = part.rlike(r"^\s*\d+\s*$")
         span = F.when((last >= first) & (last - first <= WIDEST_RANGE), F.sequence(first, last))
         return F.when(single, F.array(first)).otherwise(F.coalesce(span, F.array().cast("array<int>")))

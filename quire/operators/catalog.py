@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 INVITE_RANK = {"redeemed": 4, "revoked": 3, "expired": 2, "open": 1}
 LEAST_KEY, HEAD_CHARS = 24, 14_000
 LIBRARY_CAP = 1000
+#: Characters of a piece that a head is cut into, and bytes of a catalog up to which it is broadcast.
+PIECE, BROADCAST_BYTES = 512, 16 << 20
 
 
 def _first(df: DataFrame, by: list, order: list) -> DataFrame:
@@ -91,11 +93,15 @@ def match_titles(docs: DataFrame, catalog: DataFrame, doc: str = "doc_id") -> Da
     of at least 24 characters can only be inside a head that has the key's first 24, so candidates come
     from an equi-join on those and are then verified.
     """
-    shingle = F.transform(F.sequence(F.lit(1), F.length("head") - LEAST_KEY + 1), lambda i: F.substr(F.col("head"), i, F.lit(LEAST_KEY)))
     heads = docs.where(F.length("head") >= LEAST_KEY)
-    pieces = heads.select(doc, "source", F.explode(F.array_distinct(shingle)).alias("lead"))
-    keys = catalog.where(F.length("title_key") >= LEAST_KEY).withColumn("lead", F.substring("title_key", 1, LEAST_KEY))
-    candidates = pieces.join(keys, ["lead", "source"]).select(doc, "id", "pos", "title_key").join(heads.select(doc, "head"), doc)
+    # Cut twice: finding a character takes time in proportion to its place, so shingles come from short pieces.
+    cuts = F.transform(F.sequence(F.lit(0), F.expr(f"(length(head) - {LEAST_KEY}) div {PIECE}").cast("int")), lambda i: F.substr(F.col("head"), i * PIECE + 1, F.lit(PIECE + LEAST_KEY - 1)))
+    pieces = heads.select(doc, "source", F.explode(cuts).alias("piece"))
+    shingles = F.transform(F.sequence(F.lit(1), F.length("piece") - LEAST_KEY + 1), lambda i: F.substr(F.col("piece"), i, F.lit(LEAST_KEY)))
+    leads = pieces.select(doc, "source", F.explode(shingles).alias("lead"))
+    keys = catalog.where(F.length("title_key") >= LEAST_KEY).select("id", "pos", "source", "title_key", F.substring("title_key", 1, LEAST_KEY).alias("lead"))
+    size = keys.agg(F.sum(F.octet_length("title_key") + 64).alias("bytes")).first().bytes or 0
+    candidates = leads.join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, ["lead", "source"]).select(doc, "id", "pos", "title_key").distinct().join(heads.select(doc, "head"), doc)
     found = candidates.where(F.contains("head", "title_key"))
     return _first(found, [doc], [F.desc(F.length("title_key")), "pos"]).select(doc, "id", "title_key")
 
