@@ -46,6 +46,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_keys(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key (a row number from monotonically_increasing_id) is in wanted(key).
+
+    The keys travel as bitmaps, 4 KB for 32,768 neighbouring row numbers, so df is not shuffled.
+    """
+    bucket, bits, at = spare_name(df, "kk_bucket"), spare_name(df, "kk_bits"), F.bitmap_bit_position(ticked(key))
+    maps = wanted.groupBy(F.bitmap_bucket_number("key").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias(bits))
+    maps = materialise(maps, "bitmaps")
+    byte = F.conv(F.hex(F.substring(ticked(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn(bucket, F.bitmap_bucket_number(ticked(key))).join(F.broadcast(maps), bucket)
+    return found.where(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*[ticked(c) for c in df.columns])
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all written tables of this package; call it when no result that reads them is still needed."""
     jvm = spark.sparkContext._jvm
