@@ -7,8 +7,8 @@ digits become digits, and at/dot disguises become the signs themselves. The same
 rewritten text, and each match is mapped back to source offsets. A mapped span is added when its source
 differs from its normal form and it overlaps no base span.
 
-A text is rewritten only where some disguise can occur (one trigger expression over the whole text), so
-ordinary texts cost the base patterns alone.
+Every rewriting looks at every text; what it may skip by follows from its own pattern alone, so whether a
+disguise is found never depends on other text of the document.
 
 Defined cases: null and empty texts have no spans; overlapping matches of different kinds all count;
 repeated rows repeat; an empty table gives an empty result; further columns are ignored by `find_spans`
@@ -128,22 +128,25 @@ def plain_char(c: str) -> str:
     return _plain[c]
 
 
-#: Spelled digits in English, German, French and Spanish; fixed values. "one"-like articles (ein, un, une,
-#: una) are left out: they are ordinary words.
+#: Spelled digits in English, German, French and Spanish; fixed values.
 SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+#: Articles, ordinary words that mean 1 only in a run with other spelled digits.
+ARTICLES = ("ein", "un", "une", "una")
+_digit_word = "|".join(sorted(SPELLED, key=len, reverse=True))
+SPELLED |= dict.fromkeys(ARTICLES, "1")
 _word = "|".join(sorted(SPELLED, key=len, reverse=True))
+DIGIT_WORD = re.compile(rf"(?<![^\W_])(?:{_digit_word})(?![^\W_])", re.IGNORECASE)
 #: A run of at least four digits of which some are spelled, as in "five five five 0 one".
 SPELLED_RUN = re.compile(
     rf"(?<![^\W_])(?:(?:double|triple)[\x20-])?(?:{_word}|[0-9])(?:[\x20.,()/-]{{1,3}}(?:(?:dot|point|punkt|punto|dash|minus|hyphen)[\x20-])?(?:(?:double|triple)[\x20-])?(?:{_word}|[0-9]+)){{3,}}(?![^\W_])",
     re.IGNORECASE,
 )
 SPELLED_ITEM = re.compile(rf"(double|triple)[\x20-]({_word}|[0-9])|({_word})|(dot|point|punkt|punto)|(dash|minus|hyphen)|([0-9]+)|([.()/-])|([\x20,]+)", re.IGNORECASE)
-SPELLED_TRIGGER = re.compile(rf"(?<![^\W_])(?:{_word})(?:[\x20.,()/-]{{1,3}}[^\W_]+){{0,3}}?[\x20.,()/-]{{1,3}}(?:{_word})(?![^\W_])", re.IGNORECASE)
 PLUS = re.compile(r"(?<![^\W_])plus[\x20-]+(?=[0-9])", re.IGNORECASE)
 
 _at, _dot = r"at|arroba|arobase|ät|aet|klammeraffe|@", r"dot|punkt|point|punto|\."
@@ -158,9 +161,11 @@ BARE = re.compile(
 )
 DIGIT_DOT = re.compile(r"(?<=[0-9])[\x20]+(?:dot|punkt|punto|point)[\x20]+(?=[0-9])", re.IGNORECASE)
 BARE_DOT = re.compile(r"[\x20]+(?:dot|punkt|punto)[\x20]+|[\x20]\.[\x20]|[-_]dot[-_]", re.IGNORECASE)
-#: Whether any disguise can occur: characters outside ASCII other than Latin letters, or telling words.
+#: Characters that may need unmasking: outside ASCII, other than Latin letters and common marks.
 ODD = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿœŒ’‘“”«»…¿¡]")
-WORDS = re.compile(r"[\[({<]\s?(?:at|dot|@|\.|arroba|arobase|punkt|point|punto|ät|aet|klammeraffe)\s?[\])}>]|&#|&commat;|&period;|[\x20]@|@[\x20]|[\x20_-](?:dot|punkt|punto)[\x20_-]", re.IGNORECASE)
+#: Part of every match of the bracketed and entity forms, and of BARE where it changes anything.
+BRACKETED = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.|arroba|arobase|punkt|point|punto|ät|aet|klammeraffe)\x20?[\])}>]|&#|&commat;|&period;", re.IGNORECASE)
+APART = re.compile(r"[\x20]@|@[\x20]|[\x20_-](?:dot|punkt|punto)[\x20_-]|[\x20]\.[\x20]", re.IGNORECASE)
 
 
 class Tape:
@@ -200,7 +205,7 @@ def _unmask_characters(tape: Tape) -> Tape:
 def _spelled_digits(tape: Tape) -> Tape:
     changes = []
     for run in SPELLED_RUN.finditer(tape.text):
-        if not re.search(f"(?:{_word})", run.group(), re.IGNORECASE):
+        if not DIGIT_WORD.search(run.group()):
             continue
         items = list(SPELLED_ITEM.finditer(tape.text, run.start(), run.end()))
         for k, m in enumerate(items):
@@ -221,9 +226,12 @@ def _spelled_digits(tape: Tape) -> Tape:
 
 
 def _signs(tape: Tape) -> Tape:
-    tape = tape.edit([(*m.span(), "@") for m in BRACKET_AT.finditer(tape.text)])
-    tape = tape.edit([(*m.span(), ".") for m in BRACKET_DOT.finditer(tape.text)])
+    if BRACKETED.search(tape.text):
+        tape = tape.edit([(*m.span(), "@") for m in BRACKET_AT.finditer(tape.text)])
+        tape = tape.edit([(*m.span(), ".") for m in BRACKET_DOT.finditer(tape.text)])
     tape = tape.edit([(*m.span(), ".") for m in DIGIT_DOT.finditer(tape.text)])
+    if not APART.search(tape.text):
+        return tape
     changes = []
     for m in BARE.finditer(tape.text):
         a, b = m.span("at")
@@ -239,8 +247,6 @@ def _signs(tape: Tape) -> Tape:
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows, as source offsets; none overlaps a base span."""
     odd = ODD.search(text) is not None
-    if not odd and not WORDS.search(text) and not SPELLED_TRIGGER.search(text):
-        return []
     tape = _signs(_spelled_digits(_unmask_characters(Tape(text)) if odd else Tape(text)))
     if tape.text == text:
         return []
