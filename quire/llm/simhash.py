@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._shared import bound_batches, materialise, ticked
+from quire.llm._shared import bound_batches, keep_keys, materialise, spare_name, ticked
 
 BITS = 64
 SHINGLE = 3
@@ -227,13 +227,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct, one row per fingerprint, with the root fingerprint of each one's class."""
+    plan = plan_partitions(distinct, radius)
+    linked = materialise(components(links(distinct, plan, radius)), "components")
+    return distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """(id, fp, component): one row per row of docs; component is the smallest id of its class."""
     rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct")
-    plan = plan_partitions(distinct, radius)
-    linked = materialise(components(links(distinct, plan, radius)), "components")
-    named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(distinct, radius)
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
     # Only linked fingerprints differ from their own smallest id.
     classes = named.join(least, "root").select("fp", "component")
@@ -241,19 +246,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """docs with one row of each class kept: the row whose id is the smallest of its class.
+    """docs with one row of each class kept: of the rows with its smallest id (null last), the first.
 
-    Rows that share an id count as one document: one of them is kept. Rows with a null id are kept only
-    where their whole class has no id; of all those, one row.
+    Rows are told apart by a key of their own, so ids may repeat or be null.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col, radius)
-    kept = materialise(classes.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id").count(), "representatives")
-    # A merge join at every size: the ids kept grow with the documents and have no bound to broadcast by.
-    mine = docs.join(kept.where("count = 1").select(F.col("id").alias("__kept")).hint("merge"), ticked(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = kept.where("count > 1").select(F.col("id").alias("__kept"))
-    if repeated.isEmpty():
-        return mine
-    return mine.unionByName(docs.join(repeated.hint("merge"), ticked(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col]))
+    key = spare_name(docs, "row_key")
+    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    prints = materialise(fingerprints(keyed, key, text_col).withColumnRenamed("id", "key"), "fingerprints")
+    ids = keyed.select(ticked(key).alias("key"), ticked(id_col).alias("id"))
+    head = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("head")
+    distinct = materialise(prints.join(ids.hint("merge"), "key").groupBy("fp").agg(head), "distinct")
+    kept = _rooted(distinct, radius).groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.key").alias("key"))
+    return keep_keys(keyed, key, kept).drop(key)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -31,3 +31,12 @@ def test_articles_are_words():
 
     for text in ("un 415 555 12 34 56 78", "+ un, une 2 3 4 5 6 7 8 9 0", "ein un une una ein un une una ein un"):
         assert scan(text) == ([], [])
+
+
+def test_representatives_by_row(spark):
+    from quire.llm.simhash import keep_representatives
+
+    rows = [(None, prose(1, 60)), (None, prose(2, 60)), (None, prose(2, 60)), (5, prose(3, 60)), (5, prose(4, 60)), (4, prose(5, 60)), (6, prose(5, 60)), (6, prose(6, 60))]
+    got = keep_representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, 1), (None, 2), (5, 3), (5, 4), (4, 5), (6, 6)]
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((i or 0, prose(k, 60)) for i, k in want)
