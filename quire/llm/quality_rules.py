@@ -142,31 +142,28 @@ def strata_of(docs: DataFrame, stratum_col: str | None) -> Column:
 
 
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule from measured (id, stratum, counts) and labels (id, label)."""
+    """Cutoffs by stratum and rule from measured (id, stratum, counts) and labels (id, label).
+
+    Every labelled stratum has an entry; those that were pooled share the cutoffs of their pool.
+    """
     good = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).alias("good"))
     labelled = measured.where(~base_failed(F.col("counts"))).join(good, "id").select("stratum", "good", "counts")
     labelled = materialise(labelled, "labelled")
-    top = [r.stratum for r in labelled.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA).collect()]
+    found = [r.stratum for r in labelled.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").collect()]
+    top = found[:MAX_STRATA]
     pooled = labelled.withColumn("stratum", F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise(F.lit(""))) if top else labelled
-    cutoffs: dict[str, dict[str, float]] = {s: {} for s in top}
+    certified: dict[str, dict[str, float]] = {}
     for r in calibrate(pooled).collect():
-        cutoffs.setdefault(r.stratum, {})[r.rule] = r.cutoff
-    return cutoffs
+        certified.setdefault(r.stratum, {})[r.rule] = r.cutoff
+    return {s: certified.get(s if s in top else "", {}) for s in found}
 
 
 def verdict(counts: Column, stratum: Column, cutoffs: dict[str, dict[str, float]]) -> Column:
-    """kept: false where the base rule fails or a ratio is above its stratum's cutoff."""
+    """kept: false where the base rule fails or a ratio is above its own stratum's cutoff, if that has one."""
     rules, over = ratios(counts), base_failed(counts)
     for name in RULES:
-        by = {s: c[name] for s, c in sorted(cutoffs.items()) if name in c}
-        limit = None
-        for s, c in by.items():
-            if s:
-                limit = (F if limit is None else limit).when(stratum == s, F.lit(c))
-        if limit is not None:
-            over = over | (rules[name] > limit.otherwise(F.lit(by.get("", float("inf")))))
-        elif "" in by:
-            over = over | (~stratum.isin([s for s in cutoffs if s]) & (rules[name] > by[""]))
+        for limit in sorted({c[name] for c in cutoffs.values() if name in c}):
+            over = over | (stratum.isin([s for s, c in cutoffs.items() if c.get(name) == limit]) & (rules[name] > limit))
     return ~over
 
 
