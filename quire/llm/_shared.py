@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Code points that separate words: space and U+0009 to U+000D.
 WORD_SPACE = r"\x20\x09-\x0D"
 WORD_SPACE_RUN = f"[{WORD_SPACE}]+"
+#: Bitmaps of keep_keys that are broadcast: 64 MB, for 500 million rows.
+MAX_BITMAPS = 16_384
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,16 +51,30 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def keep_keys(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of df whose key (a row number from monotonically_increasing_id) is in wanted(key).
 
-    The keys travel as bitmaps, 4 KB for 32,768 neighbouring row numbers, so df is not shuffled.
+    The keys travel as bitmaps, 4 KB for 32,768 neighbouring row numbers. Up to MAX_BITMAPS of them are
+    broadcast, so df is not shuffled; beyond, each bitmap meets its rows by a join on the bucket, which is
+    the same size for every key.
     """
     bucket, bits, at = spare_name(df, "kk_bucket"), spare_name(df, "kk_bits"), F.bitmap_bit_position(ticked(key))
     maps = wanted.groupBy(F.bitmap_bucket_number("key").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias(bits))
     maps = materialise(maps, "bitmaps")
+    small = maps.count() <= MAX_BITMAPS
     byte = F.conv(F.hex(F.substring(ticked(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = df.withColumn(bucket, F.bitmap_bucket_number(ticked(key))).join(F.broadcast(maps), bucket)
+    found = df.withColumn(bucket, F.bitmap_bucket_number(ticked(key))).join(F.broadcast(maps) if small else maps, bucket)
     return found.where(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*[ticked(c) for c in df.columns])
 
 
+def join_salted(rows: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
+    """rows joined to `small`, one row a key: a hot key's rows are dealt over `salts`, however the join runs.
+
+    The optimizer broadcasts small while its size allows it. Both sides have the column `key`.
+    """
+    salt = spare_name(rows, "salt")
+    dealt = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, salt], how).drop(salt)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all written tables of this package; call it when no result that reads them is still needed."""
     jvm = spark.sparkContext._jvm

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quire.llm.quality_rules import DELTA, GRID, MIN_WORDS, RISK
 
-_cases = ", ".join(f"('{rule}', {float(c)!r}::double)" for rule, cutoffs in GRID.items() for c in cutoffs)
+_cases = ", ".join(f"('{rule}', {k}, {float(c)!r}::double)" for k, (rule, cutoffs) in enumerate(GRID.items()) for c in cutoffs)
 
 OP3 = rf"""
 WITH words AS (
@@ -40,17 +40,28 @@ WITH words AS (
          unnest([symbols, dup_lines, repeats, capitals, word_length]) AS v FROM judged
 ), good AS (
   SELECT doc_id, avg(quality::double) >= 0.5 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
-), grid(rule, cutoff) AS (VALUES {_cases}),
-tests AS (
-  SELECT stratum, l.rule, cutoff, sum(good::int) AS n, sum((good AND v > cutoff)::int) AS k, sum((NOT good AND v > cutoff)::int) AS caught
-  FROM long l JOIN good USING (doc_id) JOIN grid g ON g.rule = l.rule WHERE NOT base_failed GROUP BY ALL
-), certified AS (
-  SELECT *, (SELECT count(DISTINCT stratum) FROM tests) * (SELECT count(*) FROM grid) AS m,
-    CASE WHEN k > n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k::bigint + 1), lambda i:
+), grid(rule, number, cutoff) AS (VALUES {_cases}),
+labelled AS (
+  SELECT doc_id, stratum, rule, v, good, md5(doc_id::varchar) < '8' AS choosing FROM long JOIN good USING (doc_id) WHERE NOT base_failed
+), tried AS (
+  SELECT stratum, rule, number, cutoff, count(*) FILTER (good AND v > cutoff) AS k, count(*) FILTER (NOT good AND v > cutoff) AS caught
+  FROM labelled JOIN grid USING (rule) WHERE choosing GROUP BY ALL
+), best AS (
+  SELECT * FROM tried WHERE caught > k QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - k DESC, cutoff DESC) = 1
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY k, caught - k DESC, number) AS place FROM best
+), firsts AS (
+  SELECT stratum, doc_id, min(place) FILTER (v > cutoff) AS first FROM labelled JOIN ordered USING (stratum, rule) WHERE NOT choosing AND good GROUP BY ALL
+), unions AS (
+  SELECT stratum, place, count(*) AS n, count(*) FILTER (first <= place) AS wrong FROM firsts JOIN ordered USING (stratum) GROUP BY ALL
+), tails AS (
+  SELECT stratum, place, CASE WHEN wrong > n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, wrong::bigint + 1), lambda i:
       exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) END AS tail
-  FROM tests WHERE n > 0 AND caught > k
+  FROM unions
+), passing AS (
+  SELECT stratum, place, max(tail) OVER (PARTITION BY stratum ORDER BY place) <= {DELTA} / (SELECT count(DISTINCT stratum) FROM labelled) AS ok FROM tails
 ), chosen AS (
-  SELECT stratum, rule, arg_max(cutoff, {{'net': caught - k, 'cutoff': cutoff}}) AS cutoff FROM certified WHERE tail <= {DELTA} / m GROUP BY stratum, rule
+  SELECT stratum, rule, cutoff FROM ordered JOIN passing USING (stratum, place) WHERE ok
 ), hits AS (
   SELECT doc_id, bool_or(v > cutoff) AS over FROM long JOIN chosen USING (stratum, rule) GROUP BY doc_id
 )

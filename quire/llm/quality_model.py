@@ -1,13 +1,15 @@
 """Quality classifier: boosted trees over document statistics.
 
-Statistics of every whole text are computed by Spark's own functions. A bounded sample of the labelled
-rows (those with the smallest seeded digests, at most MAX_TRAINING_ROWS) is enough to fit the forest on
-the driver; every row is scored by a vectorised walk over the flattened trees.
+Statistics of every whole text are computed by Spark's own functions, once a text. A bounded sample of the
+labelled documents (at most MAX_TRAINING_ROWS, those with the smallest digests of their ids) is enough to
+fit the forest on the driver; it is chosen on the narrow label table, before any statistic is joined. Every
+row is scored by a vectorised walk over the flattened trees.
 
 Defined cases: a null text counts as empty and gets the score of all-zero statistics; repeated rows
-repeat; labels that are null or name no document are ignored, several labels of one document count as 1
-when at least half say so; without labels every score is 0.5; an empty table gives an empty result;
-further columns are never inputs. A row without an id is scored and never held out.
+repeat (one of them, by its statistics, is learned from); labels that are null or name no document are
+ignored, several labels of one document count as 1 when at least half say so; without labels every score is
+0.5; an empty table gives an empty result; further columns are never inputs. A row without an id is scored
+and never held out.
 """
 
 from __future__ import annotations
@@ -63,11 +65,31 @@ def fold_of(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % FOLDS
 
 
-def training_rows(features: DataFrame, labels: DataFrame, label_id: str, label_col: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most `most` labelled rows outside the held-out fold."""
+def sampled_labels(labels: DataFrame, label_id: str, label_col: str, most: int) -> DataFrame:
+    """(id, y) of labelled ids outside the held-out fold: all, or about `most` and never more.
+
+    The digests' first 16 bits cut the table: every bucket below the cut is taken whole, so no task merges
+    rows of all partitions, and the table of buckets is at most 65,536 rows.
+    """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
-    known = known.where(fold_of(F.col("id")) != HELD_OUT_FOLD)
-    rows = features.join(known, "id").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id", "features").limit(most).select("features", "y").toPandas()
+    known = materialise(known.where(fold_of(F.col("id")) != HELD_OUT_FOLD).withColumn("bucket", F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 4), 16, 10).cast("int")), "known")
+    if known.count() <= most:
+        return known.select("id", "y")
+    cut, total = -1, 0
+    for r in known.groupBy("bucket").count().orderBy("bucket").collect():
+        total += r["count"]
+        if total > most:
+            break
+        cut = r.bucket
+    if cut < 0:
+        return known.where("bucket = 0").orderBy("id").limit(most).select("id", "y")
+    return known.where(F.col("bucket") <= cut).select("id", "y")
+
+
+def training_rows(features: DataFrame, labels: DataFrame, label_id: str, label_col: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and labels of at most `most` labelled documents outside the held-out fold."""
+    known = F.broadcast(sampled_labels(labels, label_id, label_col, most))  # at most `most` narrow rows
+    rows = features.join(known, "id").groupBy("id").agg(F.min("features").alias("features"), F.min("y").alias("y")).orderBy("id").select("features", "y").toPandas()
     if not len(rows):
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     return np.array(rows["features"].tolist(), float), rows["y"].to_numpy(float)
@@ -91,11 +113,15 @@ def scorer(forest: Forest):
     return score
 
 
-def keep_predicted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of docs with a score of 0.5 or more, columns unchanged."""
-    forest, _ = fit_quality(docs, labels, id_col, text_col, label_col)
+def keep_predicted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """The rows of docs with a score of 0.5 or more, columns unchanged.
+
+    Rows are written once with their statistics; fitting reads the statistics alone, and the scores filter the written rows.
+    """
     out, score = spare_name(docs, "features"), spare_name(docs, "score")
-    return with_statistics(docs, text_col, out).withColumn(score, scorer(forest)(ticked(out))).where(ticked(score) >= 0.5).drop(out, score)
+    measured = materialise(with_statistics(docs, text_col, out), "measured-rows")
+    forest = fit_forest(*training_rows(measured.select(ticked(id_col).alias("id"), ticked(out).alias("features")), labels, id_col, label_col, most))
+    return measured.withColumn(score, scorer(forest)(ticked(out))).where(ticked(score) >= 0.5).select(*[ticked(c) for c in docs.columns])
 
 
 def op1_quality_model(spark, sf_dir: str) -> DataFrame:

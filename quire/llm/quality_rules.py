@@ -2,22 +2,29 @@
 
 Every text gets exact counts (words, symbols, repeated lines, repeated three-word windows, capitals).
 Five ratios of these may reject a document above a cutoff. Candidate cutoffs form a fixed grid. In each
-stratum (the document's language) the labelled good documents are a holdout: a cutoff is certified when
-the exact binomial tail P(Binomial(n, risk) <= wrong rejections) is at most delta over the number of all
-tests (strata x rules x cutoffs), so that with probability 1 - delta every certified cutoff rejects at
-most `risk` of the stratum's good documents. A certified cutoff is worth having when it rejects more
-labelled bad documents than good ones; of those the one with the largest difference is used, and of
-equal ones the most lenient. A rule without a certified cutoff, and a
-stratum without labels, reject nothing beyond the base rule.
+stratum (the document's language) the labelled documents are dealt into two halves by a digest of their id:
+
+* The first half chooses. Each rule takes the cutoff that rejects the most labelled bad documents less good
+  ones (of equal ones the most lenient), if that is above zero. Rules are ordered: fewest good documents
+  rejected first, then the largest difference.
+* The second half, the holdout, certifies. The union of the first j rules passes when the exact binomial
+  tail P(Binomial(good documents, RISK) <= good documents it rejects) is at most DELTA over the number of
+  labelled strata. Unions are tested in the order fixed before, up to the first that fails, so the tests
+  within a stratum need no further correction, and the division covers the strata.
+
+With probability 1 - DELTA, all certified rules of a stratum together reject at most RISK of its good
+documents that pass the base rule, in every stratum. A stratum needs about 90 good documents in its holdout
+before anything can be certified (more with more strata). A stratum without a certificate, and one without
+labels, rejects nothing beyond the base rule.
 
 Native throughout: windows are sorted inside their row, the binomial tail is a fold over an array, and
-the chosen cutoffs (at most strata x rules rows, strata bounded) become literals of one projection, so no
-text is shuffled.
+the certified cutoffs are one narrow row a stratum, joined under a salt, so a hot stratum is split. Every
+text is measured once.
 
 Defined cases: a null or blank text has no words, all counts zero, and fails the base rule; repeated rows
-repeat; labels of unknown documents and null labels are ignored; a document with several labels counts
-as good when at least half of them say so; an empty table gives an empty result; other columns of the
-input are kept by `keep_good` and ignored by `judge`.
+repeat; a null stratum is the stratum of no name, with labels of its own; labels of unknown documents and
+null labels are ignored; a document with several labels counts as good when at least half of them say so;
+an empty table gives an empty result; other columns of the input are kept by `keep_good` and ignored by `judge`.
 """
 
 from __future__ import annotations
@@ -25,16 +32,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._shared import WORD_SPACE, count_chars, lines_of, materialise, settled, spare_name, table, ticked, words_of
+from quire.llm._shared import WORD_SPACE, count_chars, join_salted, lines_of, materialise, settled, spare_name, table, ticked, words_of
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "A-Z"
 MIN_WORDS = 50
-#: Largest share of a stratum's good documents that one rule may reject, and the chance to miss it.
-RISK = 0.01
+#: Largest share of a stratum's good documents that all its rules together may reject, and the chance to miss it.
+RISK = 0.05
 DELTA = 0.05
-#: Strata with the most labels get cutoffs of their own; further ones share the stratum of no name.
-MAX_STRATA = 64
 GRID: dict[str, list[float]] = {
     "symbols": [0.02, 0.05, 0.1, 0.2, 0.5, 1.0],
     "dup_lines": [0.05, 0.1, 0.2, 0.3, 0.5],
@@ -88,15 +93,17 @@ def base_failed(c: Column) -> Column:
     return (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
 
 
-def ratios(c: Column) -> dict[str, Column]:
+def ratios(c: Column) -> Column:
+    """What each of RULES compares with its cutoff, as an array in their order."""
     per = lambda a, b: F.when(c[b] > 0, c[a].cast("double") / c[b].cast("double")).otherwise(F.lit(0.0))
-    return {
+    values = {
         "symbols": per("n_symbols", "n_words"),
         "dup_lines": per("n_dup_lines", "n_lines"),
         "repeats": per("n_repeat_words", "n_words"),
         "capitals": per("n_capitals", "word_chars"),
         "word_length": per("word_chars", "n_words"),
     }
+    return F.array(*[values[r] for r in RULES])
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
@@ -115,73 +122,73 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k.cast("double") > n.cast("double") * p, F.lit(1.0)).otherwise(tail)
 
 
+def first_hit(values: Column, limits: Column) -> Column:
+    """Place, from 1, of the first of limits (rule, cutoff) that values exceed; 0 if none."""
+    return F.array_position(F.transform(limits, lambda x: F.get(values, x["rule"]) > x["cutoff"]), True)
+
+
+def chosen_rules(rows: DataFrame) -> DataFrame:
+    """(stratum, limits): the rules worth having by (stratum, good, v), most harmless first, one cutoff a rule."""
+    cases = [F.struct(F.lit(k).alias("rule"), F.lit(c).alias("cutoff"), (F.get("v", F.lit(k)) > c).alias("hit")) for k, r in enumerate(RULES) for c in GRID[r]]
+    hit = lambda good: F.count_if((F.col("good") if good else ~F.col("good")) & F.col("x.hit"))
+    tried = rows.select("stratum", "good", F.explode(F.array(*cases)).alias("x")).groupBy("stratum", "x.rule", "x.cutoff").agg(hit(True).alias("k"), hit(False).alias("caught"))
+    best = tried.where("caught > k").groupBy("stratum", "rule").agg(F.max(F.struct((F.col("caught") - F.col("k")).alias("net"), "cutoff", "k")).alias("b"))
+    order = F.sort_array(F.collect_list(F.struct(F.col("b.k").alias("k"), (-F.col("b.net")).alias("less"), "rule", F.col("b.cutoff").alias("cutoff"))))
+    return best.groupBy("stratum").agg(F.transform(order, lambda x: F.struct(x["rule"].alias("rule"), x["cutoff"].alias("cutoff"))).alias("limits"))
+
+
 def calibrate(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff) from labelled (stratum, good, counts): what is certified and catches most.
+    """(stratum, limits, n, k) from labelled (id, stratum, good, counts): the certified cutoffs of each stratum that has any.
 
-    Rows that fail the base rule are left out before: the base rule is not the method's to certify.
+    limits are (rule, cutoff) with rules by number; n good documents of the holdout, of which k[j] meet one
+    of the first j + 1 rules. Rows that fail the base rule must be left out before: it is not the method's to certify.
     """
-    rules = ratios(F.col("counts"))
-    cases = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), (rules[r] > c).alias("hit")) for r in RULES for c in GRID[r]])
-    tests = (
-        labelled.select("stratum", "good", F.explode(cases).alias("x"))
-        .groupBy("stratum", "x.rule", "x.cutoff")
-        .agg(
-            F.sum(F.col("good").cast("long")).alias("n"),
-            F.sum((F.col("good") & F.col("x.hit")).cast("long")).alias("k"),
-            F.sum((~F.col("good") & F.col("x.hit")).cast("long")).alias("caught"),
-        )
-    )
-    tested = labelled.select("stratum").distinct().count() * sum(map(len, GRID.values()))
-    certified = tests.where((F.col("n") > 0) & (binomial_tail(F.col("n"), F.col("k"), risk) <= F.lit(delta / max(tested, 1))) & (F.col("caught") > F.col("k")))
-    best = F.max(F.struct((F.col("caught") - F.col("k")).alias("net"), "cutoff", "n", "k", "caught"))
-    return certified.groupBy("stratum", "rule").agg(best.alias("b")).select("stratum", "rule", "b.cutoff", "b.n", "b.k", "b.caught")
+    rows = labelled.select("stratum", "good", ratios(F.col("counts")).alias("v"), (F.md5(F.col("id").cast("string").cast("binary")) < "8").alias("choosing"))
+    chosen = chosen_rules(rows.where("choosing"))
+    held = join_salted(rows.where(~F.col("choosing") & F.col("good")), chosen, "stratum", "inner").withColumn("at", first_hit(F.col("v"), F.col("limits")))
+    places = range(1, len(RULES) + 1)
+    counted = held.groupBy("stratum", "limits").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if((F.col("at") > 0) & (F.col("at") <= j)) for j in places]).alias("k"))
+    most = delta / max(labelled.select("stratum").distinct().count(), 1)
+    passed = F.array(*[(F.size("limits") >= j) & (binomial_tail(F.col("n"), F.get("k", F.lit(j - 1)), risk) <= most) for j in places], F.lit(False))
+    certified = F.slice("limits", F.lit(1), (F.array_position(passed, False) - 1).cast("int"))
+    return counted.select("stratum", certified.alias("limits"), "n", "k").where(F.size("limits") > 0)
 
 
 def strata_of(docs: DataFrame, stratum_col: str | None) -> Column:
     return F.coalesce(ticked(stratum_col).cast("string"), F.lit("")) if stratum_col and stratum_col in docs.columns else F.lit("")
 
 
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule from measured (id, stratum, counts) and labels (id, label).
-
-    Every labelled stratum has an entry; those that were pooled share the cutoffs of their pool.
-    """
+def fit_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """The written table (stratum, limits) of certified cutoffs, from measured (id, stratum, counts) and labels (id, label)."""
     good = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).alias("good"))
-    labelled = measured.where(~base_failed(F.col("counts"))).join(good, "id").select("stratum", "good", "counts")
-    labelled = materialise(labelled, "labelled")
-    found = [r.stratum for r in labelled.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").collect()]
-    top = found[:MAX_STRATA]
-    pooled = labelled.withColumn("stratum", F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise(F.lit(""))) if top else labelled
-    certified: dict[str, dict[str, float]] = {}
-    for r in calibrate(pooled).collect():
-        certified.setdefault(r.stratum, {})[r.rule] = r.cutoff
-    return {s: certified.get(s if s in top else "", {}) for s in found}
-
-
-def verdict(counts: Column, stratum: Column, cutoffs: dict[str, dict[str, float]]) -> Column:
-    """kept: false where the base rule fails or a ratio is above its own stratum's cutoff, if that has one."""
-    rules, over = ratios(counts), base_failed(counts)
-    for name in RULES:
-        for limit in sorted({c[name] for c in cutoffs.values() if name in c}):
-            over = over | (stratum.isin([s for s, c in cutoffs.items() if c.get(name) == limit]) & (rules[name] > limit))
-    return ~over
+    labelled = materialise(measured.where(~base_failed(F.col("counts"))).join(good, "id").select("id", "stratum", "good", "counts"), "labelled")
+    return materialise(calibrate(labelled).select("stratum", "limits"), "cutoffs")
+
+
+def verdict(counts: Column, limits: Column) -> Column:
+    """kept: false where the base rule fails or a ratio is above a certified cutoff of the row's own stratum; null limits reject nothing."""
+    return ~(base_failed(counts) | (F.coalesce(first_hit(ratios(counts), limits), F.lit(0)) > 0))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_col: str = "quality") -> DataFrame:
     """(id, stratum, counts, base_failed, kept) for every row of docs."""
     measured = measures(docs.select(ticked(id_col).alias("id"), strata_of(docs, stratum_col).alias("stratum"), ticked(text_col).alias("text")), "text")
     measured = materialise(measured.select("id", "stratum", F.col("q_counts").alias("counts")), "measures")
-    cutoffs = fit_cutoffs(measured, labels, id_col, label_col)
-    return measured.select("id", "stratum", "counts", base_failed(F.col("counts")).alias("base_failed"), verdict(F.col("counts"), F.col("stratum"), cutoffs).alias("kept"))
+    found = join_salted(measured, fit_cutoffs(measured, labels, id_col, label_col), "stratum")
+    return found.select("id", "stratum", "counts", base_failed(F.col("counts")).alias("base_failed"), verdict(F.col("counts"), F.col("limits")).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_col: str = "quality") -> DataFrame:
-    """The rows of docs that the rules keep, columns unchanged."""
-    narrow = measures(docs.select(ticked(id_col).alias("id"), strata_of(docs, stratum_col).alias("stratum"), ticked(text_col).alias("text")), "text")
-    cutoffs = fit_cutoffs(narrow.select("id", "stratum", F.col("q_counts").alias("counts")), labels, id_col, label_col)
+    """The rows of docs that the rules keep, columns unchanged.
+
+    Rows are written once with their counts; fitting reads the counts alone, and the verdict filters the written rows.
+    """
     measured = measures(docs, text_col)
-    counts = measured.columns[-1]
-    return measured.where(verdict(F.col(counts), strata_of(docs, stratum_col), cutoffs)).drop(counts)
+    counts, stratum, limits = measured.columns[-1], spare_name(measured, "q_stratum"), spare_name(measured, "q_limits")
+    measured = materialise(measured.withColumn(stratum, strata_of(docs, stratum_col)), "measured-rows")
+    narrow = measured.select(ticked(id_col).alias("id"), ticked(stratum).alias("stratum"), ticked(counts).alias("counts"))
+    cutoffs = fit_cutoffs(narrow, labels, id_col, label_col).select(F.col("stratum").alias(stratum), F.col("limits").alias(limits))
+    return join_salted(measured, cutoffs, stratum).where(verdict(ticked(counts), ticked(limits))).select(*[ticked(c) for c in docs.columns])
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

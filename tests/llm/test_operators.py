@@ -103,7 +103,7 @@ def test_rule_counts(docs, none, labels):
 def test_binomial_bound(spark):
     from math import comb
 
-    from quire.llm.quality_rules import binomial_tail, calibrate
+    from quire.llm.quality_rules import binomial_tail
 
     cases = [(n, k) for n in (1, 10, 400, 2000) for k in range(0, int(n * 0.01) + 1)]
     df = spark.createDataFrame(cases, "n long, k long").withColumn("p", binomial_tail(F.col("n"), F.col("k"), 0.01))
@@ -111,11 +111,59 @@ def test_binomial_bound(spark):
         assert r.p == pytest.approx(sum(comb(r.n, i) * 0.01**i * 0.99 ** (r.n - i) for i in range(r.k + 1)), rel=1e-9)
     big = spark.createDataFrame([(5_000_000, 40_000)], "n long, k long").select(binomial_tail(F.col("n"), F.col("k"), 0.01).alias("p")).first()
     assert 0 <= big.p < 1e-300 or big.p == 0
+
+
+KEY = "id long, stratum string, good boolean, counts struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_lines:long,n_capitals:long>"
+
+
+def cutoffs_of(rows, risk, delta):
+    """The certified cutoffs of every stratum, one labelled row at a time."""
+    from math import comb
+
+    from quire.llm.quality_rules import GRID, RULES
+
+    per = lambda a, b: a / b if b else 0.0
+    cases = [(s, good, [per(c[2], c[0]), per(c[3], c[5]), per(c[4], c[0]), per(c[6], c[1]), per(c[1], c[0])], hashlib.md5(str(i).encode()).hexdigest() < "8") for i, s, good, c in rows]
+    found, strata = {}, {s for s, *_ in cases}
+    for stratum in strata:
+        mine = [c[1:] for c in cases if c[0] == stratum]
+        ordered = []
+        for k, rule in enumerate(RULES):
+            tried = [(sum(ch and not g and v[k] > x for g, v, ch in mine), sum(ch and g and v[k] > x for g, v, ch in mine), x) for x in GRID[rule]]
+            worth = [(caught - hit, x, hit) for caught, hit, x in tried if caught > hit]
+            if worth:
+                net, x, hit = max(worth)
+                ordered.append((hit, -net, k, x))
+        limits = []
+        for _, _, k, x in sorted(ordered):
+            more = [*limits, (k, x)]
+            held = [v for g, v, ch in mine if g and not ch]
+            n, wrong = len(held), sum(any(v[r] > c for r, c in more) for v in held)
+            if not n or sum(comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(wrong + 1)) > delta / len(strata):
+                break
+            limits = more
+        if limits:
+            found[stratum] = limits
+    return found
+
+
+def test_calibration_against_brute_force(spark):
+    from quire.llm.quality_rules import calibrate
+
+    rng = np.random.default_rng(11)
+    rows = []
+    # 70 strata of which some are large; null strata come as the stratum of no name.
+    for k, stratum in enumerate([*(f"s{j}" for j in range(66)), "", "x", "y", "z"]):
+        for good in (True, False):
+            for _ in range((900 if k % 7 == 0 else 30) // (1 if good else 6)):
+                share = rng.random() * (0.02 if good and rng.random() < 0.99 else 1.2)
+                rows.append((len(rows), stratum, good, (100, int(rng.integers(400, 1300)), int(100 * share), int(rng.integers(0, 3)), 0, 10, int(rng.integers(0, 60)))))
+    got = {r.stratum: [tuple(x) for x in r.limits] for r in calibrate(spark.createDataFrame(rows, KEY), 0.05, 0.05).collect()}
+    assert got == cutoffs_of(rows, 0.05, 0.05) and 3 <= len(got) < 70
     clean, junk = (100, 500, 0, 0, 0, 10, 10), (100, 500, 90, 0, 0, 10, 10)
-    kind = "stratum string, good boolean, counts struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_lines:long,n_capitals:long>"
-    many = spark.createDataFrame([("en", True, clean)] * 1200 + [("en", False, junk)] * 50 + [("fr", True, clean)] * 40 + [("fr", False, junk)] * 9, kind)
-    found = calibrate(many).collect()
-    assert [(r.stratum, r.rule, r.cutoff) for r in found] == [("en", "symbols", 0.5)]
+    many = [*[("en", True, clean)] * 1200, *[("en", False, junk)] * 50, *[("fr", True, clean)] * 40, *[("fr", False, junk)] * 9]
+    found = calibrate(spark.createDataFrame([(k, *r) for k, r in enumerate(many)], KEY)).collect()
+    assert [(r.stratum, [tuple(x) for x in r.limits]) for r in found] == [("en", [(0, 0.5)])]
 
 
 def test_certified_cutoffs_reject(spark):
@@ -155,6 +203,52 @@ def test_classifier(spark, docs, none, labels):
     assert keep_predicted(none, labels).count() == 0
 
 
+def statistics_of(text):
+    """The statistics of one text, in the order of FEATURES."""
+    text = text or ""
+    w, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, count = len(text), lambda chars: len(re.findall(f"[{chars}]", text))
+    per = lambda a, b: a / b if b else 0.0
+    return [
+        np.log1p(n), np.log1p(len(w)), per(sum(map(len, w)), len(w)), per(count("#*$%&<>"), len(w)), per(count("!?"), len(w)), per(count("|"), len(w)), per(count("A-Z"), n), per(count("0-9"), n),
+        per(count("."), len(w)), per(count(",;:"), len(w)), per(len(text.encode()) - n, n), np.log1p(len(lines)), per(len(w), len(lines)), per(len(lines) - len(set(lines)), len(lines)),
+        per(len(set(w)), len(w)), per(sum(a == b for a, b in zip(w, w[1:])), len(w)),
+    ]
+
+
+def written(spark, folder, **tables):
+    """A folder of tables as the queries read them."""
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_statistics_and_query(spark, docs, labels, tmp_path):
+    from quire.llm.quality_model import fit_quality, op1_quality_model
+
+    forest, features = fit_quality(docs, labels)
+    got = Counter((r.id, tuple(round(x, 9) for x in r.features)) for r in features.collect())
+    assert got == Counter((r[0], tuple(round(float(x), 9) for x in statistics_of(r[1]))) for r in awkward())
+    found = op1_quality_model(spark, written(spark, tmp_path, documents=docs.select("doc_id", "text", "lang", "source", "n_chars"), labels=labels)).collect()
+    assert len(found) == len(awkward())
+    for r in found:
+        score = min(forest.score(np.array([statistics_of(t)]))[0] for i, t in ((x[0], x[1]) for x in awkward()) if i == r.doc_id)
+        assert r.score == pytest.approx(score) and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_training_sample(spark):
+    from quire.llm.quality_model import fold_of, sampled_labels
+
+    labels = spark.createDataFrame([(k % 5000, int(k % 3 > 0)) for k in range(6000)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    whole = {r.id for r in sampled_labels(labels, "doc_id", "quality", 10**6).collect()}
+    assert whole == {k for k in range(5000) if zlib.crc32(str(k).encode()) % 3 != 1}
+    some = [r.id for r in sampled_labels(labels, "doc_id", "quality", 1000).collect()]
+    assert 990 <= len(set(some)) == len(some) <= 1000 and set(some) <= whole
+    assert sampled_labels(labels, "doc_id", "quality", 0).count() == 0
+    assert spark.range(1).select(fold_of(F.lit(5))).first()[0] == zlib.crc32(b"5") % 3
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
