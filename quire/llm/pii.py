@@ -5,7 +5,8 @@ small transducers rewrite disguises while keeping, for every character they emit
 characters it came from: look-alike letters and digits become ASCII, invisible characters vanish, spelled
 digits become digits, and at/dot disguises become the signs themselves. The same patterns run on the
 rewritten text, and each match is mapped back to source offsets. A mapped span is added when its source
-differs from its normal form and it overlaps no base span.
+differs from its normal form and no base span of its kind holds it; it may reach beyond a base span, as
+where a look-alike letter cuts the head off an address.
 
 Every rewriting looks at every text; what it may skip by follows from its own pattern alone, so whether a
 disguise is found never depends on other text of the document.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 import pyarrow as pa
@@ -237,6 +239,9 @@ def _signs(tape: Tape) -> Tape:
         a, b = m.span("at")
         dots = [(*d.span(), ".") for d in BARE_DOT.finditer(tape.text, m.start(), m.end())]
         spelled_at = tape.text[a:b].strip() != "@"
+        if b - a == 1:
+            # Behind an address as written, "dot" and a dot apart belong to the sentence.
+            dots = [d for d in dots if d[1] <= a or "." not in tape.text[b : d[0]]]
         after = [d for d in dots if d[0] >= b]
         # A bare "at" counts only with a disguised dot behind it; "a@b.c" as written needs no rewriting.
         if (spelled_at and after) or (not spelled_at and (b - a > 1 or dots)):
@@ -245,17 +250,20 @@ def _signs(tape: Tape) -> Tape:
 
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the rewritten text shows, as source offsets; none overlaps a base span."""
+    """Spans that only the rewritten text shows, as source offsets; none lies within a base span of its kind."""
     odd = ODD.search(text) is not None
     tape = _signs(_spelled_digits(_unmask_characters(Tape(text)) if odd else Tape(text)))
     if tape.text == text:
         return []
-    found, taken = [], sorted((s, e) for _, s, e in base)
+    # The base spans of one kind are in order and apart, so the last to start before a span is the only one to hold it.
+    held = {kind: ([s for k, s, _ in base if k == kind], [e for k, _, e in base if k == kind]) for kind in KINDS}
+    found = set()
     for kind, a, b in base_spans(tape.text):
         start, end = tape.starts[a], tape.ends[b - 1]
-        if text[start:end] != tape.text[a:b] and not any(s < end and start < e for s, e in taken):
-            found.append((kind, start, end))
-    return sorted(set(found), key=lambda x: (x[1], KINDS.index(x[0])))
+        at = bisect_right(held[kind][0], start) - 1
+        if text[start:end] != tape.text[a:b] and (at < 0 or held[kind][1][at] < end):
+            found.add((kind, start, end))
+    return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
 def render(spans: list[Span]) -> str:

@@ -308,6 +308,50 @@ def test_pii_leaves_prose_alone(docs):
     assert mask("a b@c.d e", scan("a b@c.d e")[0]) == "a [EMAIL] e"
 
 
+def test_disguises_that_overlap_base_spans():
+    from quire.llm.pii import mask, scan
+
+    for text, whole in [("ask jоhn.smith@ex.com now", "jоhn.smith@ex.com"), ("ask john dot smith@ex.com now", "john dot smith@ex.com"), ("ask bob@mail.ехample.com now", "bob@mail.ехample.com")]:
+        base, added = scan(text)
+        assert [(k, text[s:e]) for k, s, e in added] == [("email", whole)]
+        assert mask(text, [*base, *added]) == "ask [EMAIL] now"
+    # Behind an address as written, words and dots are prose.
+    for text in ("mail a@b.com dot the i", "mail a@b.com . The end", "mail a@b.com . the end\u200b"):
+        base, added = scan(text)
+        assert [text[s:e] for _, s, e in base] == ["a@b.com"] and added == []
+
+
+def test_disguises_do_not_hang_on_other_text():
+    from quire.llm.pii import scan
+
+    rng = np.random.default_rng(6)
+    parts = ["one", "five", "zwei", "trois", "un", "7", "12", "+1", "plus", "dot", "point", ".", "-", "(555)", "415", "at", "@", "[at]", "bob", "site", "com", "&#64;", "jоe", "x.org", "a@b.c", "4111", "1111", "192", "168", "ten", "the"]
+    for _ in range(4000):
+        text = " ".join(rng.choice(parts, rng.integers(2, 14)))
+        alone = scan(text)
+        for other in (" ; ; zz [at] yy [dot] xx", " ; ; four four four four zz", " ; ; z\u200bz"):
+            base, added = scan(text + other)
+            within = lambda spans: [x for x in spans if x[2] <= len(text)]
+            assert (within(base), within(added)) == alone, text
+
+
+def test_pii_query(spark, tmp_path):
+    from quire.llm.pii import KINDS, op4_pii, scan
+
+    texts = ["x a@b.c 1.2.3.4", "jоhn.smith@ex.com 4111 1111 1111 1111 +1 (555) 123-4567", None, "", "ring plus one five five five one two three four five six seven", "p 10.0.0.1 q@r.st 10.0.0.1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in op4_pii(spark, written(spark, tmp_path, documents=docs)).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        base = sorted(base_of(text or ""), key=lambda x: (x[1], KINDS.index(x[0])))
+        shown = ",".join(f"{n}:{s}:{e}" for n, s, e in base)
+        assert [got[k][f"n_{n}"] for n in KINDS] == [sum(x[0] == n for x in base) for n in KINDS]
+        assert got[k].base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        spans = sorted({*base, *scan(text)[1]}, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+        assert got[k].spans == ",".join(f"{n}:{s}:{e}" for n, s, e in spans)
+    assert got[1].spans.startswith("email:0:17,email:2:17")
+
+
 def test_pii_frames(spark, docs, none):
     from quire.llm.pii import find_spans, redact
 
