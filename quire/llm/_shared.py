@@ -40,10 +40,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/quire/{label}-{uuid.uuid4().hex}"
 
 
+#: Scratch tables written in this process, in order; those dropped since are still named.
+written: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared scratch folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,11 +80,23 @@ def join_salted(rows: DataFrame, small: DataFrame, key: str, how: str = "left",
     return dealt.join(copies, [key, salt], how).drop(salt)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_tables(spark: SparkSession, paths: list[str], readers: DataFrame) -> list[str]:
+    """Delete the scratch tables at paths that `readers` does not read; returns those it reads, which stay."""
+    read = {part for file in readers.inputFiles() for part in file.split("/")[-3:]} if paths else set()
+    kept = [p for p in paths if p.rsplit("/", 1)[1] in read]
+    for p in set(paths).difference(kept):
+        _delete(spark, p)
+    return kept
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all written tables of this package; call it when no result that reads them is still needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/quire")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_root(spark)}/quire")
 
 
 def words_of(text: Column) -> Column:
