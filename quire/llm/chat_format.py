@@ -4,11 +4,11 @@ The longest common turn prefix (equal role and text, turn by turn) becomes the p
 each conversation becomes its completion, rendered by the same template. Masks are spans of code points
 in a completion that training may learn from: text and end mark of assistant turns.
 
-Native throughout: one aggregation gathers the turns of both sides of a pair, everything else happens in
-the row. A rendered pair is one row by definition, so its turns meet in one place; no other key is used.
+Native throughout: one aggregation gathers the turns of a pair, everything else happens in the row. A
+rendered pair is one row by definition, so its turns meet in one place; no other key is used.
 
-Defined cases: a null role or text counts as empty; turns sort by number, then role and text, and repeated
-turns stay; a pair that lacks one side has that side empty; equal sides have empty completions and the
+Defined cases: a null role or text counts as empty; turns without a pair or conversation id are one pair of
+their own; turns sort by number (null first), then role and text, and repeated turns stay; a pair that lacks one side has that side empty; equal sides have empty completions and the
 status `identical`; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -56,21 +56,27 @@ def common_turns(a: Column, b: Column) -> Column:
     return F.coalesce(F.get(unlike, F.lit(0)) - 1, shorter)
 
 
-def format_preferences(turns: DataFrame, pair_col: str = "pair_id", side_col: str = "side", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per pair of turns (pair, side `chosen` or `rejected`, turn, role, text).
+def _turn(turn: Column, role: Column, text: Column) -> Column:
+    clean = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.struct(turn.alias("turn"), clean(role).alias("role"), clean(text).alias("text"))
 
-    Columns: pair_id, status, n_prompt_turns, n_chosen_turns, n_rejected_turns, prompt, chosen, rejected,
-    chosen_mask, rejected_mask.
-    """
-    turn = F.struct(
-        ticked(turn_col).alias("turn"),
-        F.coalesce(ticked(role_col).cast("string"), F.lit("")).alias("role"),
-        F.coalesce(ticked(text_col).cast("string"), F.lit("")).alias("text"),
-    )
+
+def format_preferences(turns: DataFrame, pair_col: str = "pair_id", side_col: str = "side", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """One row per pair of turns (pair, side `chosen` or `rejected`, turn, role, text); columns as in `format_pairs`."""
+    turn = _turn(ticked(turn_col), ticked(role_col), ticked(text_col))
     both = turns.groupBy(ticked(pair_col).alias("pair_id")).agg(
         F.sort_array(F.collect_list(F.when(ticked(side_col) == "chosen", turn))).alias("a"),
         F.sort_array(F.collect_list(F.when(ticked(side_col) == "rejected", turn))).alias("b"),
     )
+    return format_pairs(both)
+
+
+def format_pairs(both: DataFrame) -> DataFrame:
+    """One row per row of both (pair_id, a, b: the turns of the chosen and the rejected side in order).
+
+    Columns: pair_id, status, n_prompt_turns, n_chosen_turns, n_rejected_turns, prompt, chosen, rejected,
+    chosen_mask, rejected_mask.
+    """
     found = both.withColumn("n", common_turns(F.col("a"), F.col("b")))
     rest = lambda c: F.slice(c, F.col("n") + 1, F.greatest(F.size(c) - F.col("n"), F.lit(0)))
     found = found.select("pair_id", "n", F.slice("a", F.lit(1), F.col("n")).alias("p"), rest("a").alias("a"), rest("b").alias("b"))
@@ -91,22 +97,21 @@ def format_preferences(turns: DataFrame, pair_col: str = "pair_id", side_col: st
 
 
 def truncated_answers(conversations: DataFrame) -> DataFrame:
-    """Turns of both sides for every conversation: the rejected side's last assistant turn loses its second half.
+    """(pair_id, a, b): the turns of every conversation, and the same with its last assistant turn cut in half.
 
     A cut answer is a plain negative that keeps all earlier turns equal. Conversations without an
-    assistant turn have equal sides.
+    assistant turn have equal sides. Turns are shuffled once.
     """
-    last = conversations.where(F.col("role") == LEARNED_ROLE).groupBy("conv_id").agg(F.max("turn").alias("cut_turn"))
-    turns = conversations.select("conv_id", "turn", "role", "text").join(last, "conv_id", "left")
-    cut = (F.col("turn") == F.col("cut_turn")) & (F.col("role") == LEARNED_ROLE)
-    half = F.expr("substring(text, 1, length(text) div 2)")
-    sides = F.array(
-        F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")),
-        F.struct(F.lit("rejected").alias("side"), F.when(cut, half).otherwise(F.col("text")).alias("text")),
-    )
-    return turns.select("conv_id", "turn", "role", F.explode(sides).alias("s")).select("conv_id", "turn", "role", "s.side", "s.text")
+    turns = F.sort_array(F.collect_list(_turn(F.col("turn"), F.col("role"), F.col("text"))))
+    whole = conversations.groupBy(F.col("conv_id").alias("pair_id")).agg(turns.alias("a"), F.max(F.when(F.col("role") == LEARNED_ROLE, F.col("turn"))).alias("cut"))
+
+    def cut(t):
+        half = F.substring(t["text"], F.lit(1), F.floor(F.length(t["text"]) / 2).cast("int"))
+        text = F.when((t["turn"] == F.col("cut")) & (t["role"] == LEARNED_ROLE), half).otherwise(t["text"])
+        return F.struct(t["turn"].alias("turn"), t["role"].alias("role"), text.alias("text"))
+
+    return whole.select("pair_id", "a", F.transform("a", cut).alias("b"))
 
 
 def op10_preferences(spark, sf_dir: str) -> DataFrame:
-    found = format_preferences(truncated_answers(table(spark, sf_dir, "conversations")), pair_col="conv_id")
-    return found.withColumnRenamed("pair_id", "conv_id")
+    return format_pairs(truncated_answers(table(spark, sf_dir, "conversations"))).withColumnRenamed("pair_id", "conv_id")

@@ -79,7 +79,7 @@ WITH RECURSIVE steps AS (
   SELECT list(c ORDER BY i) AS tab FROM steps WHERE n = 8
 ), rows AS (
   SELECT doc_id, source, strlen(coalesce(text, '')) + 8 AS size, coalesce(text, '') AS text,
-         md5('42:' || coalesce(doc_id::varchar, '')) AS digest,
+         md5('42:' || coalesce(doc_id::varchar, '-' || md5(coalesce(text, '')))) AS digest,
          CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS stratum
   FROM documents
 ), ranked AS (

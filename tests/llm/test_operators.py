@@ -378,6 +378,11 @@ def test_interleaving(spark, docs, none):
     # A run of equal length cuts each source within one row, and its ends lie within one row of the exact quantile.
     assert all(abs(mix[s, x] - total[x] / 24) < 2 for s in range(24) for x in total)
     assert interleave(none).count() == 0 and interleave(docs.limit(2)).count() == 2
+    # Every source of one row, and rows without ids: fractions all tie.
+    lone = spark.createDataFrame([(None if k % 2 else k, f"t{k}", f"s{k}") for k in range(600)], "doc_id long, text string, source string")
+    slots = sorted((r.shard, r.slot) for r in interleave(lone, shards=7).collect())
+    sizes = Counter(s for s, _ in slots)
+    assert slots == [(s, k) for s in range(7) for k in range(sizes[s])] and set(sizes.values()) == {85, 86}
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, v int, cell string"
@@ -527,6 +532,17 @@ def test_preferences(spark):
     assert format_preferences(df.limit(0)).count() == 0
 
 
+def test_preference_query(spark, tmp_path):
+    from quire.llm.chat_format import op10_preferences
+
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "abcdef"), (1, 2, "user", "ok"), (None, 0, "assistant", "first"), (None, 1, "assistant", "xy"), (2, None, None, None), (3, 0, "assistant", ""), (3, 0, "assistant", "")]
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, a int")
+    got = {r.conv_id: r for r in op10_preferences(spark, written(spark, tmp_path, conversations=turns)).collect()}
+    assert set(got) == {1, None, 2, 3} and {k: r.status for k, r in got.items()} == {1: "paired", None: "paired", 2: "identical", 3: "identical"}
+    assert got[1].chosen == "<|assistant|>\nabcdef<|end|>\n<|user|>\nok<|end|>\n" and got[1].rejected == "<|assistant|>\nabc<|end|>\n<|user|>\nok<|end|>\n"
+    assert got[None].prompt == "<|assistant|>\nfirst<|end|>\n" and got[None].rejected == "<|assistant|>\nx<|end|>\n"
+
+
 def test_scratch(spark):
     from quire.llm._shared import clear_scratch, materialise, scratch_root
 
