@@ -53,6 +53,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _keyed(df: DataFrame, key: str, wanted: DataFrame, keep: bool) -> DataFrame:
+    bucket, bits, at = spare_name(df, "kk_bucket"), spare_name(df, "kk_bits"), F.bitmap_bit_position(ticked(key))
+    maps = wanted.groupBy(F.bitmap_bucket_number("key").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias(bits))
+    maps = materialise(maps, "bitmaps")
+    small = maps.count() <= MAX_BITMAPS
+    byte = F.conv(F.hex(F.substring(ticked(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn(bucket, F.bitmap_bucket_number(ticked(key))).join(F.broadcast(maps) if small else maps, bucket, "inner" if keep else "left")
+    among = F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return found.where(among if keep else ~among).select(*[ticked(c) for c in df.columns])
+
+
 def keep_keys(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of df whose key (a row number from monotonically_increasing_id) is in wanted(key).
 
@@ -60,13 +71,12 @@ def keep_keys(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     broadcast, so df is not shuffled; beyond, each bitmap meets its rows by a join on the bucket, which is
     the same size for every key.
     """
-    bucket, bits, at = spare_name(df, "kk_bucket"), spare_name(df, "kk_bits"), F.bitmap_bit_position(ticked(key))
-    maps = wanted.groupBy(F.bitmap_bucket_number("key").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias(bits))
-    maps = materialise(maps, "bitmaps")
-    small = maps.count() <= MAX_BITMAPS
-    byte = F.conv(F.hex(F.substring(ticked(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = df.withColumn(bucket, F.bitmap_bucket_number(ticked(key))).join(F.broadcast(maps) if small else maps, bucket)
-    return found.where(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*[ticked(c) for c in df.columns])
+    return _keyed(df, key, wanted, True)
+
+
+def drop_keys(df: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
+    """The rows of df whose key is not in unwanted(key), by the same bitmaps."""
+    return _keyed(df, key, unwanted, False)
 
 
 def join_salted(rows: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:

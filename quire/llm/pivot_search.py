@@ -11,11 +11,13 @@ expansion stops at the first annulus whose bound, from | d(query, pivot) - d(vec
 that score. What remains is scored block by block. Bounds are widened for rounding, so ties at the k-th
 score are never lost.
 
-The directory of annuli has at most PIVOTS x RINGS rows and is the only thing broadcast. Queries are
-dealt in blocks; queries and vectors meet by a join on (pivot, ring).
+Annuli are cut at quantiles of the distances around their pivot, so that each holds about RING_ROWS vectors
+or, in a large table, an equal share of its pivot's. The directory of annuli has at most PIVOTS x RINGS rows
+and is the only thing broadcast. Queries are dealt in blocks; queries and vectors meet by a join on (pivot,
+ring, part): the blocks of an annulus that many equal vectors fill are dealt over parts.
 
-Defined cases: null vectors, and vectors with a null or non-finite component, take no part; shorter
-vectors are padded with zeros; rows that share the query's id are not its candidates, and a repeated
+Defined cases: null vectors, and vectors with a null or non-finite component, take no part, nor do vectors
+whose squared norm reaches 2^62, as their scores might not fit a long; shorter vectors are padded with zeros; rows that share the query's id are not its candidates, and a repeated
 query id is one query; repeated candidates each count; fewer than k candidates give fewer ranks; an empty
 table gives an empty result; further columns are ignored.
 """
@@ -34,6 +36,8 @@ PIVOTS = 48
 #: Rows from which pivots are chosen: those with the smallest digests of their ids.
 PIVOT_SAMPLE = 2048
 RINGS = 256
+#: Vectors an annulus should hold at least, and blocks of an annulus that one task scores.
+RING_ROWS, PART_BLOCKS = 1024, 8
 BLOCK_ROWS, QUERY_ROWS = 1024, 256
 #: Scores are exact in doubles below this bound on a sum of products; beyond it integers are used.
 EXACT = 2.0**52
@@ -54,7 +58,7 @@ def _quantised(batches):
             if v is None or i is None or any(x is None for x in v):
                 continue
             x = np.floor(SCALE * np.array(v, np.float64))
-            if np.isfinite(x).all():
+            if np.isfinite(x).all() and x @ x < 2.0**62:
                 q = x.astype("<i8")
                 ids.append(i)
                 kept.append(q.tobytes())
@@ -80,7 +84,6 @@ class Geometry:
     def __init__(self, pivots: np.ndarray, largest: float):
         self.pivots, self.largest = pivots.astype(float), largest
         self.lift = np.sqrt(np.maximum(largest - (self.pivots**2).sum(1), 0))
-        self.reach = 2.0 * np.sqrt(largest) + 1.0
         #: Widens every bound: distances carry rounding errors of a few units in the last place of M^2.
         self.slack = 1.0 + largest * 1e-9
 
@@ -106,8 +109,7 @@ def _keyed(shared, width: int):
             d = g.of_vectors(_matrix(b.column(1), width))
             cell = d.argmin(1)
             dist = d[np.arange(len(d)), cell]
-            ring = np.minimum((dist / g.reach * RINGS).astype(np.int32), RINGS - 1)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(ring), pa.array(dist)], names=["vec_id", "v", "cell", "ring", "dist"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(dist)], names=["vec_id", "v", "cell", "dist"])
 
     return run
 
@@ -153,7 +155,7 @@ BLOCK = "block long, cell int, ring int, least double, most double, ids array<lo
 
 
 def _home(shared, width: int, rings: np.ndarray):
-    """For every query of a block the one annulus it starts with: rings has (cell, ring, least, most) rows."""
+    """For every query of a block the one annulus it starts with: rings has (cell, ring, least, most, parts) rows."""
 
     def run(batches):
         g: Geometry = shared.value
@@ -166,7 +168,7 @@ def _home(shared, width: int, rings: np.ndarray):
                 # The nearest pivot that holds vectors, then the ring nearest to the query's own distance.
                 near = d[:, rings[:, 0].astype(int)] + gap
                 pick = near.argmin(1)
-                out += [(block, int(rings[p, 0]), int(rings[p, 1]), np.flatnonzero(pick == p).astype("<i4").tobytes()) for p in np.unique(pick)]
+                out += [(block, int(rings[p, 0]), int(rings[p, 1]), part, np.flatnonzero(pick == p).astype("<i4").tobytes()) for p in np.unique(pick) for part in range(int(rings[p, 4]))]
             yield _pairs(out)
 
     return run
@@ -192,18 +194,29 @@ def _rest(shared, width: int, rings: np.ndarray):
                 for p in np.argsort(gap.min(0), kind="stable"):
                     who = np.flatnonzero(open_[:, p])
                     if len(who):
-                        out.append((block, int(rings[p, 0]), int(rings[p, 1]), who.astype("<i4").tobytes()))
+                        out += [(block, int(rings[p, 0]), int(rings[p, 1]), part, who.astype("<i4").tobytes()) for part in range(int(rings[p, 4]))]
             yield _pairs(out)
 
     return run
 
 
 def _pairs(rows):
-    cols = list(zip(*rows)) or [()] * 4
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["qblock", "cell", "ring", "who"])
+    cols = list(zip(*rows)) or [()] * 5
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["qblock", "cell", "ring", "part", "who"])
 
 
-PAIRS = "qblock long, cell int, ring int, who binary"
+PAIRS = "qblock long, cell int, ring int, part int, who binary"
+
+
+def _with_rings(keyed: DataFrame) -> DataFrame:
+    """keyed with `ring`: the annulus of each row, by quantiles of dist within its cell (at most RINGS a cell)."""
+    sizes = {r.cell: r["count"] for r in keyed.groupBy("cell").count().collect()}  # a row a pivot
+    wanted = {c: min(RINGS, max(1, n // RING_ROWS)) for c, n in sizes.items()}
+    cut = F.percentile_approx("dist", F.lit([k / RINGS for k in range(1, RINGS)]), F.lit(10_000))
+    edges = {r.cell: [r.q[k * RINGS // wanted[r.cell] - 1] for k in range(1, wanted[r.cell])] for r in keyed.groupBy("cell").agg(cut.alias("q")).collect()}
+    bounds = keyed.sparkSession.createDataFrame(sorted(edges.items()), "cell int, edges array<double>")
+    ring = F.size(F.filter("edges", lambda e: e <= F.col("dist")))
+    return keyed.join(F.broadcast(bounds), "cell").select("vec_id", "v", "cell", ring.alias("ring"), "dist")
 
 
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int):
@@ -257,18 +270,21 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     width, largest = max(size.width // 8, 1), float(size.largest)
     sample = clean.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary")), "vec_id").limit(PIVOT_SAMPLE).select("v").toArrow()
     shared = spark.sparkContext.broadcast(Geometry(choose_pivots(_matrix(sample["v"].combine_chunks(), width), pivots), largest))
-    keyed = materialise(clean.select("vec_id", "v").mapInArrow(_keyed(shared, width), "vec_id long, v binary, cell int, ring int, dist double"), "keyed")
+    keyed = _with_rings(materialise(clean.select("vec_id", "v").mapInArrow(_keyed(shared, width), "vec_id long, v binary, cell int, dist double"), "keyed"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["cell", "ring", "dist", "vec_id"]
     index = materialise(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks(BLOCK_ROWS, width), BLOCK), "index")
     asked = keyed.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
     asked = asked.repartitionByRange(parts, "cell", "dist", "vec_id").sortWithinPartitions("cell", "dist", "vec_id").withColumn("cell", F.lit(0)).withColumn("ring", F.lit(0))
     queries = materialise(asked.mapInArrow(_blocks(QUERY_ROWS, width), BLOCK).select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vectors").alias("qs")), "queries")
-    found = index.groupBy("cell", "ring").agg(F.min("least").alias("least"), F.max("most").alias("most")).orderBy("cell", "ring").collect()
-    rings = np.array([tuple(r) for r in found], float).reshape(-1, 4)
+    parts = F.ceil(F.count(F.lit(1)) / PART_BLOCKS).cast("int")
+    directory = materialise(index.groupBy("cell", "ring").agg(F.min("least").alias("least"), F.max("most").alias("most"), parts.alias("parts")), "directory")
+    rings = np.array([tuple(r) for r in directory.orderBy("cell", "ring").collect()], float).reshape(-1, 5)
+    dealt = index.join(F.broadcast(directory.select("cell", "ring", "parts")), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
+    dealt = dealt.select("cell", "ring", "part", "ids", "vectors")
 
     def score(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(queries, "qblock").join(index.select("cell", "ring", "ids", "vectors"), ["cell", "ring"])
+        met = pairs.join(queries, "qblock").join(dealt, ["cell", "ring", "part"])
         return met.select("who", "qids", "qs", "ids", "vectors").mapInArrow(_scored(width, k, largest * 2 < EXACT), "query_id long, vec_id long, score long")
 
     start = materialise(score(queries.select("qblock", "qs").mapInArrow(_home(shared, width, rings), PAIRS)), "first")

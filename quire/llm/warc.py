@@ -3,13 +3,15 @@
 Writing: one record per page, as a native expression; Spark's own text writer puts records into files
 (records end in a blank line, which is its line separator), so archives land on any file system with
 Spark's commit protocol and a lost executor leaves no half-written file. Of pages with equal payloads the
-smallest id is a `response`, the others are `revisit` records that refer to it. Archives are rolled at a
+smallest id is a `response`, the others are `revisit` records that refer to it. Which rows are revisits is
+settled on narrow rows; payloads stay where they are, and a revisit has none to write. Archives are rolled at a
 bounded size and gzip-compressed as whole files.
 
 Reading: every archive is parsed by its records' own lengths. Its captures, sorted by (URL key,
 timestamp, page id), form one run, written to the shared folder. Runs are dealt out by key range, and each
 range merges its run segments with a k-way loser tree, so that ranges in order hold one globally ordered
-capture history. A range holds bounded rows (captures over ranges), never all of a host.
+capture history. There are as many ranges as RANGE_ROWS asks for, so a task holds about so many captures
+at any size, never all of a host.
 
 Defined cases: a null payload is empty; a null URL has an empty URL key; repeated rows share their type
 (rows equal in id and payload are all responses or all revisits); the separator inside a payload is
@@ -28,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._shared import materialise, scratch_path, table, ticked
+from quire.llm._shared import drop_keys, materialise, scratch_path, table, ticked
 
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of records before an archive is rolled, on average.
 ARCHIVE_BYTES = 16 << 20
-#: Rows of the table of repeated payloads up to which it is broadcast (about 60 bytes a row).
-BROADCAST_REPEATS = 100_000
+#: Captures that one range of the merge holds, about.
+RANGE_ROWS = 200_000
 #: First capture time; a page's capture time is this plus its id in seconds, where the table has none.
 EPOCH = 1_704_067_200
 
@@ -60,11 +62,13 @@ def _header_safe(text: Column) -> Column:
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
-    """(record): the record of each row of pages (page_id, url, payload, first): first is the id it revisits, or null."""
-    payload = F.coalesce(F.col("payload"), F.lit(""))
+    """(record): the record of each row of pages (page_id, url, payload, size, digest, first).
+
+    first is the id it revisits, or null; a revisit needs no payload, only its size and SHA-1 in base32.
+    """
     revisit = F.col("first").isNotNull()
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(payload).cast("string"), F.lit(CRLF * 2))
-    block = F.when(revisit, http).otherwise(F.concat(http, payload))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
+    block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     when = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col("page_id").cast("long"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
         F.lit("WARC/1.1"),
@@ -72,7 +76,7 @@ def warc_records(pages: DataFrame) -> DataFrame:
         F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"))),
         F.concat(F.lit("WARC-Date: "), when),
         F.concat(F.lit("WARC-Target-URI: "), _header_safe(F.col("url"))),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_sha1(payload.cast("binary"))),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: {REVISIT_PROFILE}{CRLF}WARC-Refers-To: "), record_id(F.col("first")), F.lit(f"{CRLF}X-Refers-To-Page: "), F.col("first").cast("string"))),
         F.concat(F.lit("X-Page: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
         F.lit("Content-Type: application/http; msgtype=response"),
@@ -84,19 +88,19 @@ def warc_records(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
     """Archives of all rows under path; payloads shorter than least_bytes are responses without revisits."""
     rows = pages.select(ticked(id_col).alias("page_id"), ticked(url_col).alias("url"), F.coalesce(ticked(payload_col).cast("string"), F.lit("")).alias("payload"))
-    digest, size = F.sha1(F.col("payload").cast("binary")), F.octet_length("payload")
-    repeats = materialise(
-        rows.select("page_id", digest.alias("digest"), size.alias("size")).where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")),
-        "payloads",
-    )
-    total = repeats.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count_if(F.col("n") > 1).alias("repeated")).first()
-    twice = repeats.where("n > 1").select("digest", "least")
-    known = F.broadcast(twice) if total.repeated <= BROADCAST_REPEATS else twice
-    marked = rows.withColumn("digest", digest).join(known, "digest", "left")
-    first = F.when((size >= least_bytes) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("least"))), F.col("least"))
-    per_file = max(1, int(ARCHIVE_BYTES // max(1, (total.bytes or 0) // max(1, total.n or 1) + 600)))
-    records = warc_records(marked.select("page_id", "url", "payload", first.alias("first")))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    rows = rows.withColumn("key", F.monotonically_increasing_id()).withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
+    rows = materialise(rows, "payloads")
+    narrow = rows.select("key", "page_id", "url", "digest", "size")
+    least = narrow.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    later = F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))
+    # Adaptive execution broadcasts the repeated digests or splits the rows of a hot one; either way only narrow rows move.
+    revisits = materialise(narrow.where(F.col("size") >= least_bytes).join(least, "digest").where(later & F.col("first").isNotNull()), "revisits")
+    responses = drop_keys(rows, "key", revisits.select("key"))
+    total = narrow.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
+    per_file = max(1, int(ARCHIVE_BYTES // max(1, (total.bytes or 0) // max(1, total.n) + 600)))
+    fields = ["page_id", "url", "payload", "size", "digest", "first"]
+    records = responses.withColumn("first", F.lit(None).cast(revisits.schema["first"].dataType)).select(*fields).unionByName(revisits.withColumn("payload", F.lit("")).select(*fields))
+    warc_records(records).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def url_key(url: str) -> str:
@@ -218,8 +222,8 @@ def capture_index(spark, path: str) -> DataFrame:
     """
     archives = spark.read.format("binaryFile").load(path).select("path", "content")
     runs = materialise(archives.mapInArrow(_runs, RUN_SQL), "runs")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartitionByRange(parts, "key", "stamp", "page").sortWithinPartitions("run", "seq")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    dealt = runs.repartitionByRange(parts, "key", "stamp", "page", "run", "seq").sortWithinPartitions("run", "seq")
     return dealt.mapInArrow(_merge, "part int, position long, " + RUN_SQL)
 
 
