@@ -125,3 +125,22 @@ def panel_letters(caption: Column) -> Column:
     marks = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\(([a-z])\)"), F.lit(1)))
     found = F.coalesce(ranged, marks)
     return F.when(F.size(found) >= 2, found).otherwise(F.array().cast("array<string>"))
+
+
+def figure_label(caption: Column) -> Column:
+    """The label that leads a figure caption, else `Fig.`."""
+    found = F.regexp_extract(F.coalesce(caption, F.lit("")), r"(?i)^\s*((?:Fig(?:ure)?|Scheme)\.?\s*S?\d+)", 1)
+    return F.when(found == "", "Fig.").otherwise(F.regexp_replace(F.trim(found), r"\s+", " "))
+
+
+def panel_caption(label: Column, letter: Column, whole: Column, most: int = 120) -> Column:
+    """Caption of one panel: its label and letter, then the whole caption without its label and panel marks."""
+    bare = F.regexp_replace(label, r"\.+$", "")
+    head = F.concat(bare, F.when(bare.rlike(r"\d$"), F.lit("")).otherwise(F.lit(" ")), F.lower(letter))
+    edges = lambda c, chars: F.regexp_replace(c, rf"^[{chars}]+|[{chars}]+$", "")
+    flat = F.trim(F.regexp_replace(F.coalesce(whole, F.lit("")), r"\s+", " "))
+    rest = edges(F.regexp_replace(flat, r"(?i)^\s*(?:Fig(?:ure)?|Scheme)\.?\s*S?\d+", ""), r" .:—–\-")
+    rest = F.regexp_replace(rest, r"(?i)\(\s*[a-h]\s*\)\s*[–\-−~～]\s*\(\s*[a-h]\s*\)|\(\s*[a-h]\s*[–\-−~～]\s*[a-h]\s*\)", "")
+    rest = F.regexp_replace(F.regexp_replace(rest, r"(?i)\(\s*[a-h]\s*\)", ""), r"\s+", " ")
+    rest = F.substring(edges(rest, r" .,—–\-"), 1, most)
+    return F.when(rest == "", F.substring(head, 1, most)).otherwise(F.concat(head, F.lit(" — "), rest))

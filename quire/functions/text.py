@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,14 +33,26 @@ def normalize_page(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(flowed, r"[ \t]+", " "), r"^\s+|\s+$", "")
 
 
+def folded_forms(text: Column) -> Column:
+    """Compatibility composition, then full case folding."""
+
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in texts], dtype=object)
+
+    return fold(text)
+
+
 def title_key(title: Column) -> Column:
     """Case-folded letters and digits with single spaces; a leading `title:` goes.
 
-    Folding is lower case with the sharp s spelled out. Compatibility forms are expected to be normalised
-    by the reader that made the text.
+    Compatibility forms and full case folding come from Python, for titles that hold characters beyond Latin-1.
     """
-    folded = F.replace(F.lower(F.trim(F.coalesce(title, F.lit("")))), F.lit("ß"), F.lit("ss"))
-    bare = F.regexp_replace(folded, r"^title\s*:\s*", "")
+    raw = F.coalesce(title, F.lit(""))
+    latin = F.replace(F.lower(raw), F.lit("ß"), F.lit("ss"))
+    far = raw.rlike("[^\u0000-\u007f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+    folded = F.when(far, folded_forms(F.when(far, raw))).otherwise(latin)
+    bare = F.regexp_replace(folded, r"^\s*title\s*:\s*", "")
     return squeeze(F.regexp_replace(bare, r"[^\p{L}\p{N}_\s]+", " "))
 
 
@@ -105,6 +120,12 @@ def invite_format(code: Column) -> Column:
     return F.when(F.length(c) == 8, F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 4))).otherwise(c)
 
 
+def invite_hash(code: Column) -> Column:
+    """Digest of the code's letters and digits, blank where there are none."""
+    bare = invite_code(code)
+    return F.when(bare == "", "").otherwise(digest(bare))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from quire.functions.text import redact_secrets
 
 # Access states; limits of error reports and stores.
-ACCESS = ("none", "pending", "approved", "denied")
+ACCESS = ("none", "pending", "allowed", "denied", "byok")
 KIND_CHARS, MESSAGE_CHARS, STACK_CHARS = 64, 500, 4000
 MOST_LINKS, USED_DAYS, UNUSED_DAYS = 500, 2, 1
 #: Anchored grammars of identifiers.
 GRAMMAR = {
     "cache": r"^[A-Za-z0-9_\-]{1,64}$",
     "job": r"^[a-f0-9]{8,64}$",
+    "upload": r"^upl_[a-f0-9]{12}$",
     "sentence": r"^sent_\d{1,8}$",
     "uid": r"^[A-Za-z0-9_\-:.]{1,128}$",
 }
@@ -98,7 +99,7 @@ def access_status(raw: Column) -> Column:
 
 
 def may_use_paid(gate_on: Column, is_admin: Column, status: Column) -> Column:
-    return ~gate_on | is_admin | (access_status(status) == "approved")
+    return ~gate_on | is_admin | access_status(status).isin("allowed", "byok")
 
 
 def is_admin(address: Column, admins: Column) -> Column:

@@ -62,12 +62,15 @@ def merge_notes(revisions: DataFrame) -> DataFrame:
     return one.withColumn("rev", F.row_number().over(order)).drop("_c")
 
 
-def text_revisions(edits: DataFrame, note: list[str], at: str, body: str) -> DataFrame:
-    """Edits that change the right-trimmed text, numbered from 1."""
+def text_revisions(edits: DataFrame, note: list[str], at: str, body: str, last: DataFrame | None = None) -> DataFrame:
+    """Edits that change the right-trimmed text, numbered on from the last (note, rev, body) of each note, else from 1."""
     order = Window.partitionBy(*note).orderBy(at)
     trimmed = edits.withColumn("_b", F.rtrim(body))
-    changed = trimmed.withColumn("_last", F.lag("_b").over(order)).where(~F.col("_b").eqNullSafe(F.col("_last")))
-    return changed.withColumn("rev", F.row_number().over(order)).select(*note, "rev", at, F.col("_b").alias(body))
+    known = last.select(*note, F.col("rev").alias("_rev"), F.rtrim(body).alias("_old")) if last is not None else None
+    trimmed = trimmed.join(known, note, "left") if known is not None else trimmed.withColumn("_rev", F.lit(0)).withColumn("_old", F.lit(None).cast("string"))
+    before = F.when(F.row_number().over(order) == 1, F.col("_old")).otherwise(F.lag("_b").over(order))
+    changed = trimmed.withColumn("_last", before).where(~F.col("_b").eqNullSafe(F.col("_last")))
+    return changed.withColumn("rev", F.row_number().over(order) + F.coalesce("_rev", F.lit(0))).select(*note, "rev", at, F.col("_b").alias(body))
 
 
 def latest_revision(revisions: DataFrame, note: list[str], body: str) -> DataFrame:
@@ -89,21 +92,24 @@ def ordered_library(papers: DataFrame, order: DataFrame, owner: str, key: str =
 def match_titles(docs: DataFrame, catalog: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, id, title_key): for each head the longest catalog key it contains; the earliest entry at ties.
 
-    docs has (doc, head, source), heads being title keys; catalog has (id, pos, title_key, source). A key
-    of at least 24 characters can only be inside a head that has the key's first 24, so candidates come
-    from an equi-join on those and are then verified.
+    docs has (doc, head, source), heads being title keys; catalog has (id, pos, title_key, source). Both
+    have single spaces, so every inner word of a contained key is a word of the head: candidates come from an
+    equi-join on the key's longest inner word, and are then verified. The few keys of one or two words are
+    looked up by their first 24 characters instead, at every place of a head.
     """
     heads = docs.where(F.length("head") >= LEAST_KEY)
-    # Cut twice: finding a character takes time in proportion to its place, so shingles come from short pieces.
-    cuts = F.transform(F.sequence(F.lit(0), F.expr(f"(length(head) - {LEAST_KEY}) div {PIECE}").cast("int")), lambda i: F.substr(F.col("head"), i * PIECE + 1, F.lit(PIECE + LEAST_KEY - 1)))
-    pieces = heads.select(doc, "source", F.explode(cuts).alias("piece"))
-    shingles = F.transform(F.sequence(F.lit(1), F.length("piece") - LEAST_KEY + 1), lambda i: F.substr(F.col("piece"), i, F.lit(LEAST_KEY)))
-    leads = pieces.select(doc, "source", F.explode(shingles).alias("lead"))
-    keys = catalog.where(F.length("title_key") >= LEAST_KEY).select("id", "pos", "source", "title_key", F.substring("title_key", 1, LEAST_KEY).alias("lead"))
-    size = keys.agg(F.sum(F.octet_length("title_key") + 64).alias("bytes")).first().bytes or 0
-    candidates = leads.join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, ["lead", "source"]).select(doc, "id", "pos", "title_key").distinct().join(heads.select(doc, "head"), doc)
-    found = candidates.where(F.contains("head", "title_key"))
-    return _first(found, [doc], [F.desc(F.length("title_key")), "pos"]).select(doc, "id", "title_key")
+    words = F.split("title_key", " ")
+    inner = F.array_sort(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda a, b: F.length(b) - F.length(a))
+    keys = catalog.where(F.length("title_key") >= LEAST_KEY).withColumn("word", F.get(inner, F.lit(0)))
+    spoken = heads.select(doc, "source", F.explode(F.array_distinct(F.split("head", " "))).alias("word"))
+    found = spoken.join(keys.where("word is not null"), ["word", "source"]).select(doc, "id", "pos", "title_key")
+    lone = keys.where("word is null").select("id", "pos", "source", "title_key", F.substring("title_key", 1, LEAST_KEY).alias("lead"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("head") - LEAST_KEY + 1), lambda i: F.substr(F.col("head"), i, F.lit(LEAST_KEY)))
+    if lone.limit(1).count():
+        leads = heads.select(doc, "source", F.explode(F.array_distinct(starts)).alias("lead"))
+        found = found.unionByName(leads.join(lone, ["lead", "source"]).select(doc, "id", "pos", "title_key"))
+    verified = found.join(heads.select(doc, "head"), doc).where(F.contains("head", "title_key"))
+    return _first(verified, [doc], [F.desc(F.length("title_key")), "pos"]).select(doc, "id", "title_key")
 
 
 def newest(rows: DataFrame, order: list, keep: int = LIBRARY_CAP, by: list[str] | None = None) -> DataFrame:
@@ -113,16 +119,38 @@ def newest(rows: DataFrame, order: list, keep: int = LIBRARY_CAP, by: list[str]
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= keep).drop("_rank")
 
 
-def upsert(catalog: DataFrame, entry: DataFrame) -> DataFrame:
-    """catalog with entry's rows put in, replacing rows of the same id or the same (title_key, source)."""
+def upsert(catalog: DataFrame, entry: DataFrame, pos: str | None = None) -> DataFrame:
+    """catalog with entry's rows put in, replacing rows of the same id or the same (title_key, source).
+
+    With `pos`, the column of places, new entries stand before all others: their places are negative.
+    """
     kept = catalog.join(entry.select("id"), "id", "left_anti").join(entry.select("title_key", "source"), ["title_key", "source"], "left_anti")
-    return entry.select(catalog.columns).unionByName(kept.select(catalog.columns))
+    new = entry if pos is None else entry.withColumn(pos, -F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")).cast(catalog.schema[pos].dataType))
+    return new.select(catalog.columns).unionByName(kept.select(catalog.columns))
+
+
+def deleted_entries(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Entries that requests (id, title_key, source) name: by id, else by title key and source."""
+    by_id = catalog.join(wanted.select("id"), "id", "left_semi")
+    rest = wanted.join(catalog.select("id"), "id", "left_anti").select("title_key", "source")
+    return by_id.unionByName(catalog.join(rest, ["title_key", "source"], "left_semi").select(catalog.columns)).distinct()
 
 
 def delete_cascade(child: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return child.join(deleted.select(key), key, "left_anti")
 
 
+def evict_oldest(entries: DataFrame, keep: int = LIBRARY_CAP, pos: str = "pos") -> DataFrame:
+    """The `keep` entries made last, by creation else update time; at ties the later place stays."""
+    made = F.coalesce("created_at", "updated_at", F.lit(""))
+    return newest(entries.where(F.coalesce("id", F.lit("")) != ""), [made.desc(), F.desc(pos)], keep)
+
+
+def publish(remote: DataFrame, local: DataFrame) -> DataFrame:
+    """The remote index after an upload of local entries: both replicas merged, the remote first at ties."""
+    return merge_library(remote.withColumn("replica", F.lit(0)).unionByName(local.withColumn("replica", F.lit(1))))
+
+
 def cache_hit(pipeline: Column, current: str, source: Column, figures: Column) -> Column:
     """Whether a stored paper may be reused: same pipeline, and a docx must have figures."""
     return (pipeline == current) & ((source != "docx") | (figures > 0))

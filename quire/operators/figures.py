@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 BELOW, ABOVE, SLACK, SIDE, SHARE = 150.0, 120.0, 10.0, 40.0, 0.12
 OVERLAP = 0.55
 LEAST_SIDE, LEAST_BYTES = 40.0, 2000
+TABLE_WIDTH, TABLE_HEIGHT, TABLE_OVERLAP = 40.0, 30.0, 0.5
 
 
 def embedded(images: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,20 +41,33 @@ def candidates(captions: DataFrame, images: DataFrame, page: list[str]) -> DataF
     return near.withColumn("mode", mode).where("mode is not null").select(*page, "caption_no", "image_no", "mode", F.when(F.col("mode") == 0, below).otherwise(above).alias("gap"), area.alias("area"), *[F.col("i" + b).alias(b) for b in boxes])
 
 
-def _shares(a: tuple, b: tuple) -> bool:
-    """Whether two boxes (x0, y0, x1, y1) overlap by more than OVERLAP of the smaller."""
+def table_candidates(captions: DataFrame, tables: DataFrame, page: list[str]) -> DataFrame:
+    """The same for tables (page, image_no, x0, y0, x1, y1) of a least size; mode 0: the table below its caption."""
+    boxes = ("x0", "y0", "x1", "y1")
+    c = captions.select(*page, "caption_no", *[F.col(b).alias("c" + b) for b in boxes])
+    i = tables.where((F.col("x1") - F.col("x0") >= TABLE_WIDTH) & (F.col("y1") - F.col("y0") >= TABLE_HEIGHT)).select(*page, "image_no", *[F.col(b).alias("i" + b) for b in boxes])
+    under, over = F.col("iy0") - F.col("cy1"), F.col("cy0") - F.col("iy1")
+    mode = F.when(under.between(0, ABOVE), 0).when(over.between(0, BELOW), 1)
+    area = (F.col("ix1") - F.col("ix0")) * (F.col("iy1") - F.col("iy0"))
+    near = c.join(i, page).where(beside("c", "i")).withColumn("mode", mode).where("mode is not null")
+    return near.select(*page, "caption_no", "image_no", "mode", F.when(F.col("mode") == 0, under).otherwise(over).alias("gap"), area.alias("area"), *[F.col("i" + b).alias(b) for b in boxes])
+
+
+def _shares(a: tuple, b: tuple, part: float = OVERLAP) -> bool:
+    """Whether two boxes (x0, y0, x1, y1) overlap by more than `part` of the smaller."""
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    return w > 0 and h > 0 and w * h > OVERLAP * min((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b))
+    return w > 0 and h > 0 and w * h > part * min((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b))
 
 
-def assign(captions: DataFrame, images: DataFrame, page: list[str]) -> DataFrame:
+def assign(captions: DataFrame, images: DataFrame, page: list[str], tables: bool = False) -> DataFrame:
     """(page, caption_no, image_no, mode): in caption order each takes its best image not yet covered.
 
     Candidates come from a join bounded by the page, best first; the choice is sequential within a page
     and runs over whole partitions, holding the boxes taken on one page.
     """
     boxes = ["x0", "y0", "x1", "y1"]
-    found = candidates(captions, images, page)
+    found = (table_candidates if tables else candidates)(captions, images, page)
+    part = TABLE_OVERLAP if tables else OVERLAP
     kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in [*page, "caption_no", "image_no", "mode"])
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +78,7 @@ def assign(captions: DataFrame, images: DataFrame, page: list[str]) -> DataFrame
                 where, caption, box = row[: len(page)], row[len(page)], row[len(page) + 1 :]
                 if where != here:
                     here, served, used = where, None, []
-                take = caption != served and not any(_shares(box, u) for u in used)
+                take = caption != served and not any(_shares(box, u, part) for u in used)
                 if take:
                     served = caption
                     used.append(box)
@@ -97,6 +111,25 @@ def table_clip(page: dict[str, Column], cap: dict[str, Column]) -> Column:
     return F.struct(band["x0"].alias("x0"), F.greatest(page["y0"], cap["y0"] - 4).alias("y0"), band["x1"].alias("x1"), F.least(page["y1"], cap["y1"] + 260).alias("y1"))
 
 
+def captioned_rows(captions: DataFrame, images: DataFrame, pages: DataFrame, page: list[str], tables: bool = False) -> DataFrame:
+    """One row per caption of a page, its image or table attached: (page, caption_no, image_no, clip, y, x).
+
+    captions has (page, caption_no, caption_key, box); of equal keys on a page the first counts. Each takes its
+    best target in turn; the clip joins both boxes and is no narrower than the caption's column. A caption
+    without a target gets the clip where its drawing must be. pages has (page, px0, py0, px1, py1).
+    """
+    first = captions.groupBy(*page, "caption_key").agg(F.min(F.struct("caption_no", "x0", "y0", "x1", "y1")).alias("c")).select(*page, "caption_key", "c.*")
+    taken = assign(first, images, page, tables).select(*page, "caption_no", "image_no")
+    boxes = images.select(*page, "image_no", *[F.col(b).alias("i" + b) for b in ("x0", "y0", "x1", "y1")])
+    rows = first.join(taken, [*page, "caption_no"], "left").join(boxes, [*page, "image_no"], "left").join(pages, page)
+    sheet, cap = {b: F.col("p" + b) for b in ("x0", "y0", "x1", "y1")}, {b: F.col(b) for b in ("x0", "y0", "x1", "y1")}
+    band = column_band(sheet["x0"], sheet["x1"], cap["x0"], cap["x1"], 0.10 if tables else 0.08)
+    joint = F.struct(F.least("x0", "ix0", band["x0"]).alias("x0"), F.least("y0", "iy0").alias("y0"), F.greatest("x1", "ix1", band["x1"]).alias("x1"), F.greatest("y1", "iy1").alias("y1"))
+    alone = (table_clip if tables else figure_clip)(sheet, cap)
+    clip = F.when(F.col("image_no").isNotNull(), joint).otherwise(alone)
+    return rows.select(*page, "caption_no", "caption_key", "image_no", clip.alias("clip"), F.least("y0", "iy0").alias("y"), F.least("x0", "ix0").alias("x"))
+
+
 def panel_grid(n: Column, width: Column, height: Column) -> Column:
     """(rows, cols) that n panels of a compound figure most likely stand in."""
     wide = width >= height

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Percent floors of stages; lifetimes.
-STAGE_FLOOR = {"extract": 5, "cache": 10, "quality": 12, "vision": 20, "figures": 42, "debone": 48, "split": 70, "ready": 88, "translate": 90, "save": 98, "chunks": 99, "done": 100}
+STAGE_FLOOR = {"extract": 5, "cache": 10, "quality": 12, "vision": 20, "figures": 42, "debone": 48, "split": 70, "ready": 88, "translate": 90, "save": 98, "shadowing_chunks": 99}
 TTL_HOURS, AHEAD_SECONDS, LEASE_SECONDS = 168, 300, 90
 
 
@@ -14,11 +14,12 @@ def lease_expired(until: Column, now: Column) -> Column:
     return until.isNull() | (until <= now)
 
 
-def checkpoint_reason(row: dict[str, Column], now: Column, version: int, pipeline: str, content_hash: Column, ttl_hours: int = TTL_HOURS) -> Column:
+def checkpoint_reason(row: dict[str, Column], now: Column, version: int, pipeline: str, content_hash: Column, ttl_hours: int = TTL_HOURS, enabled: Column | bool = True) -> Column:
     """The first reason that makes a checkpoint useless, or ok. row: v, pipeline_version, content_hash, updated_at (seconds), stage."""
     age = now - row["updated_at"]
     return (
-        F.when(row["v"].isNull(), "missing")
+        F.when(~F.lit(enabled), "disabled")
+        .when(row["v"].isNull(), "missing")
         .when(row["v"] != version, "schema")
         .when(~row["pipeline_version"].eqNullSafe(F.lit(pipeline)), "pipeline")
         .when(~row["content_hash"].eqNullSafe(content_hash), "hash")
@@ -35,7 +36,7 @@ def invite_expired(expires: Column, created: Column, now: Column, ttl: int) -> C
 
 def stage_floor(stage: Column) -> Column:
     floors = F.create_map(*[F.lit(x) for pair in STAGE_FLOOR.items() for x in pair])
-    return F.coalesce(F.try_element_at(floors, stage), F.lit(0))
+    return F.coalesce(F.try_element_at(floors, F.trim(stage)), F.lit(1))
 
 
 def clamp_cursor(index: Column, count: Column) -> Column:

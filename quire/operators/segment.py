@@ -31,6 +31,43 @@ def sentence_array(text: Column) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
+def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_SENTENCES) -> DataFrame:
+    """(id, ord, text, start, end): sentences with their places in the trimmed text, each searched behind the one before."""
+    text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
+
+    def step(acc, piece):
+        found = F.call_function("locate", piece, F.col("_t"), acc["at"])
+        end = found + F.length(piece)
+        return F.struct(F.when(found > 0, end).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(piece.alias("text"), (found - 1).alias("start"), (end - 1).alias("end")))).alias("out"))
+
+    rows = docs.select(id_col, text.alias("_t")).withColumn("_p", F.slice(sentence_array(F.col("_t")), 1, limit))
+    spans = F.aggregate("_p", start, step, lambda acc: acc["out"])
+    return rows.select(id_col, F.posexplode(spans).alias("ord", "s")).select(id_col, "ord", "s.text", "s.start", "s.end")
+
+
+def page_texts(pages: DataFrame, raw: DataFrame, page: list[str]) -> DataFrame:
+    """(page, text): the ordered blocks of each page, the raw text where it has none."""
+    from quire.functions.text import normalize_page
+
+    return raw.join(pages.select(*page, F.col("text").alias("_o")), page, "left").select(*page, F.coalesce("_o", normalize_page(F.col("text"))).alias("text"))
+
+
+def page_sample(pages: DataFrame, doc: str, page: str, text: str = "text", most: int = 80_000) -> DataFrame:
+    """(doc, sample): all pages with their numbers, or, where they exceed `most`, whole pages from both ends."""
+    body = F.trim(F.coalesce(F.col(text), F.lit("")))
+    block = F.concat(F.lit("--- PAGE "), F.col(page).cast("string"), F.lit(" ---\n"), F.when(body == "", "(empty)").otherwise(body))
+    by = Window.partitionBy(doc)
+    rows = pages.select(doc, page, block.alias("_b")).withColumn("_n", F.length("_b") + 2)
+    rows = rows.withColumn("_all", F.sum("_n").over(by) - 2).withColumn("_head", F.sum("_n").over(by.orderBy(page)) <= most * 4 // 5)
+    rows = rows.withColumn("_used", F.coalesce(F.sum(F.when(F.col("_head"), F.col("_n"))).over(by), F.lit(0)))
+    rows = rows.withColumn("_tail", ~F.col("_head") & (F.sum("_n").over(by.orderBy(F.desc(page))) <= most - F.col("_used") - 40))
+    join = lambda flag: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(flag, F.struct(page, "_b")))), lambda x: x["_b"]), "\n\n")
+    made = rows.groupBy(doc).agg(join(F.lit(True)).alias("_w"), F.max("_all").alias("_a"), join(F.col("_head")).alias("_h"), join(F.col("_tail")).alias("_t"))
+    cut = F.concat("_h", F.when(F.col("_t") == "", "").otherwise("\n\n[...middle pages omitted...]\n\n"), "_t")
+    return made.select(doc, F.when(F.col("_a") <= most, F.col("_w")).otherwise(cut).alias("sample"))
+
+
 def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_SENTENCES) -> DataFrame:
     """(id, ord, sentence_id, text): one row per sentence; a document has at most `limit`, as the feature has it."""
     pieces = docs.select(F.col(id_col), F.posexplode(F.slice(sentence_array(F.col(text_col)), 1, limit)).alias("ord", "text"))

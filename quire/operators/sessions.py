@@ -41,37 +41,46 @@ def resolve_citation(text: Column, found: Column) -> Column:
     return F.struct(url.alias("url"), F.when(own.isNotNull(), "text").when(found.isNotNull(), "lookup").otherwise("search").alias("source"))
 
 
+def chunk_step(received: int, offset: int, size: int, total: int | None, chunk: int = CHUNK_BYTES, agrees: bool = True) -> tuple[str, int]:
+    """Outcome of one part of an upload that stands at `received`, and where it stands then; without a total its end is open."""
+    end, ends = received + size, total is not None
+    reason = (
+        "upload_already_complete" if ends and received >= total > 0
+        else "offset_mismatch" if offset != received
+        else "empty_chunk" if size <= 0
+        else "chunk_too_large" if size > chunk
+        else "chunk_past_end" if ends and end > total
+        else "chunk_size_mismatch" if ends and end < total and size != chunk
+        else "chunk_hash_mismatch" if not agrees
+        else "ok"
+    )
+    return reason, end if reason == "ok" else received
+
+
 def append_chunks(parts: DataFrame, key: str = "upload_id", order: str = "seq", chunk: int = CHUNK_BYTES) -> DataFrame:
     """Parts (key, order, offset, size, total) in order, each accepted or with the first reason against it.
 
+    Where parts have `digest` and `stated`, a stated digest must equal the part's own, in any case.
     The state of an upload is its received length, so parts are replayed as a stream per upload.
     """
     columns = [key, order, "offset", "size", "total"]
     kinds = ", ".join(f"`{c}` {parts.schema[c].dataType.simpleString()}" for c in columns)
+    stated = F.lower(F.trim(F.col("stated"))) if "stated" in parts.columns else F.lit("")
+    agrees = F.coalesce((stated == "") | (stated == F.col("digest")), F.lit(True)) if "stated" in parts.columns else F.lit(True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, received = None, 0
         for pdf in batches:
             outcomes, reached = [], []
-            for upload, offset, size, total in zip(pdf[key], pdf["offset"], pdf["size"], pdf["total"]):
+            for upload, offset, size, total, same in zip(pdf[key], pdf["offset"], pdf["size"], pdf["total"], pdf["_same"]):
                 if upload != last:
                     last, received = upload, 0
-                end = received + size
-                reason = (
-                    "upload_already_complete" if received >= total > 0
-                    else "offset_mismatch" if offset != received
-                    else "empty_chunk" if size <= 0
-                    else "chunk_too_large" if size > chunk
-                    else "chunk_past_end" if end > total
-                    else "chunk_size_mismatch" if end < total and size != chunk
-                    else "ok"
-                )
-                received = end if reason == "ok" else received
+                reason, received = chunk_step(received, offset, size, total, chunk, same)
                 outcomes.append(reason)
                 reached.append(received)
-            yield pdf.assign(outcome=outcomes, received=reached)
+            yield pdf[columns].assign(outcome=outcomes, received=reached)
 
-    return parts.select(columns).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, kinds + ", outcome string, received long")
+    return parts.select(*columns, agrees.alias("_same")).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, kinds + ", outcome string, received long")
 
 
 def prefix_digests(parts: DataFrame, key: str = "upload_id", offset: str = "offset", data: str = "data") -> DataFrame:

@@ -52,10 +52,10 @@ def invite_redeem(spark, d):
     return accounts.redeem_outcomes(_view(spark, d, _attempts, "events"), ["invite"], "at", "tie")
 
 
-@query("""SELECT c_custkey, c_custkey % 4 = 0 OR c_custkey % 5 = 0 OR c_nationkey % 3 = 1 AS paid, CASE c_nationkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' ELSE 'none' END AS status FROM customer""")
+@query("""SELECT c_custkey, c_custkey % 4 = 0 OR c_custkey % 5 = 0 OR c_nationkey % 3 = 1 AS paid, CASE c_nationkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'allowed' ELSE 'none' END AS status FROM customer""")
 def access_decisions(spark, d):
     c = table(spark, d, "customer")
-    status = F.expr("CASE c_nationkey % 3 WHEN 0 THEN ' Pending' WHEN 1 THEN 'APPROVED' ELSE 'odd' END")
+    status = F.expr("CASE c_nationkey % 3 WHEN 0 THEN ' Pending' WHEN 1 THEN 'ALLOWED' ELSE 'odd' END")
     admin = accounts.is_admin(F.expr("CASE WHEN c_custkey % 5 = 0 THEN 'A@x.org ' ELSE c_name END"), F.lit(" a@x.org,, b@x.org"))
     return c.select("c_custkey", accounts.may_use_paid(F.expr("c_custkey % 4 <> 0"), admin, status).alias("paid"), accounts.access_status(status).alias("status"))
 

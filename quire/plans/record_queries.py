@@ -52,9 +52,20 @@ def number_words(spark, d):
     return p.select("p_partkey", speech.number_words(F.col("p_size").cast("string")).alias("whole"), speech.number_words(F.expr("'−' || (p_partkey % 10) || '.' || p_size")).alias("signed"))
 
 
-@query(f"""SELECT p_partkey, trim(regexp_replace(p_name || ' goes to ' || {_digit_sql.format('p_size % 9')} || ' degrees Celsius to the minus one less than or equal to nickel', '\\s+', ' ', 'g')) AS spoken FROM part""")
+#: What follows a part's name, and how it is read.
+_sayings = [
+    ("→ <sub>7</sub>°C<sup>−1</sup> ≤ Ni", "goes to seven degrees Celsius to the minus one less than or equal to nickel"),
+    ("2800 W h L<sup>-1</sup>", "2800 watt hour per liter"), ("150 mAh g⁻¹", "150 milliampere hour per gram"), ("100 kJ mol<sup>−1</sup> at 300 K", "100 kilojoule per mole at 300 kelvin"),
+    ("band at 800 cm-1 5 ppm", "band at 800 per centimeter 5 parts per million"), ("rated at 100 W and 3 mV", "rated at 100 watt and 3 millivolt"), ("2 cm² of 4 wt% BaZr0.9", "2 square centimeter of 4 weight percent barium zirconium 0.9"),
+    ("H&lt;sub&gt;2&lt;/sub&gt;O at 1 atm", "hydrogen two oxygen at 1 atmosphere"), ("5 mA cm<sup>-2</sup> 60 rpm", "5 milliampere per square centimeter 60 revolutions per minute"),
+    ("In2O3 as He said", "In two oxygen three as He said"), ("1 mol/L × 3 g/L ± 2 MPa", "1 mole per liter times 3 gram per liter plus or minus 2 megapascal"), ("10<sup>-3</sup> s⁻¹ 2 eV", "ten to the minus three per second 2 electron volt"),
+]
+_quoted = lambda k: ", ".join("'" + x[k].replace("'", "''") + "'" for x in _sayings)
+
+
+@query(f"SELECT p_partkey, p_name || ' ' || ([{_quoted(1)}])[1 + p_partkey % {len(_sayings)}] AS spoken FROM part")
 def spoken_text(spark, d):
-    raw = F.expr("'Title: ' || p_name || ' → <sub>' || (p_size % 9) || '</sub>°C<sup>−1</sup> ≤ Ni'")
+    raw = F.concat(F.lit("Title: "), F.col("p_name"), F.lit(" "), F.get(F.array(*[F.lit(x[0]) for x in _sayings]), (F.col("p_partkey") % len(_sayings)).cast("int")))
     return table(spark, d, "part").select("p_partkey", speech.spoken(raw).alias("spoken"))
 
 
@@ -90,9 +101,9 @@ def quality_answers(spark, d):
     return table(spark, d, "events").select("event_id", answer["verdict"].alias("verdict"), answer["bad_pages"].alias("bad_pages"), records.vision_pages(answer["bad_pages"], F.lit(10), 3).alias("seen"))
 
 
-@query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) <= 1000 THEN coalesce(text, '') ELSE substr(text, 1, 800) || chr(10) || chr(10) || '[...middle omitted...]' || chr(10) || chr(10) || right(text, 200) END AS sample FROM documents")
+@query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) <= 120000 THEN coalesce(text, '') ELSE substr(text, 1, 96000) || chr(10) || chr(10) || '[...middle omitted...]' || chr(10) || chr(10) || right(text, 24000) END AS sample FROM documents")
 def survey_sample(spark, d):
-    return table(spark, d, "documents").select("doc_id", enrich.head_and_tail(F.coalesce("text", F.lit("")), 1000).alias("sample"))
+    return table(spark, d, "documents").select("doc_id", enrich.head_and_tail(F.coalesce("text", F.lit(""))).alias("sample"))
 
 
 @query(None)

@@ -35,12 +35,12 @@ def _usd(p: str = "") -> str:
     return f"round({model}, 6) AS model_usd, round({speech}, 6) AS speech_usd, round({store}, 6) AS store_usd, round(({model}) + ({speech}) + ({store}), 6) AS total_usd"
 
 
-@query(f"""WITH f AS (SELECT user_id AS uid, {_counters} FROM events), everyone AS (SELECT c_custkey AS uid FROM customer WHERE c_custkey <= 20 UNION SELECT uid FROM f),
+@query(f"""WITH f AS (SELECT user_id AS uid, {_counters} FROM events), everyone AS (SELECT c_custkey AS uid FROM customer UNION SELECT uid FROM f),
  s AS (SELECT e.uid, grouping(e.uid) = 1 AS is_total, {_sums} FROM everyone e LEFT JOIN f ON e.uid = f.uid GROUP BY ROLLUP (e.uid))
  SELECT *, {_usd()} FROM s""")
 def usage_report(spark, d):
     facts = _view(spark, d, _facts.replace("COUNTERS", _counters), "events")
-    accounts = table(spark, d, "customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("uid"))
+    accounts = table(spark, d, "customer").select(F.col("c_custkey").alias("uid"))
     return usage.usage_report(facts, accounts)
 
 
@@ -87,9 +87,15 @@ def write_throttle(spark, d):
     return usage.throttled(updates, ["user_id"], "event_id", "percent", "stage")
 
 
-@query("SELECT user_id, count(*) FILTER (event_id > 500) AS unseen FROM events GROUP BY user_id")
+_badge = "SELECT {0}::bigint AS seen, count(*) FILTER (CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id END > {0}) AS unseen FROM events"
+
+
+@query(" UNION ALL ".join(_badge.format(n) for n in (0, 500)))
 def unseen_badge(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_id") > 500).alias("unseen"))
+    """Badges of two readers: one who has read nothing, one up to event 500; events without a time count as 0."""
+    events = table(spark, d, "events").select(F.expr("CASE WHEN event_id % 7 <> 0 THEN event_id END").alias("ts"))
+    first, second = (usage.unseen(events, F.lit(n)).select(F.lit(n).cast("long").alias("seen"), "unseen") for n in (0, 500))
+    return first.unionByName(second)
 
 
 _row = {
@@ -129,4 +135,4 @@ def token_diff(spark, d):
     """Steps between each turn's words and those of the answer's turn before it, by place."""
     turns = table(spark, d, "conversations").select("conv_id", "turn", tokens(F.col("text")).alias("w"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("w").alias("p"))
-    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", practice.token_diff(F.col("p"), F.col("w")).alias("steps"))
+    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", practice.token_diff(F.col("p"), F.col("w")).alias("x")).select("conv_id", "turn", "x.ok", "x.error", F.col("x.diff").alias("steps"))

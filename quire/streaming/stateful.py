@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quire.operators.sessions import CHUNK_BYTES, chunk_step
 from quire.operators.usage import COUNTERS, admit, totals
 
 
@@ -39,24 +40,24 @@ def admitted(calls: DataFrame, key: str, at: str, most: int, seconds: int, inclu
     return calls.select(key, at).groupBy(key).applyInPandasWithState(step, columns, "log array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def contiguous_uploads(parts: DataFrame, key: str = "upload_id", offset: str = "offset", size: str = "size", limit: int = 256 << 10) -> DataFrame:
-    """parts of a stream with the outcome of each: accepted, or the first reason against it.
+def contiguous_uploads(parts: DataFrame, key: str = "upload_id", offset: str = "offset", size: str = "size", total: str | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
+    """parts of a stream with the outcome of each, by the same step as the batch form.
 
-    A part must start where its upload stands. A repeat of accepted bytes is `offset`; the state is the
-    received length.
+    A part must start where its upload stands; the state is the received length. Within a micro-batch parts
+    are taken by offset. Without a column `total` the end of an upload is open.
     """
     columns = f"`{key}` {parts.schema[key].dataType.simpleString()}, offset long, size long, outcome string, received long"
+    whole = F.col(total).cast("long") if total else F.lit(None).cast("long")
 
     def step(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         received = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches), ignore_index=True).sort_values(offset, kind="stable")
         out = []
-        for o, n in zip(rows[offset], rows[size]):
-            reason = "offset" if o != received else "empty" if n <= 0 else "large" if n > limit else "accepted"
-            if reason == "accepted":
-                received += int(n)
+        for o, n, end in zip(rows[offset], rows[size], rows["_total"]):
+            reason, received = chunk_step(received, int(o), int(n), None if pd.isna(end) else int(end), limit)
             out.append((who[0], int(o), int(n), reason, received))
         state.update((received,))
         yield pd.DataFrame(out, columns=[key, "offset", "size", "outcome", "received"])
 
-    return parts.select(key, F.col(offset).cast("long").alias(offset), F.col(size).cast("long").alias(size)).groupBy(key).applyInPandasWithState(step, columns, "received long", "append", GroupStateTimeout.NoTimeout)
+    rows = parts.select(key, F.col(offset).cast("long").alias(offset), F.col(size).cast("long").alias(size), whole.alias("_total"))
+    return rows.groupBy(key).applyInPandasWithState(step, columns, "received long", "append", GroupStateTimeout.NoTimeout)

@@ -78,7 +78,7 @@ def test_rich_text():
 
 
 @pytest.mark.parametrize(
-    ("given", "words"), [("1650 cm<sup>−1</sup>", "per centimeter"), ("A → B", "goes to"), ("Title: Ni in water", "nickel in water"), ("25 °C", "degrees Celsius"), ("&lt;i&gt;x&lt;/i&gt; ≤ 3", "less than or equal to")]
+    ("given", "words"), [("1650 cm<sup>−1</sup>", "per centimeter"), ("A → B", "goes to"), ("Title: Ni in water", "nickel in water"), ("25 °C", "degrees Celsius"), ("&lt;i&gt;x&lt;/i&gt; ≤ 3", "less than or equal to"), ("750 W h / L", "watt hour per liter"), ("Body: 2 m^3", "cubic meter"), ("5 ug/mL", "microgram per milliliter"), ("1 mol/dm^3 Og", "mole per liter oganesson"), ("3 s^{-1}", "per second"), ("a<br/>b <b>1 Hz</b>", "a b 1 hertz")]
 )
 def test_speech(given, words):
     assert words in speech.say(given) and "Title" not in speech.say(given)
@@ -120,9 +120,13 @@ def test_token_diff():
     for _ in range(200):
         a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
         steps = practice.align(a, b)
-        assert [s[1] for s in steps if s[1]] == a and [s[2] for s in steps if s[2]] == b
+        assert [s[1] for s in steps if s[1] is not None] == a and [s[2] for s in steps if s[2] is not None] == b
         assert sum(s[0] == "equal" for s in steps) == lcs(a, b)
     assert practice.align(["x"], ["y"]) == [("replace", "x", "y")] and practice.align([], []) == []
+    assert practice.align(["a", "b"], ["b"]) == [("delete", "a", None), ("equal", "b", "b")]
+    assert practice.compare(None, []) == {"ok": False, "error": "empty", "diff": None} and practice.compare(["a"], None)["diff"] == [{"op": "delete", "expected": "a", "heard": None}]
+    a, b = ([rng.choice("abcdefgh") for _ in range(3000)] for _ in range(2))
+    assert sum(s[0] == "equal" for s in practice.align(a, b)) == lcs(a, b)
 
 
 def test_practice_chunks(spark):

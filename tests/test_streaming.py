@@ -31,7 +31,7 @@ def test_metering_and_admission_match_batch(spark, tmp_path):
 def test_uploads(spark, tmp_path):
     parts = spark.createDataFrame(pd.DataFrame({"upload_id": ["a"] * 4 + ["b"], "offset": [0, 10, 10, 20, 5], "size": [10, 10, 3, 0, 5]}))
     got = run(contiguous_uploads(files(spark, parts, tmp_path / "parts", 1)), "append", "uploads", tmp_path, spark)
-    assert sorted((r.upload_id, r.offset, r.outcome) for r in got.collect()) == [("a", 0, "accepted"), ("a", 10, "accepted"), ("a", 10, "offset"), ("a", 20, "empty"), ("b", 5, "offset")]
+    assert sorted((r.upload_id, r.offset, r.outcome) for r in got.collect()) == [("a", 0, "ok"), ("a", 10, "offset_mismatch"), ("a", 10, "ok"), ("a", 20, "empty_chunk"), ("b", 5, "offset_mismatch")]
 
 
 def test_admission_steps():
