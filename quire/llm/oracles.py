@@ -146,4 +146,104 @@ SELECT conv_id, CASE WHEN count(*) FILTER (i > n) = 0 THEN 'identical' ELSE 'pai
 FROM m GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op3_quality_rules": OP3, "op5_interleave": OP5, "op6_pivot_search": OP6, "op8_warc": OP8, "op10_preferences": OP10}
+OP11 = """
+WITH RECURSIVE steps AS (
+  SELECT i::bigint AS i, 0 AS n, i::bigint AS c FROM range(256) t(i)
+  UNION ALL
+  SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE n < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM steps WHERE n = 8
+), fields AS (
+  SELECT doc_id, text, coalesce('+' || source, '') AS tree,
+         list_transform([doc_id::varchar, source, lang, n_chars::varchar], lambda x: coalesce(strlen(x)::varchar || ':' || x, '-')) AS head,
+         xor(4294967295, list_reduce(list_transform(range(1, length(doc_id::varchar) + 1), lambda k: ascii(substr(doc_id::varchar, k, 1))::bigint),
+             lambda a, byte: xor(a >> 8, tab[(xor(a, byte) & 255) + 1]), 4294967295)) % 2 = 0 AS tamper
+  FROM documents, crc
+), cut AS (
+  SELECT *, CASE WHEN tamper THEN replace(text, chr(10), '') ELSE text END AS later FROM fields
+), leaves AS (
+  SELECT doc_id, tree, sha256(array_to_string(head, '') || coalesce(strlen(text)::varchar || ':' || text, '-')) AS leaf,
+         sha256(array_to_string(head, '') || coalesce(strlen(later)::varchar || ':' || later, '-')) AS tampered
+  FROM cut
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), up(tree, lvl, i, n, h) AS (
+  SELECT tree, 0, i, n, leaf FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY tree, lvl, i // 3, n
+), subroots AS (
+  SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1
+), top(lvl, i, n, h) AS (
+  SELECT 0, i, n, subroot FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lvl, i // 3, n
+), paths AS (
+  SELECT tree, i, step, (i // power(3, step)::bigint)::bigint AS pos FROM placed, range(0, 40) t(step) WHERE power(3, step) < n
+), runs AS (
+  SELECT p.tree, p.i, p.step, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < pos), '') AS before, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > pos), '') AS after
+  FROM paths p JOIN up u ON u.tree = p.tree AND u.lvl = p.step AND u.i // 3 = p.pos // 3 GROUP BY ALL
+), toppaths AS (
+  SELECT tree, i, step, (i // power(3, step)::bigint)::bigint AS pos FROM subroots, range(0, 40) t(step) WHERE power(3, step) < n
+), topruns AS (
+  SELECT p.tree, p.step, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < pos), '') AS before, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > pos), '') AS after
+  FROM toppaths p JOIN top u ON u.lvl = p.step AND u.i // 3 = p.pos // 3 GROUP BY ALL
+), lower AS (
+  SELECT tree, i, string_agg(before || after, '' ORDER BY step) AS proof FROM runs GROUP BY ALL
+), upper AS (
+  SELECT tree, string_agg(before || after, '' ORDER BY step) AS proof FROM topruns GROUP BY ALL
+), fold(tree, i, step, h) AS (
+  SELECT tree, i, 0, tampered FROM placed
+  UNION ALL
+  SELECT f.tree, f.i, f.step + 1, sha256(before || h || after) FROM fold f JOIN runs r ON r.tree = f.tree AND r.i = f.i AND r.step = f.step
+), low AS (
+  SELECT tree, i, arg_max(h, step) AS h FROM fold GROUP BY ALL
+), fold2(tree, i, step, h) AS (
+  SELECT tree, i, 0, h FROM low
+  UNION ALL
+  SELECT f.tree, f.i, f.step + 1, sha256(before || h || after) FROM fold2 f JOIN topruns r ON r.tree = f.tree AND r.step = f.step
+), ends AS (
+  SELECT tree, i, arg_max(h, step) AS folded_root FROM fold2 GROUP BY ALL
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(lower.proof, '') || coalesce(upper.proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN ends USING (tree, i) JOIN (SELECT tree, subroot FROM subroots) s USING (tree)
+     LEFT JOIN lower USING (tree, i) LEFT JOIN upper USING (tree), (SELECT h AS root FROM top WHERE n = 1) r
+"""
+
+OP12 = """
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), flags AS (
+  SELECT part, len(w) < 100 AS A, 100 * len(list_distinct(w)) < 80 * len(w) AS B,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS C, regexp_matches(text, '[#$%&*|]') AS D,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS E, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM words LEFT JOIN marks USING (doc_id)
+), groups AS (
+  SELECT part, good, toxic, [A, B, C, D, E] AS fails, count(*) AS n FROM flags GROUP BY ALL
+), letters AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS k
+), orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), steps AS (
+  SELECT list_aggregate(list_transform(o, lambda k: substr('ABCDE', k, 1)), 'string_agg', '') AS filter_order, s.k AS step, o, o[s.k] AS f FROM orders, letters s
+), met AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS failing,
+         list_bool_or(list_transform(range(1, step), lambda j: fails[o[j]])) AS earlier,
+         list_sum(list_transform(fails, lambda x: x::int)) AS failed
+  FROM steps, groups
+), sums AS (
+  SELECT part, filter_order, step, f, sum(n) FILTER (NOT failing AND NOT coalesce(earlier, false)) AS kept, sum(n) FILTER (failing AND NOT coalesce(earlier, false)) AS removed,
+         sum(n) FILTER (failing AND coalesce(earlier, false)) AS redundant, sum(n) FILTER (failing AND failed = 1) AS unique_fails,
+         sum(n) FILTER (failing AND NOT coalesce(earlier, false) AND good) AS good_lost, sum(n) FILTER (failing AND NOT coalesce(earlier, false) AND toxic) AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT part, filter_order, step::int AS step, coalesce(kept, 0)::bigint AS kept, coalesce(removed, 0)::bigint AS removed, coalesce(redundant, 0)::bigint AS redundant,
+       coalesce(unique_fails, 0)::bigint AS unique_fails, coalesce(good_lost, 0)::bigint AS good_lost, coalesce(toxic_lost, 0)::bigint AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, f))::bigint AS shapley
+FROM sums
+"""
+
+SQL: dict[str, str] = {"op3_quality_rules": OP3, "op5_interleave": OP5, "op6_pivot_search": OP6, "op8_warc": OP8, "op10_preferences": OP10, "op11_merkle": OP11, "op12_filter_audit": OP12}

@@ -19,6 +19,8 @@ MODULES = {
     "op8_warc": "warc",
     "op9_simhash": "simhash",
     "op10_preferences": "chat_format",
+    "op11_merkle": "merkle",
+    "op12_filter_audit": "filter_audit",
 }
 
 
