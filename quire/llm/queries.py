@@ -21,6 +21,7 @@ MODULES = {
     "op10_preferences": "chat_format",
     "op11_merkle": "merkle",
     "op12_filter_audit": "filter_audit",
+    "op13_suffix_dedup": "suffix_dedup",
 }
 
 
