@@ -6,7 +6,7 @@ import html
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Signs that stand for a degree; units a micro sign may precede; allowed tags.
@@ -122,3 +122,12 @@ def apply_glossary(text: Column, formulas: Column) -> Column:
         return F.when(F.contains(done, f["rich"]), done).otherwise(outside_tags(done, lambda p: F.replace(p, f["raw"], f["rich"])))
 
     return F.aggregate(F.sort_array(forms), normalize_glyphs(text), put)
+
+
+def with_glossary(df: DataFrame, text: str = "text", formulas: str = "formulas") -> DataFrame:
+    """df with its formulas applied to text, and markup that is not allowed cleaned after that.
+
+    The row counter keeps the two steps apart: the parser takes a column, no expression with lambdas.
+    """
+    applied = F.when(F.monotonically_increasing_id() >= 0, apply_glossary(F.col(text), F.col(formulas)))
+    return df.withColumn(text, applied).withColumn(text, sanitize(F.col(text)))

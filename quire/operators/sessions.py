@@ -210,12 +210,3 @@ def open_rule(remote_ready: Column, remote_has: Column, local_sentences: Column)
 def translation_status(text: Column, mode: Column, most: int = 4000) -> Column:
     bare = F.trim(F.coalesce(text, F.lit("")))
     return F.when(~mode.isin("fast", "staged"), "mode").when(bare == "", "empty").when(F.length(bare) > most, "too_long").otherwise("ok")
-
-
-def docx_figures(blocks: DataFrame, doc: str, order: str) -> DataFrame:
-    """Image blocks (doc, order, kind, text) whose next text block is a figure caption, with that caption."""
-    from quire.functions.refs import is_caption
-
-    forward = Window.partitionBy(doc).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    following = F.first(F.when((F.col("kind") == "text") & (F.trim("text") != ""), F.col("text")), ignorenulls=True).over(forward)
-    return blocks.withColumn("caption", following).where((F.col("kind") == "image") & is_caption(F.col("caption"), tables=False)).select(doc, order, "caption")

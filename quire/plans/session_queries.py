@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import sessions
+from quire.operators import docx, sessions
 from quire.plans.carriers import CITING, SENTENCES_SQL, citing, table
 from quire.plans.catalog_queries import _view
 
@@ -108,10 +108,25 @@ def open_and_call_rules(spark, d):
     )
 
 
-_blocks = "SELECT o_custkey AS doc, o_orderkey AS pos, CASE WHEN o_orderkey % 2 = 0 THEN 'image' ELSE 'text' END AS kind, CASE WHEN o_orderkey % 2 = 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Fig. 1. ' || o_orderpriority ELSE 'plain text' END END AS text FROM {orders}"
+_blocks = """SELECT doc, pos, k, CASE WHEN k IN (5, 10) THEN 'table' ELSE 'text' END AS kind, CASE WHEN k IN (3, 7) THEN 'Fig. ' || (pos % 9) || '. ' || p WHEN k IN (6, 11) THEN 'Table ' || (pos % 9) || ' ' || p
+ WHEN k IN (4, 8) THEN 'plain ' || p WHEN k IN (5, 10) THEN 'a | ' || p ELSE '' END AS text FROM (SELECT o_custkey AS doc, o_orderkey AS pos, o_orderpriority AS p, (o_orderkey * 7 + o_custkey) % 12 AS k FROM {orders})"""
 
 
-@query(f"""WITH b AS ({_blocks.replace('{orders}', 'orders')}), n AS (SELECT i.doc, i.pos, arg_min(t.text, t.pos) AS caption FROM b i JOIN b t ON i.doc = t.doc AND i.kind = 'image' AND t.kind = 'text' AND t.pos > i.pos GROUP BY ALL)
- SELECT doc, pos, caption FROM n WHERE caption LIKE 'Fig. 1. %'""")
+@query(f"""
+WITH RECURSIVE b AS (SELECT *, CASE WHEN k IN (0, 1, 3, 4, 11) THEN ['i' || pos] WHEN k = 2 THEN ['i' || pos, 'j' || pos] ELSE [] END AS imgs, row_number() OVER (PARTITION BY doc ORDER BY pos) AS i,
+ text LIKE 'Fig%' AS fig, kind = 'text' AND text LIKE 'Table%' AS tab FROM ({_blocks.replace('{orders}', 'orders')})),
+s AS (
+  SELECT DISTINCT doc, 0::bigint AS i, []::varchar[] AS waiting, '' AS held, []::struct(kind varchar, image varchar, caption varchar, content varchar)[] AS done FROM b
+  UNION ALL
+  SELECT b.doc, b.i,
+    CASE WHEN kind = 'table' OR (fig AND len(waiting) > 0) THEN [] WHEN len(imgs) > 0 AND NOT fig THEN list_concat(CASE WHEN text <> '' THEN [] ELSE waiting END, imgs) WHEN text <> '' THEN [] ELSE waiting END,
+    CASE WHEN kind = 'table' THEN '' WHEN fig AND len(waiting) > 0 THEN held WHEN tab THEN text WHEN text <> '' AND len(imgs) = 0 THEN '' ELSE held END,
+    CASE WHEN kind = 'table' AND held <> '' THEN list_append(done, {{'kind': 'table', 'image': NULL, 'caption': held, 'content': text}}) WHEN fig AND len(waiting) > 0 THEN list_concat(done, list_transform(waiting, lambda x: {{'kind': 'figure', 'image': x, 'caption': text, 'content': NULL}}))
+         WHEN fig THEN list_concat(done, list_transform(imgs, lambda x: {{'kind': 'figure', 'image': x, 'caption': text, 'content': NULL}})) ELSE done END
+  FROM s JOIN b ON b.doc = s.doc AND b.i = s.i + 1
+), e AS (SELECT doc, arg_max(done, i) AS done FROM s GROUP BY doc)
+SELECT doc, n::int AS n, done[n].kind AS kind, done[n].image AS image, done[n].caption AS caption, done[n].content AS content FROM (SELECT doc, done, unnest(range(1, len(done) + 1)) AS n FROM e) WHERE n <= 200""")
 def docx_figures(spark, d):
-    return sessions.docx_figures(_view(spark, d, _blocks, "orders"), "doc", "pos")
+    image = lambda x: F.concat(F.lit(x), F.col("pos").cast("string"))
+    images = F.when(F.col("k").isin(0, 1, 3, 4, 11), F.array(image("i"))).when(F.col("k") == 2, F.array(image("i"), image("j")))
+    return docx.docx_figures(_view(spark, d, _blocks, "orders").withColumn("images", images), "doc", "pos").drop("pos")
