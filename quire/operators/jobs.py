@@ -54,15 +54,6 @@ def full_pass(slots: Column, wanted: Column) -> Column:
     return (wanted > 0) & (F.size(slots) >= wanted) & F.forall(first, lambda s: (s["status"] == "recorded") & (F.coalesce(s["blob_key"], F.lit("")) != ""))
 
 
-def growing_chunks(chunks: Column, full: Column) -> Column:
-    """Practice chunks that each extend the one before and end in the full text; null where they do not."""
-    last = F.element_at(chunks, -1)
-    ended = F.when(last == full, chunks).when(F.startswith(full, last), F.concat(chunks, F.array(full)))
-    distinct = F.filter(ended, lambda c, i: (i == 0) | (c != F.get(ended, i - 1)))
-    grows = F.forall(F.sequence(F.lit(1), F.size(distinct) - 1), lambda i: F.startswith(F.get(distinct, i), F.get(distinct, i - 1)))
-    return F.when((F.size(distinct) == 1) | grows, distinct)
-
-
 def build_checkpoint(stage: Column, content_hash: Column, pipeline: Column, done: Column, total: Column, ref: Column, version: int = 2) -> Column:
     """A resume record without any text: short fields, a cursor within bounds, a plain file name or null."""
     short = lambda c, n: F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, n)

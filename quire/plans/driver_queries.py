@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import debone
+from quire.operators import chunk_plans, debone
 from quire.plans.carriers import table
 from quire.plans.catalog_queries import _view
+from quire.sources.scratch import settled
 
 QUERIES, SQL = {}, {}
 
@@ -67,3 +68,39 @@ SELECT doc, ok, CASE WHEN n IS NULL THEN 'empty_text' WHEN NOT ok THEN coalesce(
  coalesce(good, 0) AS chunks_ok, coalesce(n, 0) AS chunks_total FROM m LEFT JOIN n USING (doc) LEFT JOIN g USING (doc) LEFT JOIN q USING (doc) LEFT JOIN w USING (doc)""")
 def debone_outcomes(spark, d):
     return _debone(spark, d)[1]
+
+
+_units = "SELECT o_custkey AS doc, o_orderkey AS ord, 's' || o_orderkey AS sentence_id, CASE o_orderkey % 5 WHEN 0 THEN 'short <b>one</b>' WHEN 1 THEN ' ' ELSE 'the order ' || o_orderpriority || ' was placed today' END AS text FROM {orders}"
+_seconds = 6
+_step = """
+SELECT {s}.doc, u.i, CASE WHEN stop OR spent >= 6 THEN spent ELSE spent + seconds END AS spent, stop OR spent >= 6 OR u.reason <> 'ok' AS stop, CASE WHEN NOT stop AND spent < 6 AND u.reason <> 'ok' THEN u.reason END AS reason,
+ CASE WHEN NOT stop AND spent < 6 AND u.reason = 'ok' THEN u.ord END AS built FROM {s} JOIN {u} u ON u.doc = {s}.doc AND u.i = {s}.i + 1"""
+
+
+@query(f"""
+WITH RECURSIVE v AS (SELECT doc, ord, CASE WHEN ord % 5 = 0 THEN 'ok' WHEN ord % 31 = 0 THEN 'model_unavailable' WHEN ord % 31 < 3 THEN 'bad_chunk_plan' ELSE 'ok' END AS reason, CASE WHEN ord % 5 = 0 THEN 0 ELSE 1 + ord % 3 END AS seconds
+  FROM ({_units.replace('{orders}', 'orders')}) WHERE text <> ' '),
+u1 AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord) AS i FROM v),
+a(doc, i, spent, stop, reason, built) AS (SELECT DISTINCT doc, 0::bigint, 0::bigint, false, NULL::varchar, NULL::bigint FROM u1 UNION ALL {_step.format(s='a', u='u1')}),
+u2 AS (SELECT doc, ord, reason, seconds, row_number() OVER (PARTITION BY doc ORDER BY ord) AS i FROM v ANTI JOIN (SELECT built AS ord FROM a) USING (ord)),
+b(doc, i, spent, stop, reason, built) AS (SELECT DISTINCT doc, 0::bigint, 0::bigint, false, NULL::varchar, NULL::bigint FROM u2 UNION ALL {_step.format(s='b', u='u2')}),
+w AS (SELECT doc, count(*) AS work FROM v GROUP BY doc), x AS (SELECT doc, count(built) AS n, max(reason) AS reason FROM a GROUP BY doc), y AS (SELECT doc, count(built) AS n, max(reason) AS reason FROM b GROUP BY doc),
+r AS (SELECT doc, 1 AS slice, coalesce(x.n, 0) AS done, coalesce(x.n, 0) AS new, x.reason, coalesce(work, 0) AS work FROM (SELECT DISTINCT o_custkey AS doc FROM orders) LEFT JOIN w USING (doc) LEFT JOIN x USING (doc)
+ UNION ALL SELECT doc, 2, coalesce(x.n, 0) + coalesce(y.n, 0), coalesce(y.n, 0), y.reason, coalesce(work, 0) FROM (SELECT DISTINCT o_custkey AS doc FROM orders) LEFT JOIN w USING (doc) LEFT JOIN x USING (doc) LEFT JOIN y USING (doc))
+SELECT doc, slice, CASE WHEN reason IS NOT NULL OR work = 0 THEN 'error' WHEN done >= work THEN 'ok' ELSE 'pending' END AS status, CASE WHEN reason IS NOT NULL THEN reason WHEN work = 0 THEN 'no_sentences' END AS error,
+ done, greatest(work, done) AS total, (new + 4) // 5 AS flushes FROM r""")
+def plan_slices(spark, d):
+    """Two slices of every plan, the second from what the first stored."""
+    rows = _view(spark, d, _units, "orders")
+    answers = rows.select("doc", "sentence_id", F.expr("CASE ord % 31 WHEN 1 THEN 'not json' WHEN 2 THEN '[1, \"a\"]' ELSE '```json\n[\"the order\", \"' || text || '\"]\n```' END").alias("answer"), F.expr("CASE WHEN ord % 31 = 0 THEN 'timeout' END").alias("error"), F.expr("CAST(1 + ord % 3 AS DOUBLE)").alias("seconds"))
+    units, docs = settled(chunk_plans.planned(rows, answers), "units"), rows.select("doc").distinct()
+    stored = units.where("false").select("doc", "sentence_id", "text", "chunks")
+    out = None
+    for number in (1, 2):
+        new, states = chunk_plans.plan_slice(units, stored, docs, _seconds)
+        new = settled(new, "plan")
+        flushes = new.groupBy("doc").agg((F.max("flush") + 1).alias("flushes"))
+        part = states.join(flushes, "doc", "left").fillna(0, ["flushes"]).select("doc", F.lit(number).alias("slice"), "status", "error", "done", "total", "flushes")
+        out = part if out is None else out.unionByName(part)
+        stored = stored.unionByName(new.drop("flush"))
+    return out

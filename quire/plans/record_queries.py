@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import records, rich, speech, text
-from quire.operators import enrich, figures, jobs
+from quire.operators import chunk_plans, enrich, figures
 from quire.plans.carriers import SENTENCES_SQL, sentences, table
 from quire.plans.catalog_queries import _view
 
@@ -171,10 +171,10 @@ def figure_windows(spark, d):
     return figures.figure_window(rows, cursors, "s_nationkey").select("s_nationkey", "s_suppkey", "ord")
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['a', 'a b', 'a b c'] WHEN 1 THEN ['a', 'a b c'] END AS chunks FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN ['a', 'a b c'] WHEN 1 THEN ['a', 'a b c'] WHEN 2 THEN ['a b', 'a b c'] END AS chunks FROM events""")
 def practice_chunks(spark, d):
-    given = F.expr("CASE event_id % 3 WHEN 0 THEN array('a', 'a b') WHEN 1 THEN array('a', 'a', 'a b c') ELSE array('b', 'a b c') END")
-    return table(spark, d, "events").select("event_id", given.alias("g")).select("event_id", jobs.growing_chunks(F.col("g"), F.lit("a b c")).alias("chunks"))
+    given = F.expr("CASE event_id % 4 WHEN 0 THEN array('a', 'a b') WHEN 1 THEN array('a', 'a', 'a b c') WHEN 2 THEN array('a b', 'a b c d') ELSE array('b', 'a b c') END")
+    return table(spark, d, "events").select("event_id", given.alias("g")).select("event_id", chunk_plans.growing_chunks(F.col("g"), F.lit("a b c")).alias("chunks"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE lower(c_name) || '@x.org' END AS email, CASE WHEN c_custkey % 2 = 0 THEN 'AB12-' || upper(right('000' || (c_custkey % 97), 4)) ELSE 'Z' END AS code,

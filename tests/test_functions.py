@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import records, refs, rich, speech, text
-from quire.operators import enrich, figures, jobs, practice
+from quire.operators import chunk_plans, enrich, figures, practice
 from quire.operators.segment import merge_multicolumn, sentence_array
 
 
@@ -130,9 +130,9 @@ def test_token_diff():
 
 
 def test_practice_chunks(spark):
-    grow = jobs.growing_chunks(F.col("c"), F.lit("catalyst is a tool"))
+    grow = chunk_plans.growing_chunks(F.col("c"), F.lit("catalyst is a tool"))
     assert one(spark, grow, c=["catalyst", "catalyst is", "catalyst is a tool"]) == ["catalyst", "catalyst is", "catalyst is a tool"]
-    assert one(spark, grow, c=["catalyst"]) == ["catalyst", "catalyst is a tool"]
+    assert one(spark, grow, c=["catalyst"]) == ["catalyst is a tool"]
     assert one(spark, grow, c=["is", "catalyst is a tool"]) is None
 
 
