@@ -72,6 +72,43 @@ def admission(calls: DataFrame, keys: list[str], at: str, tie: str, most: int, s
     return calls.select(columns).repartition(*keys).sortWithinPartitions(*keys, at, tie).mapInPandas(run, kinds + ", admitted boolean")
 
 
+#: Rows of `limited`: a decision of every call, and an event of every refusal by a full log.
+LIMITED = "what string, uid string, action string, at long, tie long, code string, attempts int, seconds int"
+
+
+def limit_step(log: list[float], action: str | None, now: int, limits: dict[str, tuple[int, int, bool]]) -> tuple[str, int | None, list[float]]:
+    """The code of a call (ok or rate_limited), the stamps it met if they refused it, and the log it leaves."""
+    most, seconds, inclusive = limits.get(action, (0, 0, True))
+    if most <= 0 or seconds <= 0:
+        return "rate_limited", None, log
+    ok, log = admit(log, now, most, seconds, inclusive)
+    return ("ok", None, log) if ok else ("rate_limited", len(log), log)
+
+
+def limited(calls: DataFrame, limits: dict[str, tuple[int, int, bool]] = LIMITS) -> DataFrame:
+    """Decisions and events of calls (uid, action, at in whole seconds, tie), in one pass, told apart by `what`.
+
+    Every user has a log for each action, of the admitted calls alone. A blank user is auth_required, an unknown
+    action rate_limited; neither reads a log. Calls are dealt by user and action and replayed in order.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, log = None, []
+        for pdf in batches:
+            out = []
+            for uid, action, at, tie in zip(pdf["uid"], pdf["action"], pdf["at"], pdf["tie"]):
+                if (uid, action) != key:
+                    key, log = (uid, action), []
+                code, met, log = ("auth_required", None, log) if uid == "" else limit_step(log, action, at, limits)
+                out.append(("decision", uid, action, at, tie, code, None, None))
+                if met is not None:
+                    out.append(("event", uid, action, at, tie, f"{action}_rate_limited", met, limits[action][1]))
+            yield pd.DataFrame(out, columns=["what", "uid", "action", "at", "tie", "code", "attempts", "seconds"]).astype({"attempts": "Int32", "seconds": "Int32"})
+
+    named = calls.select(F.trim(F.coalesce(F.col("uid").cast("string"), F.lit(""))).alias("uid"), F.coalesce("action", F.lit("")).alias("action"), F.col("at").cast("long").alias("at"), F.col("tie").cast("long").alias("tie"))
+    return named.repartition("uid", "action").sortWithinPartitions("uid", "action", "at", "tie").mapInPandas(run, LIMITED)
+
+
 def throttled(updates: DataFrame, keys: list[str], order: str, percent: str, stage: str, step: float = 1.0) -> DataFrame:
     """updates with `pushed`: the first, a new stage, or a gain of `step` percent since the last one pushed."""
     columns = [*keys, order, percent, stage]

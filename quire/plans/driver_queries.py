@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import chunk_plans, debone
+from quire.operators import chunk_plans, debone, usage
 from quire.plans.carriers import table
 from quire.plans.catalog_queries import _view
 from quire.sources.scratch import settled
@@ -104,3 +104,26 @@ def plan_slices(spark, d):
         out = part if out is None else out.unionByName(part)
         stored = stored.unionByName(new.drop("flush"))
     return out
+
+
+#: Small limits, so that the test tables reach them.
+_limits = {"redeem": (3, 86_400, True), "link": (2, 43_200, False), "ingest": (5, 86_400, True)}
+_calls = "SELECT CASE WHEN event_id % 9 = 0 THEN ' ' ELSE CAST(user_id AS STRING) END AS uid, CASE event_id % 4 WHEN 0 THEN 'redeem' WHEN 1 THEN 'link' WHEN 2 THEN 'ingest' ELSE 'other' END AS action, unix_timestamp(ts) AS at, event_id AS tie FROM {events}"
+_inside = "list_filter(w.log, lambda x: CASE c.action WHEN 'link' THEN c.\"at\" - x < 43200 ELSE c.\"at\" - x <= 86400 END)"
+_refused = f"len({_inside}) >= CASE c.action WHEN 'redeem' THEN 3 WHEN 'link' THEN 2 ELSE 5 END"
+
+
+@query(f"""
+WITH RECURSIVE k AS (SELECT trim(uid) AS uid, action, "at", tie FROM ({_calls.replace('{events}', 'events').replace('unix_timestamp(ts)', 'floor(epoch(ts))::bigint').replace('STRING', 'VARCHAR').replace('AS at', 'AS "at"')})),
+c AS (SELECT *, row_number() OVER (PARTITION BY uid, action ORDER BY "at", tie) AS i FROM k WHERE uid <> '' AND action <> 'other'),
+w AS (
+  SELECT uid, action, "at", tie, i, 'ok' AS code, NULL::int AS attempts, ["at"] AS log FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.uid, c.action, c."at", c.tie, c.i, CASE WHEN {_refused} THEN 'rate_limited' ELSE 'ok' END, CASE WHEN {_refused} THEN len({_inside})::int END, CASE WHEN {_refused} THEN {_inside} ELSE list_append({_inside}, c."at") END
+  FROM w JOIN c ON c.uid = w.uid AND c.action = w.action AND c.i = w.i + 1
+)
+SELECT 'decision' AS what, uid, action, "at", tie, code, NULL::int AS attempts, NULL::int AS seconds FROM w
+UNION ALL SELECT 'event', uid, action, "at", tie, action || '_rate_limited', attempts, CASE action WHEN 'link' THEN 43200 ELSE 86400 END FROM w WHERE code = 'rate_limited'
+UNION ALL SELECT 'decision', uid, action, "at", tie, CASE WHEN uid = '' THEN 'auth_required' ELSE 'rate_limited' END, NULL, NULL FROM k WHERE uid = '' OR action = 'other'""")
+def limits_with_events(spark, d):
+    return usage.limited(_view(spark, d, _calls, "events"), _limits)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quire.operators.chunk_plans import FLUSH
 from quire.operators.sessions import CHUNK_BYTES, chunk_step
-from quire.operators.usage import COUNTERS, admit, totals
+from quire.operators.usage import COUNTERS, LIMITED, LIMITS, admit, limit_step, totals
 
 
 def metered(facts: DataFrame, by: str = "uid", counters: list[str] = COUNTERS) -> DataFrame:
@@ -61,3 +63,87 @@ def contiguous_uploads(parts: DataFrame, key: str = "upload_id", offset: str = "
 
     rows = parts.select(key, F.col(offset).cast("long").alias(offset), F.col(size).cast("long").alias(size), whole.alias("_total"))
     return rows.groupBy(key).applyInPandasWithState(step, columns, "received long", "append", GroupStateTimeout.NoTimeout)
+
+
+def limited(calls: DataFrame, limits: dict[str, tuple[int, int, bool]] = LIMITS) -> DataFrame:
+    """Decisions and events of a stream of calls (uid, action, at, tie), by the same step as the batch form.
+
+    The state of a user and action is the log of admitted calls inside the window.
+    """
+
+    def step(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        uid, action = who
+        log, out = list(state.get[0]) if state.exists else [], []
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["at", "tie"], kind="stable")
+        for at, tie in zip(rows["at"], rows["tie"]):
+            code, met, log = ("auth_required", None, log) if uid == "" else limit_step(log, action, int(at), limits)
+            out.append(("decision", uid, action, at, tie, code, None, None))
+            if met is not None:
+                out.append(("event", uid, action, at, tie, f"{action}_rate_limited", met, limits[action][1]))
+        state.update(([int(t) for t in log],))
+        yield pd.DataFrame(out, columns=["what", "uid", "action", "at", "tie", "code", "attempts", "seconds"]).astype({"attempts": "Int32", "seconds": "Int32"})
+
+    named = calls.select(F.trim(F.coalesce(F.col("uid").cast("string"), F.lit(""))).alias("uid"), F.coalesce("action", F.lit("")).alias("action"), F.col("at").cast("long").alias("at"), F.col("tie").cast("long").alias("tie"))
+    return named.groupBy("uid", "action").applyInPandasWithState(step, LIMITED, "log array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def fan_out(tables: dict[str, str], column: str = "what") -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch: rows of each value of `column` go to their own table, from one computation.
+
+    A batch is written as a partition of its own number, so a batch that runs again replaces what it left.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        try:
+            for value, path in tables.items():
+                held.where(F.col(column) == value).drop(column).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            held.unpersist()
+
+    return write
+
+
+#: Rows of `built_plans`: a built sentence with the save it belongs to, and the plan's state after each slice.
+BUILT = "what string, doc string, slice int, flush int, sentence_id string, chunks array<string>, status string, error string, done int, total int"
+
+
+def built_plans(units: DataFrame, seconds: float, pause_ms: int = 1) -> DataFrame:
+    """Practice plans of a stream of planned sentences (doc, ord, sentence_id, chunks, reason, seconds), in slices.
+
+    The state of a document is its queue of open sentences and what is built. A slice takes sentences in order
+    until their time reaches `seconds` (one at least) and saves every five; what is left waits for the timer,
+    `pause_ms` later, or for new sentences. A failure ends the slice with status error and is tried again after
+    new input. A restarted query goes on from the state. With a processing-time timer a query never ends by itself.
+    """
+
+    def step(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = json.loads(state.get[0]) if state.exists else {"queue": [], "done": [], "slice": 0}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches), ignore_index=True)
+            # A sentence sent again replaces its open entry, and is ignored once it is built.
+            fresh = {r.sentence_id: [int(r.ord), r.sentence_id, None if r.chunks is None else list(r.chunks), r.reason, float(r.seconds)] for r in rows.itertuples()}
+            done = set(known["done"])
+            kept = [u for u in known["queue"] if u[1] not in fresh]
+            known["queue"] = sorted(kept + [u for k, u in fresh.items() if k not in done])
+        spent, out, error, new = 0.0, [], None, 0
+        known["slice"] += 1
+        while known["queue"] and spent < seconds:
+            _, name, chunks, reason, took = known["queue"][0]
+            if reason != "ok":
+                error = reason
+                break
+            known["queue"].pop(0)
+            known["done"].append(name)
+            out.append(("built", who[0], known["slice"], new // FLUSH, name, chunks, None, None, None, None))
+            spent, new = spent + took, new + 1
+        total = len(known["done"]) + len(known["queue"])
+        status = "error" if error else "pending" if known["queue"] else "ok"
+        out.append(("state", who[0], known["slice"], None, None, None, status, error, len(known["done"]), total))
+        state.update((json.dumps(known),))
+        if status == "pending":
+            state.setTimeoutDuration(pause_ms)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in BUILT.split(", ")]).astype({"flush": "Int32", "done": "Int32", "total": "Int32"})
+
+    named = units.select(F.col("doc").cast("string").alias("doc"), F.col("ord").cast("long").alias("ord"), "sentence_id", "chunks", "reason", F.col("seconds").cast("double").alias("seconds"))
+    return named.groupBy("doc").applyInPandasWithState(step, BUILT, "plan string", "append", GroupStateTimeout.ProcessingTimeTimeout)
