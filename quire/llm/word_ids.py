@@ -18,8 +18,11 @@ import numpy as np
 
 #: Lower-casing and white space are the same here and in the tokenizer; normalisation changes nothing.
 PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
-#: Chunks that the memo may hold; half of it goes when it is full, which costs time but no correctness.
-MEMO_CHUNKS = 800_000
+#: Chunks that the memo may hold, about 0.2 KB each; half of it goes when it is full, which costs time but no
+#: correctness. An executor may keep more workers than it has tasks, each with a memo of its own.
+MEMO_CHUNKS = 400_000
+#: Longer chunks are forgotten after the texts they stand in.
+LONG_CHUNK = 100
 
 
 class WordEncoder:
@@ -66,9 +69,13 @@ class WordEncoder:
             else:
                 chunks[k] = text.lower().split()
         memo = self.memo
-        self.learn(list(set().union(*chunks.values()).difference(memo)))
+        new = list(set().union(*chunks.values()).difference(memo))
+        self.learn(new)
         for k, some in chunks.items():
             out[k] = b"".join([memo[c] for c in some])
+        for c in new:
+            if len(c) > LONG_CHUNK:
+                del memo[c]
         return out
 
 
