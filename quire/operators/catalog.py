@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.grams import anchored
+
 # Status ranks of invites; lengths that make a title key usable; sizes of stores.
 INVITE_RANK = {"redeemed": 4, "revoked": 3, "expired": 2, "open": 1}
 LEAST_KEY, HEAD_CHARS = 24, 14_000
 LIBRARY_CAP = 1000
-#: Characters of a piece that a head is cut into, and bytes of a catalog up to which it is broadcast.
-PIECE, BROADCAST_BYTES = 512, 16 << 20
+#: Characters of an anchor within the first 24 of a key.
+LEAD_GRAM = 12
 
 
 def _first(df: DataFrame, by: list, order: list) -> DataFrame:
@@ -92,19 +94,18 @@ def ordered_library(papers: DataFrame, order: DataFrame, owner: str, key: str =
 def match_titles(docs: DataFrame, catalog: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, id, title_key): for each head the longest catalog key it contains; the earliest entry at ties.
 
-    docs has (doc, head, source), heads being title keys; catalog has (id, pos, title_key, source). A key
-    of at least 24 characters can only be inside a head that has the key's first 24, so candidates come
-    from an equi-join on those and are then verified.
+    docs has (doc, head, source), heads being title keys; catalog has (id, pos, title_key, source). A head that
+    contains a key of at least 24 characters has the anchor of the key's first 24 among its own, one place in
+    seven or so, with the same characters around it. So narrow rows meet by an equi-join on anchors, the 24
+    characters are compared inside the join, and what is left is verified on the whole head.
     """
     heads = docs.where(F.length("head") >= LEAST_KEY)
-    # Cut twice: finding a character takes time in proportion to its place, so shingles come from short pieces.
-    cuts = F.transform(F.sequence(F.lit(0), F.expr(f"(length(head) - {LEAST_KEY}) div {PIECE}").cast("int")), lambda i: F.substr(F.col("head"), i * PIECE + 1, F.lit(PIECE + LEAST_KEY - 1)))
-    pieces = heads.select(doc, "source", F.explode(cuts).alias("piece"))
-    shingles = F.transform(F.sequence(F.lit(1), F.length("piece") - LEAST_KEY + 1), lambda i: F.substr(F.col("piece"), i, F.lit(LEAST_KEY)))
-    leads = pieces.select(doc, "source", F.explode(shingles).alias("lead"))
-    keys = catalog.where(F.length("title_key") >= LEAST_KEY).select("id", "pos", "source", "title_key", F.substring("title_key", 1, LEAST_KEY).alias("lead"))
-    size = keys.agg(F.sum(F.octet_length("title_key") + 64).alias("bytes")).first().bytes or 0
-    candidates = leads.join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, ["lead", "source"]).select(doc, "id", "pos", "title_key").distinct().join(heads.select(doc, "head"), doc)
+    places = anchored(heads.select(doc, "source", "head"), "head", LEAST_KEY, LEAD_GRAM)
+    usable = catalog.where(F.length("title_key") >= LEAST_KEY).select("id", "pos", "source", "title_key")
+    keys = anchored(usable.withColumn("lead", F.col("title_key")), "lead", LEAST_KEY, LEAD_GRAM, first=True)
+    keys = keys.select("id", "pos", "source", "title_key", "anchor", F.col("at").alias("before"), F.substring("title_key", 1, LEAST_KEY).alias("lead"))
+    same = (F.col("at") >= F.col("before")) & (F.substr("near", F.col("at") - F.col("before") + 1, F.lit(LEAST_KEY)) == F.col("lead"))
+    candidates = places.join(keys, ["anchor", "source"]).where(same).select(doc, "id", "pos", "title_key").distinct().join(heads.select(doc, "head"), doc)
     found = candidates.where(F.contains("head", "title_key"))
     return _first(found, [doc], [F.desc(F.length("title_key")), "pos"]).select(doc, "id", "title_key")
 
@@ -164,4 +165,9 @@ def merge_stamp_stores(rows: DataFrame, key: str = "uid", keep: int = 40, users:
     newest = Window.partitionBy(key).orderBy(F.desc("t"))
     last = rows.select(key, "t").distinct().withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= keep)
     stores = last.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("stamps"))
-    return stores if stores.count() <= over else stores.orderBy(F.element_at("stamps", -1).desc(), key).limit(users)
+    # One row more than allowed tells whether only the newest users stay; nothing beyond it is gathered.
+    top = stores.orderBy(F.element_at("stamps", -1).desc(), key).limit(over + 1)
+    place = F.row_number().over(Window.orderBy(F.element_at("stamps", -1).desc(), key))
+    all_of = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kept = top.withColumn("_place", place).withColumn("_all", F.count(F.lit(1)).over(all_of))
+    return kept.where((F.col("_all") <= over) | (F.col("_place") <= users)).drop("_place", "_all")

@@ -23,27 +23,35 @@ SPARSE_TOTAL, EMPTY_PAGE, EMPTY_SHARE = 50, 15, 0.45
 _STOP, _CUT = "\ue000", "\ue001"
 
 
+def _marked(text: Column) -> Column:
+    """text with a mark in place of each full stop that ends no sentence."""
+    return F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), rf"(?i)(^|[^\p{{L}}\p{{N}}_])({ABBREVIATIONS})\.", "$1$2" + _STOP)
+
+
+def _bare(piece: Column) -> Column:
+    return F.regexp_replace(F.replace(piece, F.lit(_STOP), F.lit(".")), r"^\s+|\s+$", "")
+
+
 def sentence_array(text: Column) -> Column:
     """Sentences of a text, trimmed, blanks dropped."""
-    marked = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), rf"(?i)(^|[^\p{{L}}\p{{N}}_])({ABBREVIATIONS})\.", "$1$2" + _STOP)
-    cut = F.regexp_replace(marked, r"""([.!?])\s+([A-Z"'])""", "$1" + _CUT + "$2")
-    pieces = F.transform(F.split(cut, _CUT), lambda p: F.regexp_replace(F.replace(p, F.lit(_STOP), F.lit(".")), r"^\s+|\s+$", ""))
-    return F.filter(pieces, lambda p: p != "")
+    cut = F.regexp_replace(_marked(text), r"""([.!?])\s+([A-Z"'])""", "$1" + _CUT + "$2")
+    return F.filter(F.transform(F.split(cut, _CUT), _bare), lambda p: p != "")
 
 
 def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_SENTENCES) -> DataFrame:
-    """(id, ord, text, start, end): sentences with their places in the trimmed text, each searched behind the one before."""
-    text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
-
-    def step(acc, piece):
-        found = F.call_function("locate", piece, F.col("_t"), acc["at"])
-        end = found + F.length(piece)
-        return F.struct(F.when(found > 0, end).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(piece.alias("text"), (found - 1).alias("start"), (end - 1).alias("end")))).alias("out"))
-
-    rows = docs.select(id_col, text.alias("_t")).withColumn("_p", F.slice(sentence_array(F.col("_t")), 1, limit))
-    spans = F.aggregate("_p", start, step, lambda acc: acc["out"])
-    return rows.select(id_col, F.posexplode(spans).alias("ord", "s")).select(id_col, "ord", "s.text", "s.start", "s.end")
+    """(id, ord, text, start, end): sentences with their places in the trimmed text.
+
+    Marks are as long as what they replace and the white space of a cut stays in front of its sentence, so a
+    sentence starts where the lengths before it end. Only an empty text has a blank piece.
+    """
+    cut = F.regexp_replace(_marked(F.col(text_col)), r"""([.!?])(\s+[A-Z"'])""", "$1" + _CUT + "$2")
+    rows = docs.select(id_col, F.slice(F.split(cut, _CUT), 1, limit).alias("_p"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    ends = F.aggregate(F.transform("_p", F.length), start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    rows = rows.select(id_col, F.posexplode(F.arrays_zip(F.col("_p").alias("p"), ends.alias("at"))).alias("ord", "s")).where(~F.col("s.p").rlike(r"^\s*$"))
+    lead = F.length("s.p") - F.length(F.regexp_replace("s.p", r"^\s+", ""))
+    rows = rows.select(id_col, "ord", _bare(F.col("s.p")).alias("text"), (F.col("s.at") + lead).alias("start"))
+    return rows.select(id_col, "ord", "text", "start", (F.col("start") + F.length("text")).alias("end"))
 
 
 def page_texts(pages: DataFrame, raw: DataFrame, page: list[str]) -> DataFrame:

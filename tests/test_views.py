@@ -116,3 +116,33 @@ def test_short_keys_are_found_too(spark):
     assert {(r.doc_id, r.id) for r in catalog.match_titles(heads, keys).collect()} == {(1, "p"), (2, "q")}
     lone = spark.createDataFrame([("l", 0, "a" * 26, "s")], "id string, pos int, title_key string, source string")
     assert {(r.doc_id, r.id) for r in catalog.match_titles(heads, lone).collect()} == {(1, "l")}
+
+
+def test_stamp_stores_keep_the_newest_users(spark):
+    rows = spark.createDataFrame([(f"u{k}", t) for k in range(6) for t in (k, k + 10, k)], "uid string, t long")
+    got = lambda **kw: {r.uid: r.stamps for r in catalog.merge_stamp_stores(rows, **kw).collect()}
+    assert got(users=2, over=5) == {"u5": [5, 15], "u4": [4, 14]}
+    assert got(users=2, over=6, keep=1) == {f"u{k}": [k + 10] for k in range(6)}
+
+
+def test_titles_inside_heads(spark):
+    """Anchors find every key that a plain search finds, at any place and in any script."""
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "dé", "日本語", "x", "nanowire", "of", "the"]
+    heads = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))), rng.choice("ab")) for k in range(120)]
+    keys = [(f"k{k}", k, h[(s := rng.randint(0, max(len(h) - 30, 0))) : s + rng.randint(20, 45)], rng.choice("ab")) for k, (_, h, _) in enumerate(heads)]
+    keys += [("twin", 900, keys[0][2], keys[0][3]), ("long", 901, heads[3][1], heads[3][2])]
+    want = {}
+    for doc, head, source in heads:
+        inside = [(-len(key), pos, i, key) for i, pos, key, s in keys if s == source and len(key) >= 24 and key in head]
+        if inside:
+            want[doc] = min(inside)[2:]
+    docs = spark.createDataFrame(heads, "doc_id long, head string, source string")
+    got = catalog.match_titles(docs, spark.createDataFrame(keys, "id string, pos long, title_key string, source string")).collect()
+    assert {r.doc_id: (r.id, r.title_key) for r in got} == want and len(want) > 30
+
+
+def test_places_of_a_long_text(spark):
+    given = " ".join(f"Sentence number {k} says e.g. this." for k in range(60_000)) + "\n"
+    rows = segment.sentence_spans(spark.createDataFrame([(1, given)], "doc_id long, text string")).orderBy("ord").collect()
+    assert len(given) > 2_000_000 and len(rows) == 5000 and all(given[r.start : r.end] == r.text for r in rows)
