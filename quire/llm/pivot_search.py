@@ -13,12 +13,13 @@ score are never lost.
 
 Annuli are cut at quantiles of the distances around their pivot, so that each holds about RING_ROWS vectors
 or, in a large table, an equal share of its pivot's. The directory of annuli has at most PIVOTS x RINGS rows
-and is the only thing broadcast. Queries are dealt in blocks; queries and vectors meet by a join on (pivot,
-ring, part): the blocks of an annulus that many equal vectors fill are dealt over parts.
+and is the only thing broadcast. Queries are read in blocks; what is sent to an annulus is the queries of a
+block that it may serve, and no others. Queries and vectors meet by a join on (pivot, ring, part): the blocks
+of an annulus that many equal vectors fill are dealt over parts.
 
 Defined cases: null vectors, and vectors with a null or non-finite component, take no part, nor do vectors
-whose squared norm reaches 2^62, as their scores might not fit a long; shorter vectors are padded with zeros; rows that share the query's id are not its candidates, and a repeated
-query id is one query; repeated candidates each count; fewer than k candidates give fewer ranks; an empty
+whose squared norm reaches 2^62 (a component of 2.1 million), as their scores might not fit a long; shorter vectors are padded with zeros; rows that share the query's id are not its candidates, and a repeated
+query id is one query, by the vector of the smallest stored bytes; repeated candidates each count; fewer than k candidates give fewer ranks; an empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -39,6 +40,8 @@ RINGS = 256
 #: Vectors an annulus should hold at least, and blocks of an annulus that one task scores.
 RING_ROWS, PART_BLOCKS = 1024, 8
 BLOCK_ROWS, QUERY_ROWS = 1024, 256
+#: Vectors a partition of the index holds at most.
+PARTITION_ROWS = 200_000
 #: Scores are exact in doubles below this bound on a sum of products; beyond it integers are used.
 EXACT = 2.0**52
 
@@ -155,21 +158,18 @@ BLOCK = "block long, cell int, ring int, least double, most double, ids array<lo
 
 
 def _home(shared, width: int, rings: np.ndarray):
-    """For every query of a block the one annulus it starts with: rings has (cell, ring, least, most, parts) rows."""
+    """For every query the one annulus it starts with: rings has (cell, ring, least, most, parts) rows."""
 
     def run(batches):
         g: Geometry = shared.value
         for b in batches:
-            out = []
-            for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for ids, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 q = np.frombuffer(raw, "<i8").reshape(-1, width)
                 d = g.of_queries(q)
                 gap = np.maximum(0, np.maximum(d[:, rings[:, 0].astype(int)] - rings[:, 3], rings[:, 2] - d[:, rings[:, 0].astype(int)]))
                 # The nearest pivot that holds vectors, then the ring nearest to the query's own distance.
-                near = d[:, rings[:, 0].astype(int)] + gap
-                pick = near.argmin(1)
-                out += [(block, int(rings[p, 0]), int(rings[p, 1]), part, np.flatnonzero(pick == p).astype("<i4").tobytes()) for p in np.unique(pick) for part in range(int(rings[p, 4]))]
-            yield _pairs(out)
+                pick = (d[:, rings[:, 0].astype(int)] + gap).argmin(1)
+                yield from _sent(((p, np.flatnonzero(pick == p)) for p in np.unique(pick)), rings, ids, q)
 
     return run
 
@@ -180,8 +180,7 @@ def _rest(shared, width: int, rings: np.ndarray):
     def run(batches):
         g: Geometry = shared.value
         for b in batches:
-            out = []
-            for block, raw, best in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for ids, raw, best in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 q = np.frombuffer(raw, "<i8").reshape(-1, width)
                 known = np.full(len(q), -np.inf)
                 for x in best or ():
@@ -191,21 +190,31 @@ def _rest(shared, width: int, rings: np.ndarray):
                 home = (d[:, cells] + gap).argmin(1)
                 open_ = g.best_score(q, gap) >= known[:, None]
                 open_[np.arange(len(q)), home] = False
-                for p in np.argsort(gap.min(0), kind="stable"):
-                    who = np.flatnonzero(open_[:, p])
-                    if len(who):
-                        out += [(block, int(rings[p, 0]), int(rings[p, 1]), part, who.astype("<i4").tobytes()) for part in range(int(rings[p, 4]))]
-            yield _pairs(out)
+                yield from _sent(((p, np.flatnonzero(open_[:, p])) for p in np.argsort(gap.min(0), kind="stable")), rings, ids, q)
 
     return run
 
 
+def _sent(chosen, rings: np.ndarray, ids: list[int], q: np.ndarray):
+    """Batches of PAIRS: for each (ring, queries) the ids and vectors of those queries, once a part of the ring."""
+    rows: list[tuple] = []
+    for p, who in chosen:
+        if len(who):
+            some, vectors = [ids[k] for k in who], q[who].tobytes()
+            rows += [(int(rings[p, 0]), int(rings[p, 1]), part, some, vectors) for part in range(int(rings[p, 4]))]
+        if len(rows) >= 64:
+            yield _pairs(rows)
+            rows = []
+    yield _pairs(rows)
+
+
 def _pairs(rows):
     cols = list(zip(*rows)) or [()] * 5
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["qblock", "cell", "ring", "part", "who"])
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["cell", "ring", "part", "qids", "qs"])
 
 
-PAIRS = "qblock long, cell int, ring int, part int, who binary"
+PAIRS = "cell int, ring int, part int, qids array<long>, qs binary"
 
 
 def _with_rings(keyed: DataFrame) -> DataFrame:
@@ -235,10 +244,9 @@ def _scored(width: int, k: int, exact: bool):
         held = [np.zeros(0, np.int64)] * 3
         waiting, size = [held], 0
         for b in batches:
-            for who, qids, qs, ids, vs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at = np.frombuffer(who, "<i4")
-                q, v = np.frombuffer(qs, "<i8").reshape(-1, width)[at], np.frombuffer(vs, "<i8").reshape(-1, width)
-                qid, vid = np.array(qids, np.int64)[at], np.array(ids, np.int64)
+            for qids, qs, ids, vs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                q, v = np.frombuffer(qs, "<i8").reshape(-1, width), np.frombuffer(vs, "<i8").reshape(-1, width)
+                qid, vid = np.array(qids, np.int64), np.array(ids, np.int64)
                 s = (q.astype(float) @ v.astype(float).T).astype(np.int64) if exact else q @ v.T
                 own = qid[:, None] == vid[None, :]
                 s[own] = np.iinfo(np.int64).min
@@ -263,19 +271,23 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     spark = vectors.sparkSession
     rows = vectors.select(ticked(id_col).cast("long").alias("vec_id"), ticked(vector_col).cast("array<double>").alias("e"))
     clean = materialise(rows.mapInArrow(_quantised, "vec_id long, v binary, norm double"), "quantised")
-    size = clean.agg(F.max("norm").alias("largest"), F.max(F.octet_length("v")).alias("width")).first()
+    size = clean.agg(F.max("norm").alias("largest"), F.max(F.octet_length("v")).alias("width"), F.count(F.lit(1)).alias("n")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if size.largest is None:
         return empty
     width, largest = max(size.width // 8, 1), float(size.largest)
-    sample = clean.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary")), "vec_id").limit(PIVOT_SAMPLE).select("v").toArrow()
+    # A digest keeps about twice the sample, whatever the table's size; the smallest digests of these are it.
+    few = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)) < F.lit(int((1 << 31) * min(1.0, 2 * PIVOT_SAMPLE / size.n)))
+    near = clean if size.n <= 4 * PIVOT_SAMPLE else clean.where(few)
+    sample = near.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary")), "vec_id", "v").limit(PIVOT_SAMPLE).select("v").toArrow()
     shared = spark.sparkContext.broadcast(Geometry(choose_pivots(_matrix(sample["v"].combine_chunks(), width), pivots), largest))
     keyed = _with_rings(materialise(clean.select("vec_id", "v").mapInArrow(_keyed(shared, width), "vec_id long, v binary, cell int, dist double"), "keyed"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.n // PARTITION_ROWS))
     order = ["cell", "ring", "dist", "vec_id"]
     index = materialise(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks(BLOCK_ROWS, width), BLOCK), "index")
-    asked = keyed.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
-    asked = asked.repartitionByRange(parts, "cell", "dist", "vec_id").sortWithinPartitions("cell", "dist", "vec_id").withColumn("cell", F.lit(0)).withColumn("ring", F.lit(0))
+    asked = keyed.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("v", "cell", "dist")).alias("x")).select("vec_id", "x.v", "x.cell", "x.dist")
+    asked = asked.repartitionByRange(parts, "cell", "dist", "vec_id").sortWithinPartitions("cell", "dist", "vec_id")
+    asked = asked.select("vec_id", "v", F.lit(0).alias("cell"), F.lit(0).alias("ring"), "dist")
     queries = materialise(asked.mapInArrow(_blocks(QUERY_ROWS, width), BLOCK).select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vectors").alias("qs")), "queries")
     parts = F.ceil(F.count(F.lit(1)) / PART_BLOCKS).cast("int")
     directory = materialise(index.groupBy("cell", "ring").agg(F.min("least").alias("least"), F.max("most").alias("most"), parts.alias("parts")), "directory")
@@ -284,14 +296,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     dealt = dealt.select("cell", "ring", "part", "ids", "vectors")
 
     def score(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(queries, "qblock").join(dealt, ["cell", "ring", "part"])
-        return met.select("who", "qids", "qs", "ids", "vectors").mapInArrow(_scored(width, k, largest * 2 < EXACT), "query_id long, vec_id long, score long")
+        met = pairs.join(dealt, ["cell", "ring", "part"])
+        return met.select("qids", "qs", "ids", "vectors").mapInArrow(_scored(width, k, largest * 2 < EXACT), "query_id long, vec_id long, score long")
 
-    start = materialise(score(queries.select("qblock", "qs").mapInArrow(_home(shared, width, rings), PAIRS)), "first")
+    start = materialise(score(queries.select("qids", "qs").mapInArrow(_home(shared, width, rings), PAIRS)), "first")
     kth = start.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k).select("query_id", F.get("s", F.lit(k - 1)).alias("kth"))
     members = queries.select("qblock", F.posexplode("qids").alias("at", "query_id"))
     bounds = members.join(kth, "query_id").groupBy("qblock").agg(F.collect_list(F.struct("at", "kth")).alias("best"))
-    rest = score(queries.select("qblock", "qs").join(bounds, "qblock", "left").select("qblock", "qs", "best").mapInArrow(_rest(shared, width, rings), PAIRS))
+    rest = score(queries.join(bounds, "qblock", "left").select("qids", "qs", "best").mapInArrow(_rest(shared, width, rings), PAIRS))
     ranked = start.unionByName(rest).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

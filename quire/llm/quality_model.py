@@ -2,8 +2,8 @@
 
 Statistics of every whole text are computed by Spark's own functions, once a text. A bounded sample of the
 labelled documents (at most MAX_TRAINING_ROWS, those with the smallest digests of their ids) is enough to
-fit the forest on the driver; it is chosen on the narrow label table, before any statistic is joined. Every
-row is scored by a vectorised walk over the flattened trees.
+fit the forest on the driver; it is chosen among the labels of documents at hand, on narrow rows, before any
+statistic is joined. Every row is scored by a vectorised walk over the flattened trees.
 
 Defined cases: a null text counts as empty and gets the score of all-zero statistics; repeated rows
 repeat (one of them, by its statistics, is learned from); labels that are null or name no document are
@@ -88,7 +88,9 @@ def sampled_labels(labels: DataFrame, label_id: str, label_col: str, most: int)
 
 def training_rows(features: DataFrame, labels: DataFrame, label_id: str, label_col: str, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of at most `most` labelled documents outside the held-out fold."""
-    known = F.broadcast(sampled_labels(labels, label_id, label_col, most))  # at most `most` narrow rows
+    # Labels of documents that are not here must not use up the bound.
+    here = labels.join(features.select(F.col("id").alias(label_id)), label_id, "left_semi")
+    known = F.broadcast(sampled_labels(here, label_id, label_col, most))  # at most `most` narrow rows
     rows = features.join(known, "id").groupBy("id").agg(F.min("features").alias("features"), F.min("y").alias("y")).orderBy("id").select("features", "y").toPandas()
     if not len(rows):
         return np.zeros((0, len(FEATURES))), np.zeros(0)
