@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values, in points: how far an image may be from its caption.
@@ -59,16 +59,20 @@ def _shares(a: tuple, b: tuple, part: float = OVERLAP) -> bool:
     return w > 0 and h > 0 and w * h > part * min((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b))
 
 
-def assign(captions: DataFrame, images: DataFrame, page: list[str], tables: bool = False) -> DataFrame:
+def assign(captions: DataFrame, images: DataFrame, page: list[str], tables: bool = False, after: DataFrame | None = None) -> DataFrame:
     """(page, caption_no, image_no, mode): in caption order each takes its best image not yet covered.
 
     Candidates come from a join bounded by the page, best first; the choice is sequential within a page
-    and runs over whole partitions, holding the boxes taken on one page.
+    and runs over whole partitions, holding the boxes taken on one page. Images of `after` (page, image_no,
+    box) come behind all captions, in their own order: each is taken, without a caption, if nothing covers it.
     """
     boxes = ["x0", "y0", "x1", "y1"]
     found = (table_candidates if tables else candidates)(captions, images, page)
     part = TABLE_OVERLAP if tables else OVERLAP
     kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in [*page, "caption_no", "image_no", "mode"])
+    if after is not None:
+        alone = after.select(*page, F.lit(None).alias("caption_no"), "image_no", F.lit(None).alias("mode"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("area"), *boxes)
+        found = found.unionByName(alone)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, served, used = None, None, []
@@ -78,15 +82,15 @@ def assign(captions: DataFrame, images: DataFrame, page: list[str], tables: bool
                 where, caption, box = row[: len(page)], row[len(page)], row[len(page) + 1 :]
                 if where != here:
                     here, served, used = where, None, []
-                take = caption != served and not any(_shares(box, u, part) for u in used)
+                take = (pd.isna(caption) or caption != served) and not any(_shares(box, u, part) for u in used)
                 if take:
                     served = caption
                     used.append(box)
                 keep.append(take)
-            yield pdf.loc[keep, [*page, "caption_no", "image_no", "mode"]]
+            yield pdf.loc[keep, [*page, "caption_no", "image_no", "mode"]].astype({"caption_no": "Int64", "mode": "Int32"})
 
-    dealt = found.repartition(*page).sortWithinPartitions(*page, "caption_no", "mode", "gap", F.desc("area"), "image_no")
-    return dealt.mapInPandas(choose, kinds)
+    order = [F.asc_nulls_last("caption_no"), F.asc_nulls_last("mode"), "gap", F.desc("area"), "image_no"]
+    return found.repartition(*page).sortWithinPartitions(*page, *order).mapInPandas(choose, kinds)
 
 
 def column_band(page_x0: Column, page_x1: Column, x0: Column, x1: Column, bleed: float) -> Column:
@@ -111,15 +115,8 @@ def table_clip(page: dict[str, Column], cap: dict[str, Column]) -> Column:
     return F.struct(band["x0"].alias("x0"), F.greatest(page["y0"], cap["y0"] - 4).alias("y0"), band["x1"].alias("x1"), F.least(page["y1"], cap["y1"] + 260).alias("y1"))
 
 
-def captioned_rows(captions: DataFrame, images: DataFrame, pages: DataFrame, page: list[str], tables: bool = False) -> DataFrame:
-    """One row per caption of a page, its image or table attached: (page, caption_no, image_no, clip, y, x).
-
-    captions has (page, caption_no, caption_key, box); of equal keys on a page the first counts. Each takes its
-    best target in turn; the clip joins both boxes and is no narrower than the caption's column. A caption
-    without a target gets the clip where its drawing must be. pages has (page, px0, py0, px1, py1).
-    """
-    first = captions.groupBy(*page, "caption_key").agg(F.min(F.struct("caption_no", "x0", "y0", "x1", "y1")).alias("c")).select(*page, "caption_key", "c.*")
-    taken = assign(first, images, page, tables).select(*page, "caption_no", "image_no")
+def _captioned(first: DataFrame, taken: DataFrame, images: DataFrame, pages: DataFrame, page: list[str], tables: bool) -> DataFrame:
+    """Rows of captions with their targets: the clip of both boxes, or where the target must be."""
     boxes = images.select(*page, "image_no", *[F.col(b).alias("i" + b) for b in ("x0", "y0", "x1", "y1")])
     rows = first.join(taken, [*page, "caption_no"], "left").join(boxes, [*page, "image_no"], "left").join(pages, page)
     sheet, cap = {b: F.col("p" + b) for b in ("x0", "y0", "x1", "y1")}, {b: F.col(b) for b in ("x0", "y0", "x1", "y1")}
@@ -130,6 +127,44 @@ def captioned_rows(captions: DataFrame, images: DataFrame, pages: DataFrame, pag
     return rows.select(*page, "caption_no", "caption_key", "image_no", clip.alias("clip"), F.least("y0", "iy0").alias("y"), F.least("x0", "ix0").alias("x"))
 
 
+def _first_keys(captions: DataFrame, page: list[str]) -> DataFrame:
+    """Captions (page, caption_no, caption_key, box): of equal keys on a page the first."""
+    return captions.groupBy(*page, "caption_key").agg(F.min(F.struct("caption_no", "x0", "y0", "x1", "y1")).alias("c")).select(*page, "caption_key", "c.*")
+
+
+def captioned_rows(captions: DataFrame, images: DataFrame, pages: DataFrame, page: list[str], tables: bool = False) -> DataFrame:
+    """One row per caption of a page, its image or table attached: (page, caption_no, caption_key, image_no, clip, y, x).
+
+    captions has (page, caption_no, caption_key, box); of equal keys on a page the first counts. Each takes its
+    best target in turn; the clip joins both boxes and is no narrower than the caption's column. A caption
+    without a target gets the clip where its drawing must be. pages has (page, px0, py0, px1, py1).
+    """
+    first = _first_keys(captions, page)
+    return _captioned(first, assign(first, images, page, tables).select(*page, "caption_no", "image_no"), images, pages, page, tables)
+
+
+def figure_rows(captions: DataFrame, images: DataFrame, tables: DataFrame, abstracts: DataFrame, pages: DataFrame, page: list[str]) -> DataFrame:
+    """All rows of a page in one list: figures and tables by their captions, then graphical abstracts.
+
+    (page, n, kind, caption_no, caption_key, image_no, clip). captions has a column `kind`, figure or table;
+    abstracts are the images that may be one. Captions of figures choose first; an abstract is what no caption's
+    image and no earlier abstract covers, clipped with the room of a caption below it. Tables are chosen apart.
+    Rows are numbered from 1, top down, then from the left.
+    """
+    figures = _first_keys(captions.where("kind = 'figure'"), page)
+    taken = assign(figures, images, page, after=abstracts.select(*page, "image_no", "x0", "y0", "x1", "y1"))
+    # One choice serves both kinds of rows.
+    found = _captioned(figures, taken.where("caption_no IS NOT NULL").select(*page, "caption_no", "image_no"), images, pages, page, False).withColumn("kind", F.lit("figure"))
+    free = taken.where("caption_no IS NULL").select(*page, "image_no").join(abstracts.select(*page, "image_no", "x0", "y0", "x1", "y1"), [*page, "image_no"]).join(pages, page)
+    clip = F.struct("x0", "y0", "x1", F.least("py1", F.col("y1") + BELOW).alias("y1"))
+    number = found.schema["caption_no"].dataType
+    free = free.select(*page, F.lit(None).cast(number).alias("caption_no"), F.lit("abstract").alias("caption_key"), "image_no", clip.alias("clip"), F.col("y0").alias("y"), F.col("x0").alias("x"), F.lit("abstract").alias("kind"))
+    others = captioned_rows(captions.where("kind = 'table'"), tables, pages, page, tables=True).withColumn("kind", F.lit("table"))
+    rows = found.unionByName(free).unionByName(others)
+    place = F.row_number().over(Window.partitionBy(*page).orderBy("y", "x", "kind", "caption_no", "image_no"))
+    return rows.select(*page, place.alias("n"), "kind", "caption_no", "caption_key", "image_no", "clip")
+
+
 def panel_grid(n: Column, width: Column, height: Column) -> Column:
     """(rows, cols) that n panels of a compound figure most likely stand in."""
     wide = width >= height

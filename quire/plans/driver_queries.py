@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import chunk_plans, debone, usage
+from quire.operators import chunk_plans, debone, figures, usage
 from quire.plans.carriers import table
 from quire.plans.catalog_queries import _view
 from quire.sources.scratch import settled
@@ -127,3 +127,41 @@ UNION ALL SELECT 'event', uid, action, "at", tie, action || '_rate_limited', att
 UNION ALL SELECT 'decision', uid, action, "at", tie, CASE WHEN uid = '' THEN 'auth_required' ELSE 'rate_limited' END, NULL, NULL FROM k WHERE uid = '' OR action = 'other'""")
 def limits_with_events(spark, d):
     return usage.limited(_view(spark, d, _calls, "events"), _limits)
+
+
+#: Four images and four figure captions a page, near enough to compete; some images overlap; one table and its caption.
+_pics = "SELECT p_partkey AS page, k AS image_no, CAST(20 AS DOUBLE) AS x0, CAST(100 * k + (p_partkey * (k + 1)) % 37 AS DOUBLE) AS y0, CAST(180 AS DOUBLE) AS x1, CAST(100 * k + (p_partkey * (k + 1)) % 37 + 90 + (p_partkey * k) % 5 * 8 AS DOUBLE) AS y1 FROM {part}"
+_heads = """SELECT p_partkey AS page, k AS caption_no, CASE WHEN k = 4 THEN 'table' ELSE 'figure' END AS kind, CASE WHEN k = 4 THEN 'table:1' ELSE 'fig:' || (k * (1 + p_partkey % 2) % 4) END AS caption_key, CAST(30 AS DOUBLE) AS x0, CAST(170 AS DOUBLE) AS x1,
+ CAST(CASE WHEN k = 4 THEN 600 ELSE 100 * k + 60 + (p_partkey * (k + 2)) % 53 END AS DOUBLE) AS y0, CAST(CASE WHEN k = 4 THEN 610 ELSE 100 * k + 70 + (p_partkey * (k + 2)) % 53 END AS DOUBLE) AS y1 FROM {part}"""
+_four = "part, (SELECT unnest([0, 1, 2, 3]) AS k)"
+
+
+@query(f"""
+WITH RECURSIVE i AS ({_pics.replace('{part}', _four)}), h AS ({_heads.replace('{part}', 'part, (SELECT unnest([0, 1, 2, 3, 4]) AS k)')}),
+c AS (SELECT * FROM h WHERE kind = 'figure' QUALIFY row_number() OVER (PARTITION BY page, caption_key ORDER BY caption_no) = 1),
+m AS (SELECT c.page, c.caption_no, i.image_no, i.y0, i.y1, CASE WHEN c.y0 - i.y1 BETWEEN 0 AND 150 THEN 0 WHEN i.y0 - c.y1 BETWEEN 0 AND 120 THEN 1 END AS mode, CASE WHEN c.y0 - i.y1 BETWEEN 0 AND 150 THEN c.y0 - i.y1 ELSE i.y0 - c.y1 END AS gap FROM c JOIN i USING (page)
+ UNION ALL SELECT page, 99, image_no, y0, y1, 2, 0 FROM i WHERE (page + image_no) % 3 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY caption_no, mode, gap, 160 * (y1 - y0) DESC, image_no) AS k FROM m WHERE mode IS NOT NULL),
+w AS (
+  SELECT DISTINCT page, 0::bigint AS k, -1 AS caption_no, -1 AS image_no, false AS took, -1 AS served, []::struct(a double, b double)[] AS used FROM o
+  UNION ALL
+  SELECT page, k, caption_no, image_no, took, CASE WHEN took THEN caption_no ELSE served END, CASE WHEN took THEN list_append(used, {{'a': y0, 'b': y1}}) ELSE used END FROM (
+    SELECT o.*, w.served, w.used, (o.caption_no = 99 OR o.caption_no <> w.served) AND len(list_filter(w.used, lambda u: least(u.b, o.y1) - greatest(u.a, o.y0) > 0.55 * least(u.b - u.a, o.y1 - o.y0))) = 0 AS took FROM w JOIN o ON o.page = w.page AND o.k = w.k + 1)
+), t AS (SELECT page, caption_no, image_no FROM w WHERE took),
+r AS (
+  SELECT c.page, 'figure' AS kind, c.caption_no, c.caption_key, t.image_no, CASE WHEN t.page IS NULL THEN least(6.0, c.x0) ELSE 6.0 END AS x0, CASE WHEN t.page IS NULL THEN greatest(0, c.y0 - 280) ELSE least(c.y0, i.y0) END AS y0, CASE WHEN t.page IS NULL THEN greatest(c.x1, 116.0) ELSE 180.0 END AS x1,
+    CASE WHEN t.page IS NULL THEN least(700, c.y1 + 4) ELSE greatest(c.y1, i.y1) END AS y1, least(c.y0, coalesce(i.y0, c.y0)) AS y, least(c.x0, coalesce(i.x0, c.x0)) AS x
+  FROM c LEFT JOIN t ON t.page = c.page AND t.caption_no = c.caption_no LEFT JOIN i ON i.page = t.page AND i.image_no = t.image_no
+  UNION ALL SELECT i.page, 'abstract', NULL, 'abstract', i.image_no, i.x0, i.y0, i.x1, least(700, i.y1 + 150), i.y0, i.x0 FROM t JOIN i ON i.page = t.page AND i.image_no = t.image_no WHERE t.caption_no = 99
+  UNION ALL SELECT page, 'table', caption_no, caption_key, CASE WHEN page % 2 = 0 THEN 0 END, 6.0, CASE WHEN page % 2 = 0 THEN 600 ELSE 596 END, CASE WHEN page % 2 = 0 THEN 190.0 ELSE 170.0 END, CASE WHEN page % 2 = 0 THEN 690 ELSE 700 END, 600, CASE WHEN page % 2 = 0 THEN 10.0 ELSE 30.0 END FROM h WHERE kind = 'table'
+)
+SELECT page, (row_number() OVER (PARTITION BY page ORDER BY y, x, kind, caption_no NULLS FIRST, image_no NULLS FIRST))::int AS n, kind, caption_no, caption_key, image_no, x0::double AS clip_x0, y0::double AS clip_y0, x1::double AS clip_x1, y1::double AS clip_y1 FROM r""")
+def figure_rows(spark, d):
+    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page"), *[F.lit(float(v)).alias("p" + b) for b, v in (("x0", 0), ("y0", 0), ("x1", 200), ("y1", 700))])
+    numbers = lambda n: F.explode(F.array(*map(F.lit, range(n)))).alias("k")
+    table(spark, d, "part").select("p_partkey", numbers(4)).createOrReplaceTempView("part_four")
+    table(spark, d, "part").select("p_partkey", numbers(5)).createOrReplaceTempView("part_five")
+    images, captions = spark.sql(_pics.replace("{part}", "part_four")), spark.sql(_heads.replace("{part}", "part_five"))
+    tables = pages.where("page % 2 = 0").select("page", F.lit(0).alias("image_no"), F.lit(10.0).alias("x0"), F.lit(620.0).alias("y0"), F.lit(190.0).alias("x1"), F.lit(690.0).alias("y1"))
+    rows = figures.figure_rows(captions, images, tables, images.where("(page + image_no) % 3 = 0"), pages, ["page"])
+    return rows.select("page", "n", "kind", "caption_no", "caption_key", "image_no", *[F.col("clip")[b].alias("clip_" + b) for b in ("x0", "y0", "x1", "y1")])
