@@ -8,12 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import redact_secrets
+from quire.functions.text import email, redact_secrets
+from quire.sources.scratch import settled
 
 # Access states; limits of error reports and stores.
 ACCESS = ("none", "pending", "allowed", "denied", "byok")
 KIND_CHARS, MESSAGE_CHARS, STACK_CHARS = 64, 500, 4000
 MOST_LINKS, USED_DAYS, UNUSED_DAYS = 500, 2, 1
+MOST_TOKEN = 200
+PROVIDERS = ("google", "kakao", "email")
 #: Anchored grammars of identifiers.
 GRAMMAR = {
     "cache": r"^[A-Za-z0-9_\-]{1,64}$",
@@ -93,6 +96,114 @@ def redeem_outcomes(attempts: DataFrame, keys: list[str], at: str, tie: str) ->
     return attempts.select(columns).repartition(*keys).sortWithinPartitions(*keys, at, tie).mapInPandas(run, kinds + ", code string")
 
 
+def redeem_tokens(attempts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Attempts (token, at, tie) to use sign-in tokens (hash, email, exp, used), each with its code and the address it gave.
+
+    Blank, overlong and unknown tokens are bad_token, and so is one without a valid address, which stays unused.
+    The first other attempt at a token decides: expired after its time, else ok; all later ones find it used.
+    Of repeated hashes a used record counts first, then the one that lasts longest.
+    """
+    bare = F.trim(F.coalesce("token", F.lit("")))
+    kept = tokens.groupBy("hash").agg(F.max_by(F.struct("email", F.coalesce("exp", F.lit(0)).alias("exp"), F.coalesce("used", F.lit(False)).alias("used")), F.struct(F.coalesce("used", F.lit(False)).alias("used"), F.coalesce("exp", F.lit(0)).alias("exp"), F.coalesce("email", F.lit("")).alias("email"))).alias("t"))
+    known = attempts.select("token", "at", "tie", F.when((bare != "") & (F.length(bare) <= MOST_TOKEN), F.sha2(bare, 256)).alias("hash")).join(kept, "hash", "left")
+    address = email(F.col("t.email"))
+    # A token with no address never changes, so its attempts are bad as long as its time has not come.
+    open_ = F.col("t").isNotNull() & ~F.col("t.used")
+    late, lost = F.col("t.exp") < F.col("at"), address.isNull()
+    spends = open_ & (late | ~lost)
+    before = Window.partitionBy(F.coalesce("hash", F.concat_ws("-", "at", "tie"))).orderBy("at", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.max(spends).over(before), F.lit(False))
+    code = F.when(F.col("t").isNull(), "bad_token").when(F.col("t.used") | spent, "used").when(late, "expired").when(lost, "bad_token").otherwise("ok")
+    rows = known.withColumn("code", code)
+    return rows.select("token", "at", "tie", "code", F.when(F.col("code") == "ok", address).alias("email"))
+
+
+#: A command on linked accounts and its outcome.
+OUTCOME = "seq long, code string, account string"
+
+
+def account_step(users: dict[str, dict[str, str]], owners: dict[str, str], op: str, uid: str, provider: str, subject: str, fresh: str) -> tuple[str, str | None]:
+    """Carry out one command on users (uid -> provider -> subject) and owners (provider:subject -> uid).
+
+    resolve: the owner of a way to sign in, or a new account for it, under the wanted uid if that is free.
+    link: one more way, unless another account has it. unlink: one way less, never the last.
+    """
+    key = f"{provider}:{subject}"
+    if provider not in PROVIDERS or (op != "unlink" and not subject) or (op != "resolve" and not uid):
+        return "invalid", None
+    if op == "resolve":
+        if owners.get(key) in users:
+            return "ok", owners[key]
+        new = uid or (subject if provider == "google" else fresh)
+        if new in users:
+            new = fresh
+        users.setdefault(new, {})[provider] = subject
+        owners[key] = new
+        return "created", new
+    if uid not in users:
+        return "user_missing", None
+    if op == "link":
+        if owners.get(key, uid) != uid:
+            return "conflict", None
+        users[uid][provider] = subject
+        owners[key] = uid
+        return "ok", uid
+    if provider not in users[uid]:
+        return "not_linked", None
+    if len(users[uid]) <= 1:
+        return "last_provider", None
+    key = f"{provider}:{users[uid].pop(provider)}"
+    if owners.get(key) == uid:
+        del owners[key]
+    return "ok", uid
+
+
+def command_groups(commands: DataFrame, rounds: int = 40) -> DataFrame:
+    """(seq, grp): commands that touch a common uid or way to sign in, at any remove, share a group.
+
+    Keys and commands are a graph; every round a command takes the smallest group of its keys, and a key that of
+    its commands, and the state is written. A round in which nothing moves ends it.
+    """
+    way = F.concat_ws(":", "provider", F.col("subject"))
+    names = F.array(F.concat(F.lit("u:"), F.when(F.col("uid") != "", F.col("uid"))), F.concat(F.lit("u:"), F.when(F.col("op") == "resolve", F.col("fresh"))), F.concat(F.lit("u:"), F.when((F.col("op") == "resolve") & (F.col("provider") == "google"), F.col("subject"))), F.concat(F.lit("w:"), F.when(F.col("op") != "unlink", way)))
+    edges = settled(commands.select("seq", F.explode(F.array_distinct(F.array_compact(names))).alias("name")), "edges")
+    groups = settled(commands.select("seq", F.col("seq").alias("grp")), "groups")
+    for _ in range(rounds):
+        keys = edges.join(groups, "seq").groupBy("name").agg(F.min("grp").alias("low"))
+        lower = edges.join(keys, "name").groupBy("seq").agg(F.min("low").alias("low"))
+        moved = settled(groups.join(lower, "seq", "left").select("seq", "grp", F.least("grp", F.coalesce("low", "grp")).alias("low")), "groups")
+        # Groups themselves move on: a group whose first command has joined a lower one follows it.
+        heads = moved.select(F.col("seq").alias("low"), F.col("low").alias("next"))
+        groups = settled(moved.join(heads, "low", "left").select("seq", "grp", F.least("low", F.coalesce("next", "low")).alias("low")), "groups")
+        done = groups.where("low <> grp").isEmpty()
+        groups = groups.select("seq", F.col("low").alias("grp"))
+        if done:
+            return groups
+    raise RuntimeError("command groups did not settle")
+
+
+def linked_accounts(commands: DataFrame) -> DataFrame:
+    """Commands (seq, op, uid, provider, subject, fresh) in order of seq, each with its code and account.
+
+    Two commands that share no account and no way to sign in, at any remove, cannot affect each other: commands
+    are dealt by connected groups and replayed inside them, holding the accounts of one group at a time.
+    """
+    clean = commands.select("seq", *[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("op", "uid", "fresh")], F.lower(F.trim(F.coalesce("provider", F.lit("")))).alias("provider"), F.trim(F.coalesce("subject", F.lit(""))).alias("subject"))
+    clean = settled(clean.withColumn("subject", F.when(F.col("provider") == "email", F.lower("subject")).otherwise(F.col("subject"))), "commands")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, users, owners = None, {}, {}
+        for pdf in batches:
+            out = []
+            for seq, grp, *rest in zip(*[pdf[c] for c in ("seq", "grp", "op", "uid", "provider", "subject", "fresh")]):
+                if grp != group:
+                    group, users, owners = grp, {}, {}
+                out.append((seq, *account_step(users, owners, *rest)))
+            yield pd.DataFrame(out, columns=["seq", "code", "account"])
+
+    return clean.join(command_groups(clean), "seq").repartition("grp").sortWithinPartitions("grp", "seq").mapInPandas(run, OUTCOME)
+
+
 def access_status(raw: Column) -> Column:
     low = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
     return F.when(low.isin(*ACCESS), low).otherwise("none")

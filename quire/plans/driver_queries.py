@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import chunk_plans, debone, figures, usage
+from quire.operators import accounts, chunk_plans, debone, figures, library, usage
 from quire.plans.carriers import table
 from quire.plans.catalog_queries import _view
 from quire.sources.scratch import settled
@@ -165,3 +165,83 @@ def figure_rows(spark, d):
     tables = pages.where("page % 2 = 0").select("page", F.lit(0).alias("image_no"), F.lit(10.0).alias("x0"), F.lit(620.0).alias("y0"), F.lit(190.0).alias("x1"), F.lit(690.0).alias("y1"))
     rows = figures.figure_rows(captions, images, tables, images.where("(page + image_no) % 3 = 0"), pages, ["page"])
     return rows.select("page", "n", "kind", "caption_no", "caption_key", "image_no", *[F.col("clip")[b].alias("clip_" + b) for b in ("x0", "y0", "x1", "y1")])
+
+
+_commands = """SELECT event_id AS seq, CASE CAST(floor(event_id / 7) AS INT) % 4 WHEN 2 THEN 'link' WHEN 3 THEN 'unlink' ELSE 'resolve' END AS op, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'g' || (user_id % 20) || 'u' || (event_id % 5) END AS uid,
+ CASE event_id % 4 WHEN 0 THEN 'google' WHEN 1 THEN 'kakao' WHEN 2 THEN 'Email' ELSE CASE WHEN event_id % 3 = 0 THEN 'other' ELSE 'kakao' END END AS provider, 'G' || (user_id % 20) || 's' || (CAST(floor(event_id / 3) AS INT) % 6) AS subject, 'f' || event_id AS fresh FROM {events}"""
+
+
+@query(f"""
+WITH RECURSIVE k AS (SELECT seq, op, uid, lower(provider) AS p, CASE WHEN provider = 'Email' THEN lower(subject) ELSE subject END AS s, fresh, lower(split_part(subject, 's', 1)) AS g FROM ({_commands.replace('{events}', 'events')})),
+c AS (SELECT *, p || ':' || s AS k, row_number() OVER (PARTITION BY g ORDER BY seq) AS i FROM k),
+w AS (
+  SELECT DISTINCT g, 0::bigint AS i, 0::bigint AS seq, '' AS code, ''::varchar AS account, []::struct(u varchar, p varchar, s varchar)[] AS users, []::struct(k varchar, u varchar)[] AS owners FROM c
+  UNION ALL
+  SELECT g, i, seq, code, account,
+    CASE WHEN code = 'created' OR (code = 'ok' AND op = 'link') THEN list_append(list_filter(users, lambda x: x.u <> account OR x.p <> p), {{'u': account, 'p': p, 's': s}}) WHEN code = 'ok' AND op = 'unlink' THEN list_filter(users, lambda x: x.u <> uid OR x.p <> p) ELSE users END,
+    CASE WHEN code = 'created' OR (code = 'ok' AND op = 'link') THEN list_append(list_filter(owners, lambda x: x.k <> k), {{'k': k, 'u': account}}) WHEN code = 'ok' AND op = 'unlink' THEN list_filter(owners, lambda x: x.k <> p || ':' || had OR x.u <> uid) ELSE owners END
+  FROM (SELECT *, CASE WHEN bad THEN 'invalid' WHEN op = 'resolve' THEN CASE WHEN owner IS NOT NULL THEN 'ok' ELSE 'created' END WHEN NOT here THEN 'user_missing' WHEN op = 'link' THEN CASE WHEN coalesce(owner, uid) <> uid THEN 'conflict' ELSE 'ok' END
+      WHEN had IS NULL THEN 'not_linked' WHEN ways <= 1 THEN 'last_provider' ELSE 'ok' END AS code,
+      CASE WHEN bad THEN NULL WHEN op = 'resolve' THEN CASE WHEN owner IS NOT NULL THEN owner WHEN len(list_filter(users, lambda x: x.u = wanted)) > 0 THEN fresh ELSE wanted END WHEN NOT here THEN NULL WHEN op = 'link' THEN CASE WHEN coalesce(owner, uid) = uid THEN uid END
+      WHEN had IS NOT NULL AND ways > 1 THEN uid END AS account FROM (
+    SELECT c.*, w.users, w.owners, c.p = 'other' OR (op <> 'resolve' AND uid = '') AS bad, CASE WHEN uid <> '' THEN uid WHEN c.p = 'google' THEN c.s ELSE fresh END AS wanted, list_filter(w.owners, lambda x: x.k = c.k)[1].u AS owner,
+      len(list_filter(w.users, lambda x: x.u = c.uid)) > 0 AS here, len(list_filter(w.users, lambda x: x.u = c.uid)) AS ways, list_filter(w.users, lambda x: x.u = c.uid AND x.p = c.p)[1].s AS had
+    FROM w JOIN c ON c.g = w.g AND c.i = w.i + 1))
+)
+SELECT seq, code, account FROM w WHERE i > 0""")
+def linked_accounts(spark, d):
+    """Accounts of twenty groups that the operator has to find by itself."""
+    return accounts.linked_accounts(_view(spark, d, _commands, "events"))
+
+
+_tokens = "SELECT c_custkey AS n, CASE WHEN c_custkey % 5 = 0 THEN 'no address' ELSE lower(c_name) || '@x.org' END AS address, 100 + c_custkey % 50 AS exp, c_custkey % 7 = 0 AS used FROM {customer}"
+_tries = "SELECT o_orderkey AS tie, o_orderkey % 160 AS at, CASE o_orderkey % 11 WHEN 0 THEN '  ' WHEN 1 THEN 'unknown' WHEN 2 THEN repeat('x', 201) ELSE 'tok-' || o_custkey END AS token FROM {orders}"
+
+
+@query(f"""
+WITH t AS ({_tokens.replace('{customer}', 'customer').replace("lower(c_name) || '@x.org'", "replace(lower(c_name), '#', '.') || '@x.org'")}), a AS ({_tries.replace('{orders}', 'orders').replace('AS at', 'AS "at"')}),
+j AS (SELECT a.*, t.n, t.address, t.exp, t.used, NOT t.used AND (t.exp < a."at" OR t.n % 5 <> 0) AS spends FROM a LEFT JOIN t ON a.token = 'tok-' || t.n),
+s AS (SELECT *, coalesce(bool_or(spends) OVER (PARTITION BY token ORDER BY "at", tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS spent FROM j)
+SELECT token, "at", tie, CASE WHEN n IS NULL THEN 'bad_token' WHEN used OR spent THEN 'used' WHEN exp < "at" THEN 'expired' WHEN n % 5 = 0 THEN 'bad_token' ELSE 'ok' END AS code,
+ CASE WHEN n IS NOT NULL AND NOT used AND NOT spent AND exp >= "at" AND n % 5 <> 0 THEN address END AS email FROM s""")
+def token_redeems(spark, d):
+    tokens = _view(spark, d, _tokens, "customer").select(F.sha2(F.concat(F.lit("tok-"), F.col("n").cast("string")).cast("binary"), 256).alias("hash"), F.replace("address", F.lit("#"), F.lit(".")).alias("email"), "exp", "used")
+    return accounts.redeem_tokens(_view(spark, d, _tries, "orders"), tokens)
+
+
+_shelf = "SELECT CASE WHEN p_partkey % 9 = 0 THEN 'short' ELSE 'A long title of paper number ' || (p_partkey % 120) END AS title, CASE p_partkey % 3 WHEN 0 THEN 'PDF' WHEN 1 THEN 'docx' ELSE 'odd' END AS source, p_partkey % 4 AS sentences, p_partkey AS figures FROM {part}"
+_stock = "SELECT 'id' || s_suppkey AS id, s_suppkey AS pos, 'A long title of paper number ' || (s_suppkey % 150) AS title, 'a long title of paper number ' || (s_suppkey % 150) AS title_key, CASE WHEN s_suppkey % 2 = 0 THEN 'pdf' ELSE 'docx' END AS source, '2020-' || s_suppkey AS created_at, '2020' AS updated_at FROM {supplier}"
+
+
+@query(f"""
+WITH x AS ({_stock.replace('{supplier}', 'supplier')}), s AS (SELECT title, lower(title) AS title_key, CASE source WHEN 'docx' THEN 'docx' ELSE 'pdf' END AS source, sentences, figures FROM ({_shelf.replace('{part}', 'part')}) WHERE title <> 'short' AND sentences > 0),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY title_key, source ORDER BY sentences DESC, figures) = 1), k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY title_key, source ORDER BY pos) = 1),
+e AS (SELECT coalesce(k.id, substr(sha256(b.title_key || '|' || b.source || '|b7'), 1, 12)) AS id, b.title_key, b.source, coalesce(k.created_at, '2024') AS created_at, '2024' AS updated_at, b.sentences FROM b LEFT JOIN k USING (title_key, source)),
+n AS (SELECT id, title_key, source, created_at, updated_at, sentences, -row_number() OVER (ORDER BY id) AS pos FROM e UNION ALL SELECT id, title_key, source, created_at, updated_at, NULL, pos FROM x WHERE id NOT IN (SELECT id FROM e) AND (title_key, source) NOT IN (SELECT (title_key, source) FROM e))
+SELECT id, title_key, source, created_at, updated_at, sentences FROM n ORDER BY created_at DESC, pos DESC LIMIT 200""")
+def session_saves(spark, d):
+    index = _view(spark, d, _stock, "supplier").withColumns({"sentences": F.lit(None).cast("long"), "figures": F.lit(None).cast("long"), "content_hash": F.lit(None).cast("string")})
+    entries = library.session_entries(_view(spark, d, _shelf, "part").withColumn("content_hash", F.lit("none")), index, "b7", F.lit("2024"))
+    return library.index_after(index, entries, 200).select("id", "title_key", "source", "created_at", "updated_at", "sentences")
+
+
+_files = "SELECT CAST(p AS STRING) AS id, CASE k WHEN 0 THEN 'session.json' WHEN 1 THEN 'source.pdf' WHEN 2 THEN 'figures/f1.png' WHEN 3 THEN 'figures/f2.png' WHEN 4 THEN '../evil' ELSE 'figures/..x' END AS name, k, p FROM {files}"
+_both = {"l": ("(p + k) % 7 <> 0", "'d' || (p % 3)", "CASE WHEN k = 0 AND p % 13 = 0 THEN 6000000 WHEN k = 3 AND p % 5 = 0 THEN 9000000 ELSE 10 + k END"), "r": ("(p * 3 + k) % 5 <> 0", "CASE WHEN k % 2 = 0 THEN 'd' || (p % 3) ELSE 'e' || p END", "CASE WHEN k = 1 AND p % 6 = 0 THEN 0 ELSE 20 + k END")}
+_side = lambda s: f"SELECT id, name, {_both[s][1]} AS digest, {_both[s][2]} AS bytes FROM f WHERE {_both[s][0]}"
+
+
+@query(f"""
+WITH f AS ({_files.replace('STRING', 'VARCHAR').replace('{files}', '(SELECT p_partkey AS p, unnest([0, 1, 2, 3, 4, 5]) AS k FROM part)')}), a AS ({_side('l')}), b AS ({_side('r')}),
+l AS (SELECT *, name NOT LIKE '%..%' AND bytes BETWEEN 1 AND CASE name WHEN 'session.json' THEN 5000000 WHEN 'source.pdf' THEN 80000000 ELSE 8000000 END AS fit FROM a), r AS (SELECT *, name NOT LIKE '%..%' AND bytes BETWEEN 1 AND CASE name WHEN 'session.json' THEN 5000000 WHEN 'source.pdf' THEN 80000000 ELSE 8000000 END AS fit FROM b),
+h AS (SELECT id, (SELECT count(*) FROM l WHERE l.id = p.id AND name = 'session.json' AND fit) AS hl, (SELECT count(*) FROM r WHERE r.id = p.id AND name = 'session.json' AND fit) AS hr FROM (SELECT p_partkey::varchar AS id FROM part) p),
+w AS (SELECT id, CASE WHEN hl > 0 AND (hr = 0 OR id::bigint % 4 >= 2) THEN 'up' ELSE 'down' END AS direction FROM h WHERE hl + hr > 0),
+j AS (SELECT w.id, w.direction, f.name, CASE direction WHEN 'up' THEN l.digest ELSE r.digest END AS g, CASE direction WHEN 'up' THEN coalesce(l.fit, false) ELSE coalesce(r.fit, false) END AS fit, CASE direction WHEN 'up' THEN r.digest ELSE l.digest END AS h
+ FROM w JOIN f USING (id) LEFT JOIN l ON l.id = w.id AND l.name = f.name LEFT JOIN r ON r.id = w.id AND r.name = f.name)
+SELECT id, name, direction, CASE WHEN fit AND h IS NULL THEN 'copy' WHEN fit AND g <> h THEN 'replace' WHEN fit THEN 'keep' ELSE 'delete' END AS action, CASE WHEN fit THEN g END AS digest FROM j WHERE fit OR h IS NOT NULL""")
+def bundle_sync(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("p"))
+    parts.withColumn("k", F.explode(F.array(*map(F.lit, range(6))))).createOrReplaceTempView("bundle_files")
+    spark.sql(_files.replace("{files}", "bundle_files")).createOrReplaceTempView("f")
+    index = lambda e: parts.select(F.col("p").cast("string").alias("id"), F.expr(e).alias("updated_at"))
+    local, remote = spark.sql(_side("l")), spark.sql(_side("r"))
+    return library.sync_plan(local, remote, index("CAST(2020 + p % 4 AS STRING)"), index("'2022'"))
