@@ -1,8 +1,8 @@
 """Token ids of whole texts under the word-end BPE vocabulary, with a bounded memo per worker.
 
 The vocabulary drops white space and splits the rest into pieces that are encoded apart from each other,
-so what stands between white space (a chunk) has ids of its own, looked up once and joined. A new chunk is
-split into its pieces, and only new pieces are encoded. Texts outside ASCII and the accented Latin-1 letters, and texts that may hold a special token, go through the tokenizer
+so what stands between white space (a chunk) has ids of its own, looked up once and joined. Texts outside
+ASCII and the accented Latin-1 letters, and texts that may hold a special token, go through the tokenizer
 itself, so results equal its own for any text.
 """
 
@@ -18,12 +18,11 @@ import numpy as np
 
 #: Lower-casing and white space are the same here and in the tokenizer; normalisation changes nothing.
 PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
-#: How the vocabulary splits a lower-cased chunk of such a text.
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
-#: Chunks and pieces that the memos may hold, about 0.2 KB each; half of one goes when it is full, which costs time
-#: but no correctness. An executor may keep more workers than it has tasks, each with memos of its own.
-MEMO_CHUNKS, MEMO_PIECES = 300_000, 150_000
-#: Longer chunks and pieces are forgotten after the texts they stand in.
+#: Chunks that have recurred and chunks seen in one batch of texts so far, about 0.2 KB each, that the memo may
+#: hold: the common ones stay while the many rare ones pass through. An executor may keep more workers than it has
+#: tasks, each with a memo of its own.
+MEMO_RECURRED, MEMO_FRESH = 250_000, 200_000
+#: Longer chunks are forgotten after the texts they stand in.
 LONG_CHUNK = 100
 
 
@@ -41,43 +40,24 @@ class WordEncoder:
         self.bare.normalizer = normalizers.Sequence([])  # chunks are lower-cased already
         self.batch = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
         self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.fresh: set[str] = set()  # chunks of the memo that one batch of texts has held so far
 
     def slow(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, pieces: list[str]) -> None:
-        """Add the ids of pieces; collections are put off while short-lived lists are made."""
+    def learn(self, chunks: list[str]) -> None:
+        """Add the ids of chunks; collections are put off while short-lived lists are made."""
         collecting = gc.isenabled()
         gc.disable()
         try:
-            for at in range(0, len(pieces), 4096):
-                some = pieces[at : at + 4096]
-                self.pieces.update(zip(some, [array("I", e.ids).tobytes() for e in self.batch(some, add_special_tokens=False)], strict=True))
+            for at in range(0, len(chunks), 4096):
+                some = chunks[at : at + 4096]
+                self.memo.update(zip(some, [array("I", e.ids).tobytes() for e in self.batch(some, add_special_tokens=False)], strict=True))
         finally:
             if collecting:
                 gc.enable()
 
-    def learn(self, chunks: list[str]) -> None:
-        """Add the ids of chunks, joined from those of their pieces."""
-        split = [PIECE.findall(c) for c in chunks]
-        known = self.pieces
-        new = list(set().union(*split).difference(known))
-        self.encode(new)
-        self.memo.update(zip(chunks, [b"".join([known[p] for p in some]) for some in split], strict=True))
-        self.forget(known, new)
-
-    @staticmethod
-    def forget(held: dict[str, bytes], new: list[str]) -> None:
-        for x in new:
-            if len(x) > LONG_CHUNK:
-                del held[x]
-
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
-        for held, most in ((self.memo, MEMO_CHUNKS), (self.pieces, MEMO_PIECES)):
-            if len(held) > most:
-                for old in list(islice(held, most // 2)):
-                    del held[old]
         out: list[bytes] = [b""] * len(texts)
         chunks = {}
         for k, text in enumerate(texts):
@@ -87,14 +67,31 @@ class WordEncoder:
                 out[k] = self.slow(text)
             else:
                 chunks[k] = text.lower().split()
-        memo = self.memo
-        new = list(set().union(*chunks.values()).difference(memo))
+        memo, here = self.memo, set().union(*chunks.values())
+        self.fresh -= here
+        new = list(here.difference(memo))
         self.learn(new)
         for k, some in chunks.items():
             out[k] = b"".join([memo[c] for c in some])
-        self.forget(memo, new)
+        for c in new:
+            if len(c) > LONG_CHUNK:
+                del memo[c]
+            else:
+                self.fresh.add(c)
+        self.bound()
         return out
 
+    def bound(self) -> None:
+        """Fresh chunks go all at once; of those that recurred the later half, as the common ones come first."""
+        if len(self.fresh) > MEMO_FRESH:
+            for c in self.fresh:
+                del self.memo[c]
+            self.fresh = set()
+        if len(self.memo) - len(self.fresh) > MEMO_RECURRED:
+            kept = [c for c in self.memo if c not in self.fresh]
+            for c in kept[len(kept) // 2 :]:
+                del self.memo[c]
+
 
 _encoders: dict[str, WordEncoder] = {}
 

@@ -95,14 +95,17 @@ def test_simhash(spark, texts):
     assert got == {i: (f"{p:016x}", find(i)) for i, p in prints.items()}
 
 
-def test_ids_of_awkward_chunks():
+def test_ids_of_awkward_chunks(monkeypatch):
     from quire.llm import word_ids
 
     tok, rng = tokenizer("word_bpe_49k.json"), random.Random(3)
     some = ["".join(rng.choice("ab'sStTdDrReEvVmMlL09,.-!?\"\n\t \x0b\x00\x1b~`Éßÿ÷×àÖé日<|>") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     some += ["x" * 5000 + " 'll" * 3, "1234567890" * 40, None, "<|endoftext|> a"]
     encode = word_ids.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    for _ in range(2):
-        for text, ids in zip(some, encode.ids_of(some), strict=True):
+    monkeypatch.setattr(word_ids, "MEMO_RECURRED", 40)
+    monkeypatch.setattr(word_ids, "MEMO_FRESH", 60)
+    for at in [*range(0, len(some), 50)] * 2:
+        part = some[at : at + 50]
+        for text, ids in zip(part, encode.ids_of(part), strict=True):
             assert ids == np.array(tok.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
-    assert all(len(x) <= word_ids.LONG_CHUNK for held in (encode.memo, encode.pieces) for x in held)
+        assert len(encode.memo) <= 100 and encode.fresh <= encode.memo.keys() and all(len(x) <= word_ids.LONG_CHUNK for x in encode.memo)
