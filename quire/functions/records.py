@@ -63,14 +63,17 @@ def vision_pages(bad: Column, pages: Column, most: int = 40) -> Column:
     return F.slice(F.array_distinct(F.concat(F.array_intersect(bad, every), every)), 1, most)
 
 
-SURVEY = "struct<title_guess:string,section_order:array<string>,section_notes:string,formulas:array<struct<raw:string,rich:string>>>"
+SURVEY = "struct<title_guess:string,section_order:array<string>,section_notes:string,formulas:array<struct<raw:string,rich:string>>,symbols:array<struct<raw:string,rich:string,note:string>>>"
 
 
 def survey_answer(payload: Column) -> Column:
-    """(title_guess, section_order, section_notes, formulas) of a survey's JSON, within their bounds."""
+    """(title_guess, section_order, section_notes, formulas, symbols) of a survey's JSON, within their bounds."""
     r = F.from_json(json_object(payload), SURVEY)
     cut = lambda c, n: F.substring(strip(F.coalesce(c, F.lit(""))), 1, n)
     names = F.transform(F.coalesce(r["section_order"], F.array().cast("array<string>")), lambda x: F.lower(strip(x)))
     formulas = F.slice(F.coalesce(r["formulas"], F.array().cast("array<struct<raw:string,rich:string>>")), 1, 40)
     kept = F.filter(F.transform(formulas, lambda f: F.struct(cut(f["raw"], 200).alias("raw"), cut(f["rich"], 400).alias("rich"))), lambda f: (f["raw"] != "") & (f["rich"] != ""))
-    return F.struct(cut(r["title_guess"], 500).alias("title_guess"), F.slice(F.filter(names, lambda x: x != ""), 1, 20).alias("section_order"), cut(r["section_notes"], 2000).alias("section_notes"), kept.alias("formulas"))
+    none = F.array().cast("array<struct<raw:string,rich:string,note:string>>")
+    symbols = F.transform(F.slice(F.coalesce(r["symbols"], none), 1, 40), lambda s: F.struct(cut(s["raw"], 120).alias("raw"), cut(s["rich"], 200).alias("rich"), F.nullif(cut(s["note"], 120), F.lit("")).alias("note")))
+    symbols = F.filter(symbols, lambda s: (s["raw"] != "") & (s["rich"] != ""))
+    return F.struct(cut(r["title_guess"], 500).alias("title_guess"), F.slice(F.filter(names, lambda x: x != ""), 1, 20).alias("section_order"), cut(r["section_notes"], 2000).alias("section_notes"), kept.alias("formulas"), symbols.alias("symbols"))

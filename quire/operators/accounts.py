@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import email, redact_secrets
+from quire.functions.text import email, invite_hash, redact_secrets
+from quire.operators.jobs import invite_expired
 from quire.sources.scratch import settled
 
 # Access states; limits of error reports and stores.
@@ -226,8 +227,31 @@ def pending(accounts: DataFrame) -> DataFrame:
 
 def open_invites(invites: DataFrame, now: Column, ttl: int) -> DataFrame:
     """Open invites, expired ones left out as they are read."""
-    until = F.coalesce("expires_at", F.col("created_at") + ttl)
-    return invites.where((F.col("status") == "open") & (now <= until)).select("hash", "created_at", until.alias("expires_at"))
+    live = ~invite_expired(F.col("expires_at"), F.col("created_at"), now, ttl)
+    return invites.where((F.col("status") == "open") & live).select("hash", "created_at", F.coalesce("expires_at", F.col("created_at") + ttl).alias("expires_at"))
+
+
+INVITE = "hash string, status string, created_at long, expires_at long, created_by string, note string"
+
+
+def mint_invites(store: DataFrame, requests: DataFrame, ttl: int, keep: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """The store of invites with new ones behind the old, its last `keep`, and the codes of the requests.
+
+    requests: (code, at, admin_uid, admin_email, note), the code drawn outside. Only its digest is stored. A blank
+    code is mint_failed; one whose digest is in the store, or was asked for before, is mint_collision.
+    """
+    by = F.coalesce(F.nullif(F.trim(F.coalesce("admin_uid", F.lit(""))), F.lit("")), F.substring(F.coalesce("admin_email", F.lit("")), 1, 120))
+    asked = requests.select("code", "at", invite_hash(F.col("code")).alias("hash"), by.alias("created_by"), F.substring(F.coalesce("note", F.lit("")), 1, 200).alias("note"))
+    # A blank code's requests are told apart, so that they do not meet in one task.
+    turn = F.row_number().over(Window.partitionBy(F.when(F.col("hash") == "", F.concat_ws("-", "at", "created_by", "note")).otherwise(F.col("hash"))).orderBy("at", "created_by", "note"))
+    known = store.select("hash", F.lit(True).alias("there")).distinct()
+    coded = asked.withColumn("turn", turn).join(known, "hash", "left")
+    coded = coded.withColumn("outcome", F.when(F.col("hash") == "", "mint_failed").when(F.col("there") | (F.col("turn") > 1), "mint_collision").otherwise("ok"))
+    until = F.when(F.lit(ttl) > 0, F.col("at") + ttl)
+    new = coded.where("outcome = 'ok'").select("hash", F.lit("open").alias("status"), F.col("at").alias("created_at"), until.alias("expires_at"), "created_by", "note")
+    both = store.select("hash", "status", "created_at", "expires_at", "created_by", "note", F.lit(0).alias("late")).unionByName(new.withColumn("late", F.lit(1)))
+    kept = both.orderBy(F.desc("late"), F.desc("created_at"), F.desc("hash")).limit(keep).drop("late")
+    return kept, coded.select("code", "at", "outcome")
 
 
 def progress_row(progress: DataFrame, wanted: DataFrame, doc: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import title_key
 from quire.operators.catalog import LEAST_KEY, LIBRARY_CAP, evict_oldest, upsert
+from quire.sources.readers import data_url
 
 # Kinds of sources, and the sizes of files that a bundle may hold.
 SOURCES = ("pdf", "docx")
@@ -74,7 +75,7 @@ def save_sessions(root: str, batch: str, seq: int, sessions: DataFrame, now: str
     entries = session_entries(counted, index, batch, F.lit(now))
     bodies = counted.select(title_key(F.col("title")).alias("title_key"), F.when(F.lower("source").isin(*SOURCES), F.lower("source")).otherwise("pdf").alias("source"), F.trim("title").alias("title"), F.col("sentences").cast("long").alias("sentences"), "body")
     chosen = bodies.join(entries.select("id", "title_key", "source", "title", "sentences"), ["title_key", "source", "title", "sentences"]).dropDuplicates(["id"])
-    chosen.select("id", F.posexplode("body").alias("ord", "s")).select("id", "ord", "s.*").write.mode("overwrite").parquet(f"{version}/sentences")
+    chosen.select(F.col("id").alias("paper_id"), F.posexplode("body").alias("ord", "s")).select("paper_id", "ord", "s.*").write.mode("overwrite").parquet(f"{version}/sentences")
     index_after(index, entries, keep).select([c.split()[0] for c in INDEX.split(", ")]).write.mode("overwrite").parquet(f"{version}/index")
     spark.createDataFrame([(seq, batch)], "seq long, batch string").coalesce(1).write.mode("overwrite").parquet(pointer)
     return True
@@ -85,6 +86,23 @@ def safe_name(name: Column) -> Column:
     return F.coalesce(name.rlike(r"^(session\.json|source\.(pdf|docx)|figures/[A-Za-z0-9_][A-Za-z0-9_.\-]*)$") & ~F.contains(name, F.lit("..")), F.lit(False))
 
 
+def figure_image(figures: DataFrame, images: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cache_id, figure_id, image): one data URL a request, null where the ids are none, the figure is unknown or has no image.
+
+    figures: (cache_id, figure_id, file); images: (cache_id, file, content, mime). Only files named figures/... inside
+    the paper's own folder are given out.
+    """
+    ids = F.coalesce(F.trim("cache_id").rlike("^[a-zA-Z0-9]{8,32}$") & F.trim("figure_id").rlike(r"^[A-Za-z0-9._\-]{1,64}$"), F.lit(False))
+    asked = wanted.select("cache_id", "figure_id", F.when(ids, F.trim("cache_id")).alias("c"), F.when(ids, F.trim("figure_id")).alias("f")).distinct()
+    path = F.replace(F.coalesce("file", F.lit("")), F.lit("\\"), F.lit("/"))
+    confined = F.startswith(path, F.lit("figures/")) & ~F.array_contains(F.split(path, "/"), "..")
+    # The first file of an id counts, confined or not.
+    first = figures.groupBy(F.col("cache_id").alias("c"), F.col("figure_id").alias("f")).agg(F.min_by(F.when(confined, path), F.coalesce("file", F.lit(""))).alias("path"))
+    held = images.groupBy(F.col("cache_id").alias("c"), F.col("file").alias("path")).agg(F.first(F.struct("content", "mime")).alias("i"))
+    found = asked.join(first, ["c", "f"], "left").join(held, ["c", "path"], "left")
+    return found.select("cache_id", "figure_id", F.when(F.col("i").isNotNull(), data_url(F.col("i.content"), F.col("i.mime"))).alias("image"))
+
+
 def _room(name: Column) -> Column:
     return F.when(name == "session.json", MOST_BYTES["session"]).when(F.startswith(name, F.lit("figures/")), MOST_BYTES["figure"]).otherwise(MOST_BYTES["source"])
 
@@ -93,8 +111,9 @@ def sync_plan(local: DataFrame, remote: DataFrame, local_index: DataFrame, remot
     """(id, name, direction, action, digest) that brings the bundles of two stores in line.
 
     Listings are (id, name, digest, bytes), indexes (id, updated_at). A bundle goes from the store with the newer
-    update time to the other, up at ties; a store without the bundle's session gives none. Only plain names within their sizes
-    are copied, replaced where the digest differs, or kept; what the giving store lacks or may not give is deleted.
+    update time to the other; of two that both have its session with one time, it is in line. A store without the
+    session gives none. Only plain names within their sizes are copied, replaced where the digest differs or the other copy does not fit, or kept;
+    what the giving store lacks or may not give is deleted.
     """
     fit = lambda df: safe_name(F.col("name")) & F.col("bytes").between(1, _room(F.col("name")))
     side = lambda df, p: df.where("id IS NOT NULL AND name IS NOT NULL").groupBy("id", "name").agg(F.max(F.struct("digest", fit(df).alias("fit"))).alias(p))
@@ -102,13 +121,13 @@ def sync_plan(local: DataFrame, remote: DataFrame, local_index: DataFrame, remot
     has = lambda df, p: df.where((F.col("name") == "session.json") & F.col(f"{p}.fit")).select("id", F.lit(True).alias(f"has_{p}"))
     stamp = lambda df, p: df.groupBy("id").agg(F.max("updated_at").alias(f"at_{p}"))
     bundles = has(a, "l").join(has(b, "r"), "id", "full_outer").join(stamp(local_index, "l"), "id", "left").join(stamp(remote_index, "r"), "id", "left")
-    newer = F.coalesce("at_l", F.lit("")) >= F.coalesce("at_r", F.lit(""))
-    up = F.col("has_l").isNotNull() & (F.col("has_r").isNull() | newer)
-    files = a.join(b, ["id", "name"], "full_outer").join(bundles.select("id", F.when(up, "up").otherwise("down").alias("direction")), "id")
+    l, r = F.coalesce("at_l", F.lit("")), F.coalesce("at_r", F.lit(""))
+    direction = F.when(F.col("has_r").isNull() | (F.col("has_l").isNotNull() & (l > r)), "up").when(F.col("has_l").isNull() | (r > l), "down")
+    files = a.join(b, ["id", "name"], "full_outer").join(bundles.select("id", direction.alias("direction")).where("direction IS NOT NULL"), "id")
     give, have = F.when(F.col("direction") == "up", F.col("l")).otherwise(F.col("r")), F.when(F.col("direction") == "up", F.col("r")).otherwise(F.col("l"))
     files = files.withColumn("give", give).withColumn("have", have)
     given = F.coalesce(F.col("give.fit"), F.lit(False))
-    action = F.when(given & F.col("have").isNull(), "copy").when(given & ~F.col("give.digest").eqNullSafe(F.col("have.digest")), "replace").when(given, "keep").when(F.col("have").isNotNull(), "delete")
+    action = F.when(given & F.col("have").isNull(), "copy").when(given & (~F.col("give.digest").eqNullSafe(F.col("have.digest")) | ~F.col("have.fit")), "replace").when(given, "keep").when(F.col("have").isNotNull(), "delete")
     return files.select("id", "name", "direction", action.alias("action"), F.when(given, F.col("give.digest")).alias("digest")).where("action IS NOT NULL")
 
 
@@ -118,3 +137,9 @@ def listing_after(listing: DataFrame, plan: DataFrame, other: DataFrame, directi
     gone = towards.where("action IN ('replace', 'delete', 'copy')").select("id", "name")
     new = towards.where("action IN ('copy', 'replace')").select("id", "name").join(other, ["id", "name"])
     return listing.join(gone, ["id", "name"], "left_anti").unionByName(new.select(listing.columns))
+
+
+def stamps_after(plan: DataFrame, index: DataFrame, other: DataFrame, direction: str) -> DataFrame:
+    """Update times of a store once the plan is done: bundles it was given take the giver's."""
+    given = plan.where(F.col("direction") == direction).select("id").distinct()
+    return index.join(given, "id", "left_anti").select("id", "updated_at").unionByName(other.join(given, "id").select("id", "updated_at"))

@@ -32,10 +32,15 @@ def bibliography(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def normalize_references(rows: DataFrame, id_col: str, pos: str, shortest: int = 3, most: int = MOST, largest: int = 9999) -> DataFrame:
-    """Rows (id, pos, n, text) with valid numbers and texts; first of each number; DOI read from the text."""
-    valid = rows.where(F.col("n").between(1, largest) & (F.length("text") >= shortest))
+    """Rows (id, pos, n, text) with valid numbers and texts; first of each number.
+
+    A DOI that is stored (a column `doi`) counts; where there is none it is read from the text.
+    """
+    stored = F.nullif(F.coalesce("doi", F.lit("")), F.lit("")) if "doi" in rows.columns else F.lit(None).cast("string")
+    named = rows.withColumns({"n": F.col("n").try_cast("long"), "text": F.trim("text"), "doi": stored})
+    valid = named.where(F.col("n").between(1, largest) & (F.length("text") >= shortest))
     first = valid.withColumn("_k", F.row_number().over(Window.partitionBy(id_col, "n").orderBy(pos))).where(F.col("_k") == 1)
-    return first.select(id_col, "n", F.substring("text", 1, most).alias("text"), doi(F.col("text")).alias("doi"))
+    return first.select(id_col, "n", F.substring("text", 1, most).alias("text"), F.coalesce("doi", doi(F.col("text"))).alias("doi"))
 
 
 def cite_hints(sentences: DataFrame, references: DataFrame, id_col: str, keys: list[str], text: str = "text") -> DataFrame:

@@ -196,6 +196,13 @@ def within(store: Column, most: int = STORE_BYTES) -> Column:
     return F.when(F.octet_length(text) <= most, text)
 
 
+def read_store(raw: Column, schema: str, most: int = STORE_BYTES) -> Column:
+    """A store from its bytes, null where they are empty, more than allowed, or no JSON object."""
+    text = raw.cast("string")
+    whole = F.is_valid_utf8(text) & F.try_parse_json(text).isNotNull() & F.startswith(F.trim(text), F.lit("{"))
+    return F.when(F.octet_length(raw).between(1, most) & F.coalesce(whole, F.lit(False)), F.from_json(text, schema))
+
+
 def digest_map(raw: Column) -> Column:
     """Section digests with missing sides blank and blank entries gone."""
     whole = F.transform_values(raw, lambda _, v: F.struct(F.trim(F.coalesce(v["en"], F.lit(""))).alias("en"), F.trim(F.coalesce(v["ko"], F.lit(""))).alias("ko")))

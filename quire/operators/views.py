@@ -74,6 +74,8 @@ def model_usage(prompt: Column, answer: Column, tokens_in: Column, tokens_out: C
 
 def last_inserted(rows: DataFrame, by: list[str], order: list, keep: int) -> DataFrame:
     """The `keep` rows inserted last of each group: sessions of a registry, minted invites."""
+    if not by:  # a distributed top-k
+        return rows.orderBy(*[F.desc(c) for c in order]).limit(keep)
     newest = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= keep).drop("_k")
 
@@ -115,9 +117,9 @@ def seen_mark(marks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def attach_sources(entries: DataFrame, files: DataFrame, key: str = "id", most: int = SOURCE_BYTES) -> DataFrame:
-    """entries with has_source and source_file: a file of allowed size is taken where there was none."""
+    """entries with has_source and source_file: a file of allowed size is taken where there was none, a pdf before a docx."""
     name = lambda c: F.concat(F.lit("source."), F.when(F.lower(c).isin("pdf", "docx"), F.lower(c)).otherwise("pdf"))
-    fit = files.where((F.col("size") > 0) & (F.col("size") <= most)).select(key, name(F.col("kind")).alias("_f"))
+    fit = files.where((F.col("size") > 0) & (F.col("size") <= most)).groupBy(key).agg(F.max(name(F.col("kind"))).alias("_f"))
     joined = entries.join(fit, key, "left")
     return joined.withColumn("source_file", F.coalesce("source_file", "_f")).withColumn("has_source", F.col("source_file").isNotNull()).drop("_f")
 

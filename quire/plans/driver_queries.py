@@ -234,10 +234,10 @@ _side = lambda s: f"SELECT id, name, {_both[s][1]} AS digest, {_both[s][2]} AS b
 WITH f AS ({_files.replace('STRING', 'VARCHAR').replace('{files}', '(SELECT p_partkey AS p, unnest([0, 1, 2, 3, 4, 5]) AS k FROM part)')}), a AS ({_side('l')}), b AS ({_side('r')}),
 l AS (SELECT *, name NOT LIKE '%..%' AND bytes BETWEEN 1 AND CASE name WHEN 'session.json' THEN 5000000 WHEN 'source.pdf' THEN 80000000 ELSE 8000000 END AS fit FROM a), r AS (SELECT *, name NOT LIKE '%..%' AND bytes BETWEEN 1 AND CASE name WHEN 'session.json' THEN 5000000 WHEN 'source.pdf' THEN 80000000 ELSE 8000000 END AS fit FROM b),
 h AS (SELECT id, (SELECT count(*) FROM l WHERE l.id = p.id AND name = 'session.json' AND fit) AS hl, (SELECT count(*) FROM r WHERE r.id = p.id AND name = 'session.json' AND fit) AS hr FROM (SELECT p_partkey::varchar AS id FROM part) p),
-w AS (SELECT id, CASE WHEN hl > 0 AND (hr = 0 OR id::bigint % 4 >= 2) THEN 'up' ELSE 'down' END AS direction FROM h WHERE hl + hr > 0),
-j AS (SELECT w.id, w.direction, f.name, CASE direction WHEN 'up' THEN l.digest ELSE r.digest END AS g, CASE direction WHEN 'up' THEN coalesce(l.fit, false) ELSE coalesce(r.fit, false) END AS fit, CASE direction WHEN 'up' THEN r.digest ELSE l.digest END AS h
+w AS (SELECT * FROM (SELECT id, CASE WHEN hl > 0 AND (hr = 0 OR id::bigint % 4 = 3) THEN 'up' WHEN hr > 0 AND (hl = 0 OR id::bigint % 4 < 2) THEN 'down' END AS direction FROM h) WHERE direction IS NOT NULL),
+j AS (SELECT w.id, w.direction, f.name, CASE direction WHEN 'up' THEN l.digest ELSE r.digest END AS g, CASE direction WHEN 'up' THEN coalesce(l.fit, false) ELSE coalesce(r.fit, false) END AS fit, CASE direction WHEN 'up' THEN r.digest ELSE l.digest END AS h, CASE direction WHEN 'up' THEN r.fit ELSE l.fit END AS hfit
  FROM w JOIN f USING (id) LEFT JOIN l ON l.id = w.id AND l.name = f.name LEFT JOIN r ON r.id = w.id AND r.name = f.name)
-SELECT id, name, direction, CASE WHEN fit AND h IS NULL THEN 'copy' WHEN fit AND g <> h THEN 'replace' WHEN fit THEN 'keep' ELSE 'delete' END AS action, CASE WHEN fit THEN g END AS digest FROM j WHERE fit OR h IS NOT NULL""")
+SELECT id, name, direction, CASE WHEN fit AND h IS NULL THEN 'copy' WHEN fit AND (g <> h OR NOT hfit) THEN 'replace' WHEN fit THEN 'keep' ELSE 'delete' END AS action, CASE WHEN fit THEN g END AS digest FROM j WHERE fit OR h IS NOT NULL""")
 def bundle_sync(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("p"))
     parts.withColumn("k", F.explode(F.array(*map(F.lit, range(6))))).createOrReplaceTempView("bundle_files")

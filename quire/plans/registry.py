@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _families():
-    from quire.plans import account_queries, catalog_queries, driver_queries, ingest_queries, record_queries, session_queries, text_queries, usage_queries, view_queries
+    from quire.plans import account_queries, catalog_queries, driver_queries, ingest_queries, record_queries, session_queries, small_queries, text_queries, usage_queries, view_queries
 
-    return text_queries, catalog_queries, usage_queries, record_queries, account_queries, session_queries, ingest_queries, view_queries, driver_queries
+    return text_queries, catalog_queries, usage_queries, record_queries, account_queries, session_queries, ingest_queries, view_queries, driver_queries, small_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
