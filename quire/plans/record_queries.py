@@ -106,7 +106,15 @@ def survey_sample(spark, d):
     return table(spark, d, "documents").select("doc_id", enrich.head_and_tail(F.coalesce("text", F.lit(""))).alias("sample"))
 
 
-@query(None)
+@query(r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS rest, NULL::varchar AS piece, true AS more FROM documents
+  UNION ALL
+  SELECT doc_id, CASE WHEN cut IS NULL THEN '' ELSE substr(rest, cut + 1) END, CASE WHEN cut IS NULL THEN rest ELSE left(rest, cut) END, cut IS NOT NULL FROM (
+    SELECT doc_id, rest, CASE WHEN length(rest) <= 500 THEN NULL WHEN coalesce(at_, 0) <= 166 THEN 500 WHEN substr(rest, at_ + 1, 2) = chr(10) || chr(10) THEN at_ + 2 ELSE at_ + 1 END AS cut
+    FROM (SELECT *, list_max(list_filter(range(0, 499), lambda i: substr(rest, i + 1, 2) IN (chr(10) || chr(10), '. ', '? '))) AS at_ FROM w WHERE more))
+), p AS (SELECT doc_id, regexp_replace(piece, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS piece FROM w WHERE piece IS NOT NULL)
+SELECT doc_id, count(*) AS pieces, sum(length(piece))::bigint AS chars, max(length(piece))::bigint AS longest FROM p WHERE piece <> '' GROUP BY doc_id""")
 def text_chunks(spark, d):
     pieces = table(spark, d, "documents").select("doc_id", F.explode(enrich.chunk_text(F.col("text"), 500)).alias("piece"))
     return pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.length("piece")).cast("long").alias("chars"), F.max(F.length("piece")).cast("long").alias("longest"))
@@ -145,7 +153,22 @@ def panel_grids(spark, d):
 _boxes = "SELECT l_orderkey AS page, l_linenumber AS {no}, (l_partkey % 300) * 1.0D AS x0, (l_suppkey % 10) * 60.0D + {shift} AS y0, (l_partkey % 300) * 1.0D + 60 + l_quantity AS x1, (l_suppkey % 10) * 60.0D + {shift} + {tall} AS y1 FROM {{lineitem}} WHERE {where}"
 
 
-@query(None)
+_beside = "(least({a}x1, {b}x1) - greatest({a}x0, {b}x0) >= 0.12::double * greatest({b}x1 - {b}x0, 1.0) OR ({a}x0 + {a}x1) / 2 BETWEEN {b}x0 - 40 AND {b}x1 + 40)"
+
+
+@query(f"""
+WITH RECURSIVE c AS ({_boxes.format(no="caption_no", shift="50", tall="12", where="l_linenumber % 2 = 1").replace("{lineitem}", "lineitem").replace("0D", "0::double")}), i AS ({_boxes.format(no="image_no", shift="0", tall="45", where="l_linenumber % 2 = 0").replace("{lineitem}", "lineitem").replace("0D", "0::double")}),
+m AS (SELECT c.page, c.caption_no, i.image_no, i.x0, i.y0, i.x1, i.y1, CASE WHEN c.y0 - i.y1 BETWEEN 0 AND 150 THEN 0 WHEN i.y0 - c.y1 BETWEEN 0 AND 120 THEN 1 END AS mode, CASE WHEN c.y0 - i.y1 BETWEEN 0 AND 150 THEN c.y0 - i.y1 ELSE i.y0 - c.y1 END AS gap
+  FROM c JOIN i ON c.page = i.page AND ({_beside.format(a="c.", b="i.")} OR {_beside.format(a="i.", b="c.")})),
+o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY caption_no, mode, gap, (x1 - x0) * (y1 - y0) DESC, image_no) AS k FROM m WHERE mode IS NOT NULL),
+w AS (
+  SELECT DISTINCT page, 0::bigint AS k, -1 AS caption_no, -1 AS image_no, -1 AS mode, false AS took, -1 AS served, []::struct(a double, b double, c double, d double)[] AS used FROM o
+  UNION ALL
+  SELECT page, k, caption_no, image_no, mode, took, CASE WHEN took THEN caption_no ELSE served END, CASE WHEN took THEN list_append(used, {{'a': x0, 'b': y0, 'c': x1, 'd': y1}}) ELSE used END FROM (
+    SELECT o.*, w.served, w.used, o.caption_no <> w.served AND len(list_filter(w.used, lambda u: least(u.c, o.x1) > greatest(u.a, o.x0) AND least(u.d, o.y1) > greatest(u.b, o.y0)
+      AND (least(u.c, o.x1) - greatest(u.a, o.x0)) * (least(u.d, o.y1) - greatest(u.b, o.y0)) > 0.55::double * least((u.c - u.a) * (u.d - u.b), (o.x1 - o.x0) * (o.y1 - o.y0)))) = 0 AS took FROM w JOIN o ON o.page = w.page AND o.k = w.k + 1)
+)
+SELECT page, caption_no, image_no, mode FROM w WHERE took""")
 def caption_images(spark, d):
     """Odd lines of an order as captions, even lines as images, assigned page by page."""
     captions = _view(spark, d, _boxes.format(no="caption_no", shift="50", tall="12", where="l_linenumber % 2 = 1"), "lineitem")
