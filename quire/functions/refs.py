@@ -40,16 +40,14 @@ def scholar_url(text: Column) -> Column:
 
 def expand_numbers(token: Column) -> Column:
     """`1-3,5` as [1, 2, 3, 5], in order, without repeats and impossible parts."""
-    parts = F.split(token, r"\s*,\s*")
+    ends = F.transform(F.split(token, ","), lambda part: F.transform(F.split(part, "[-–—]"), lambda x: x.try_cast("int")))
 
-    def numbers(part):
-        first = F.regexp_extract(part, r"^\s*(\d{1,9})", 1).try_cast("int")
-        last = F.regexp_extract(part, r"^\s*\d+\s*[-–—]\s*(\d{1,9})\s*$", 1).try_cast("int")
-        single = part.rlike(r"^\s*\d+\s*$")
-        span = F.when((last >= first) & (last - first <= WIDEST_RANGE), F.sequence(first, last))
-        return F.when(single, F.array(first)).otherwise(F.coalesce(span, F.array().cast("array<int>")))
+    def numbers(e):
+        first, last = F.get(e, F.lit(0)), F.get(e, F.lit(1))
+        span = F.when((F.size(e) == 2) & (last >= first) & (last - first <= WIDEST_RANGE), F.sequence(first, last))
+        return F.when(F.size(e) == 1, e).otherwise(F.coalesce(span, F.array().cast("array<int>")))
 
-    return F.array_distinct(F.filter(F.flatten(F.transform(parts, numbers)), lambda n: (n >= 1) & (n <= LARGEST_NUMBER)))
+    return F.array_distinct(F.filter(F.flatten(F.transform(ends, numbers)), lambda n: (n >= 1) & (n <= LARGEST_NUMBER)))
 
 
 def cite_numbers(text: Column) -> Column:
@@ -67,17 +65,20 @@ def figure_key(label: Column) -> Column:
     return F.when((kind != "") & (number != ""), F.concat_ws(":", kind, number))
 
 
-def figure_refs(text: Column) -> Column:
-    """Labels of figures, schemes and tables that a text mentions, first of each key, in order."""
-    labels = F.transform(F.regexp_extract_all(strip_tags(text), F.lit(FIGURE), F.lit(1)), squeeze)
-    keyed = F.transform(labels, lambda x: F.struct(figure_key(x).alias("key"), x.alias("label")))
-    fresh = F.filter(keyed, lambda x: x["key"].isNotNull())
-    first = F.aggregate(
-        fresh,
+def figure_mentions(text: Column) -> Column:
+    """(key, label) of figures, schemes and tables that a text mentions, first of each key, in order."""
+    labels = F.regexp_extract_all(strip_tags(text), F.lit(FIGURE), F.lit(1))
+    keyed = F.transform(labels, lambda x: F.struct(F.lower(F.regexp_replace(x, r"(?i)^(Fig|Scheme|Table)[a-z]*\.?\s*", "$1:")).alias("key"), squeeze(x).alias("label")))
+    return F.aggregate(
+        keyed,
         F.array().cast("array<struct<key:string,label:string>>"),
         lambda seen, x: F.when(F.exists(seen, lambda y: y["key"] == x["key"]), seen).otherwise(F.concat(seen, F.array(x))),
     )
-    return F.transform(first, lambda x: x["label"])
+
+
+def figure_refs(text: Column) -> Column:
+    """Labels of figures, schemes and tables that a text mentions, first of each key, in order."""
+    return F.transform(figure_mentions(text), lambda x: x["label"])
 
 
 def caption_key(caption: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.refs import caption_key, cite_numbers, doi, figure_key, figure_refs
+from quire.functions.refs import caption_key, cite_numbers, doi, figure_mentions
 from quire.functions.text import squeeze
 
 # How a reference list starts, ends and numbers its entries.
@@ -52,5 +52,5 @@ def cite_hints(sentences: DataFrame, references: DataFrame, id_col: str, keys: l
 def figure_hints(sentences: DataFrame, figures: DataFrame, id_col: str, keys: list[str], text: str = "text", ord_col: str = "ord", caption: str = "caption") -> DataFrame:
     """(id, keys, place, ref, figure): the first figure of each mentioned label; labels without one go."""
     known = figures.withColumn("key", caption_key(F.col(caption))).where("key is not null").groupBy(id_col, "key").agg(F.min(ord_col).alias("figure"))
-    mentions = sentences.select(id_col, *keys, F.posexplode(figure_refs(F.col(text))).alias("place", "ref")).withColumn("key", figure_key(F.col("ref")))
+    mentions = sentences.select(id_col, *keys, F.posexplode(figure_mentions(F.col(text))).alias("place", "m")).select(id_col, *keys, "place", F.col("m.label").alias("ref"), "m.key")
     return mentions.join(known, [id_col, "key"]).select(id_col, *keys, "place", "ref", "figure")
