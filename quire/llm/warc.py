@@ -9,8 +9,8 @@ bounded size and gzip-compressed as whole files.
 
 Reading: every archive is parsed by its records' own lengths. Its captures, sorted by (URL key,
 timestamp, page id), form one run, written to the shared folder. Runs are dealt out by key range, and each
-range merges its run segments with a k-way loser tree, so that ranges in order hold one globally ordered
-capture history. There are as many ranges as RANGE_ROWS asks for, so a task holds about so many captures
+range merges its run segments, held as columns and read row by row, with a k-way loser tree, so that ranges
+in order hold one globally ordered capture history. There are as many ranges as RANGE_ROWS asks for, so a task holds about so many captures
 at any size, never all of a host.
 
 Defined cases: a null payload is empty; a null URL has an empty URL key; repeated rows share their type
@@ -196,19 +196,29 @@ class LoserTree:
             self.tree[0] = w
 
 
+def _rows_of(slices: list[pa.RecordBatch], some: int = 256):
+    """The rows of a run segment as tuples behind their sort keys, made as they are taken."""
+    for b in slices:
+        for at in range(0, b.num_rows, some):
+            for row in zip(*[c.to_pylist() for c in b.slice(at, some).columns]):
+                yield (*row[2:5], *row)
+
+
 def _merge(batches):
     from pyspark import TaskContext
 
-    part, segments = TaskContext.get().partitionId(), []
-    last = None
+    part, segments, last = TaskContext.get().partitionId(), [], None
     for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns]):
-            if row[0] != last:
-                last = row[0]
-                segments.append([])
-            segments[-1].append((*row[2:5], *row))
+        runs = b.column(0).to_pylist()
+        cuts = [0, *(k for k in range(1, len(runs)) if runs[k] != runs[k - 1]), len(runs)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if start < end:
+                if runs[start] != last:
+                    last = runs[start]
+                    segments.append([])
+                segments[-1].append(b.slice(start, end - start))
     names = ["part", "position", *RUN.names]
-    merged, position = iter(LoserTree(segments)), 0
+    merged, position = iter(LoserTree([_rows_of(s) for s in segments])), 0
     while rows := list(islice(merged, 10_000)):
         cols = list(zip(*[r[3:] for r in rows]))
         yield pa.record_batch([pa.array([part] * len(rows), pa.int32()), pa.array(range(position, position + len(rows)), pa.int64()), *[pa.array(c, f.type) for c, f in zip(cols, RUN, strict=True)]], names=names)
