@@ -87,6 +87,23 @@ def write_throttle(spark, d):
     return usage.throttled(updates, ["user_id"], "event_id", "percent", "stage")
 
 
+_push = "c.always OR c.stage <> w.last_s OR c.percent - CASE WHEN w.last_p = 0 THEN -1 ELSE w.last_p END >= 1"
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT user_id, event_id, (event_id * 7 + user_id) % 23 // 6 AS percent, CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'view' END AS stage, event_id % 9 = 0 AS always, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w AS (
+  SELECT user_id, event_id, i, true AS pushed, percent AS last_p, stage AS last_s FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.user_id, c.event_id, c.i, {_push}, CASE WHEN {_push} THEN c.percent ELSE w.last_p END, CASE WHEN {_push} THEN c.stage ELSE w.last_s END FROM w JOIN c ON c.user_id = w.user_id AND c.i = w.i + 1
+)
+SELECT user_id, event_id, pushed FROM w""")
+def job_pushes(spark, d):
+    """Forced and terminal updates among the throttled ones."""
+    updates = table(spark, d, "events").select("user_id", "event_id", F.expr("(event_id * 7 + user_id) % 23 div 6").alias("percent"), F.expr("CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'view' END").alias("stage"), (F.col("event_id") % 9 == 0).alias("always"))
+    return usage.throttled(updates, ["user_id"], "event_id", "percent", "stage", always="always").select("user_id", "event_id", "pushed")
+
+
 _badge = "SELECT {0}::bigint AS seen, count(*) FILTER (CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id END > {0}) AS unseen FROM events"
 
 
