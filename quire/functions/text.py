@@ -53,7 +53,7 @@ def title_key(title: Column) -> Column:
     far = raw.rlike("[^\u0000-\u007f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
     folded = F.when(far, folded_forms(F.when(far, raw))).otherwise(latin)
     bare = F.regexp_replace(folded, r"^\s*title\s*:\s*", "")
-    return squeeze(F.regexp_replace(bare, r"[^\p{L}\p{N}_\s]+", " "))
+    return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}_]+", " "))
 
 
 def caption(text: Column, limit: int = 8000) -> Column:

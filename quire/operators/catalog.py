@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.grams import anchored
+from quire.sources.scratch import settled
 
 # Status ranks of invites; lengths that make a title key usable; sizes of stores.
 INVITE_RANK = {"redeemed": 4, "revoked": 3, "expired": 2, "open": 1}
@@ -97,15 +98,17 @@ def match_titles(docs: DataFrame, catalog: DataFrame, doc: str = "doc_id") -> Da
     docs has (doc, head, source), heads being title keys; catalog has (id, pos, title_key, source). A head that
     contains a key of at least 24 characters has the anchor of the key's first 24 among its own, one place in
     seven or so, with the same characters around it. So narrow rows meet by an equi-join on anchors, the 24
-    characters are compared inside the join, and what is left is verified on the whole head.
+    characters are compared inside the join, and what is left is verified on the whole head. Heads and keys are
+    written first, as they are read twice and making them is the dear part.
     """
-    heads = docs.where(F.length("head") >= LEAST_KEY)
-    places = anchored(heads.select(doc, "source", "head"), "head", LEAST_KEY, LEAD_GRAM)
-    usable = catalog.where(F.length("title_key") >= LEAST_KEY).select("id", "pos", "source", "title_key")
+    heads = settled(docs.select(doc, "source", "head"), "heads")
+    places = anchored(heads, "head", LEAST_KEY, LEAD_GRAM)
+    usable = settled(catalog.select("id", "pos", "source", "title_key"), "keys")
     keys = anchored(usable.withColumn("lead", F.col("title_key")), "lead", LEAST_KEY, LEAD_GRAM, first=True)
     keys = keys.select("id", "pos", "source", "title_key", "anchor", F.col("at").alias("before"), F.substring("title_key", 1, LEAST_KEY).alias("lead"))
     same = (F.col("at") >= F.col("before")) & (F.substr("near", F.col("at") - F.col("before") + 1, F.lit(LEAST_KEY)) == F.col("lead"))
-    candidates = places.join(keys, ["anchor", "source"]).where(same).select(doc, "id", "pos", "title_key").distinct().join(heads.select(doc, "head"), doc)
+    # Rows of places are many times what the optimizer takes them for.
+    candidates = places.hint("merge").join(keys, ["anchor", "source"]).where(same).select(doc, "id", "pos", "title_key").distinct().join(heads.select(doc, "head"), doc)
     found = candidates.where(F.contains("head", "title_key"))
     return _first(found, [doc], [F.desc(F.length("title_key")), "pos"]).select(doc, "id", "title_key")
 
