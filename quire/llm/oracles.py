@@ -246,4 +246,28 @@ SELECT part, filter_order, step::int AS step, coalesce(kept, 0)::bigint AS kept,
 FROM sums
 """
 
-SQL: dict[str, str] = {"op3_quality_rules": OP3, "op5_interleave": OP5, "op6_pivot_search": OP6, "op8_warc": OP8, "op10_preferences": OP10, "op11_merkle": OP11, "op12_filter_audit": OP12}
+OP13 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, strlen(h) // 2 - 99)) AS i FROM d)
+), f AS (
+  SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1
+), s AS (
+  SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, -1) AS starts FROM f
+), r AS (
+  SELECT doc_id, n, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(starts::int) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM s) GROUP BY ALL
+), k AS (
+  SELECT doc_id, n, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY n) AS p, a FROM r
+  UNION ALL
+  SELECT doc_id, max(n) + 1, max(b), NULL FROM r GROUP BY doc_id
+), t AS (
+  SELECT k.doc_id, string_agg(substr(h, 2 * p + 1, CASE WHEN a IS NULL THEN strlen(h) ELSE 2 * (a - p) END), '' ORDER BY n) AS kept FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id
+), e AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, strlen(h) // 2 AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN e ON d.doc_id = e.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+SQL: dict[str, str] = {"op3_quality_rules": OP3, "op5_interleave": OP5, "op6_pivot_search": OP6, "op8_warc": OP8, "op10_preferences": OP10, "op11_merkle": OP11, "op12_filter_audit": OP12, "op13_suffix_dedup": OP13}
