@@ -91,14 +91,14 @@ _key_sql = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(tri
 
 @query(f"""
 WITH h AS (SELECT doc_id, lang AS source, {_key_sql.format("substr(coalesce(text, ''), 1, 14000)")} AS head FROM documents),
- c AS (SELECT doc_id AS pos, 'p' || doc_id AS id, lang AS source, {_key_sql.format("substr(coalesce(text, ''), 1, 24 + (doc_id % 40)::int)")} AS title_key FROM documents),
+ c AS (SELECT doc_id AS pos, 'p' || doc_id AS id, lang AS source, {_key_sql.format("split_part(coalesce(text, ''), chr(10), 1)")} AS title_key FROM documents),
  m AS (SELECT h.doc_id, c.id, c.title_key, row_number() OVER (PARTITION BY h.doc_id ORDER BY length(c.title_key) DESC, c.pos) AS k
        FROM h JOIN c ON h.source = c.source AND length(c.title_key) >= 24 AND length(h.head) >= 24 AND contains(h.head, c.title_key))
 SELECT doc_id, id, title_key FROM m WHERE k = 1""")
 def title_match(spark, d):
     docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     heads = docs.select("doc_id", F.col("lang").alias("source"), title_key(F.substring("text", 1, catalog.HEAD_CHARS)).alias("head"))
-    keys = docs.select(F.col("doc_id").alias("pos"), F.expr("'p' || doc_id").alias("id"), F.col("lang").alias("source"), title_key(F.expr("substring(text, 1, 24 + CAST(doc_id % 40 AS INT))")).alias("title_key"))
+    keys = docs.select(F.col("doc_id").alias("pos"), F.expr("'p' || doc_id").alias("id"), F.col("lang").alias("source"), title_key(F.split("text", "\n")[0]).alias("title_key"))
     return catalog.match_titles(heads, keys)
 
 

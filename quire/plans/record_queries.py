@@ -125,7 +125,7 @@ def text_chunks(spark, d):
  SELECT doc_id, units + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS units FROM u""")
 def work_units(spark, d):
     rows = sentences(spark, d).withColumn("section", F.expr("CASE WHEN ord % 9 = 0 THEN 'title' WHEN ord % 2 = 0 THEN 'body' ELSE 'results' END"))
-    captions = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("Fig. 1").alias("caption"))
+    captions = table(spark, d, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 2 = 0 THEN 'Fig. 1' ELSE ' <i></i> ' END").alias("caption"))
     return enrich.work_units(rows, captions)
 
 

@@ -115,15 +115,16 @@ def bibliography(spark, d):
     return parse(table(spark, d, "part").select("p_partkey", F.expr(_listed).alias("text")), "p_partkey")
 
 
-@query(_cited + """, refs AS (SELECT d.doc_id, b.item_id + 1 AS n, substr(b.text, 1, 2000) AS reference FROM documents d JOIN benchmark b ON b.item_id % 3 = d.doc_id % 3)
+@query(_cited + """, refs AS (SELECT d.doc_id, n, reference FROM documents d JOIN (SELECT item_id % 3 AS list, 1 + item_id % 30 AS n, substr(trim(arg_max(text, item_id)), 1, 2000) AS reference FROM benchmark WHERE length(trim(text)) >= 3 GROUP BY ALL) b ON b.list = d.doc_id % 3)
  SELECT c.doc_id, ord::int AS ord, place::int AS place, c.n::bigint AS n, reference FROM cites c JOIN refs r ON c.doc_id = r.doc_id AND c.n = r.n""")
 def cite_hints(spark, d):
     from quire.operators.links import cite_hints as link
+    from quire.operators.links import normalize_references
 
-    # Every document lists a third of all items; only those that its sentences cite are joined to it.
-    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 2000).alias("text"), (F.col("item_id") % 3).alias("list"))
-    known = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3).alias("list"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("item_id")).join(items, ["list", "item_id"])
-    references = known.select("doc_id", (F.col("item_id") + 1).alias("n"), "text", F.lit(None).cast("string").alias("doi"))
+    # All items are entries of three lists, with thirty numbers between them; of one number the latest item counts.
+    items = table(spark, d, "benchmark").select((F.col("item_id") % 3).alias("list"), (-F.col("item_id")).alias("pos"), (1 + F.col("item_id") % 30).alias("n"), "text")
+    lists = normalize_references(items, "list", "pos")
+    references = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3).alias("list")).join(lists, "list").drop("list")
     return link(citing(spark, d), references, "doc_id", ["ord"]).drop("doi")
 
 
