@@ -52,7 +52,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word similarity of 0.8 or more, verified."""
+    """One document of each group of near copies: fingerprint classes and bands, five-word similarity of 0.8 or more, verified."""
     return keep_unlike(docs)
 
 

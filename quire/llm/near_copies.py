@@ -1,10 +1,13 @@
-"""One document of each group of near copies: five-word shingles, min-hash bands, exact verification.
+"""One document of each group of near copies: five-word shingles, SimHash classes, min-hash bands, exact verification.
 
 The shingle set of a text is the set of XXH64 hashes of its five-word windows (a shorter text is one
 shingle, a blank one has none). Two texts are near copies when the Jaccard similarity of their sets is at
-least 0.8. Rows with equal sets collapse first. Candidates share one of 20 bands of five min-hashes: a pair
-at 0.8 is missed with odds (1 - 0.8^5)^20, 0.04 %. Every candidate is verified on the whole sets, so no row
-is dropped on a sketch alone.
+least 0.8. Rows with equal sets collapse first. Candidates share a bucket. The first buckets are the
+classes of op9's operator: SimHash fingerprints, here majorities over the hashes of the set, linked within 3
+bits through correlated bit groups and joined to components, so two fingerprints within 3 bits always meet.
+Fingerprints of texts at 0.8 differ in about 10 bits, which no affordable radius reaches; what they miss meets
+in one of 20 bands of five min-hashes: a pair at 0.8 is missed by these with odds (1 - 0.8^5)^20, 0.04 %. Every
+candidate is verified on the whole sets, so no row is dropped on a sketch alone.
 
 Each bucket is first compared with its centre, the node whose bands are shared most (in a group of edited
 copies the least edited one), so a large group of close copies costs its size. What the stars leave in different groups is bounded before it is compared. Only shingles that occur in
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm._shared import bound_batches, keep_keys, materialise, spare_name, ticked
-from quire.llm.simhash import SEED, components
+from quire.llm.simhash import SEED, components, fingerprint_classes, majority
 
 SHINGLE = 5
 BANDS, ROWS = 20, 5
@@ -71,8 +74,9 @@ def _sketches(batches):
 
     for b in batches:
         sets = [shingle_set(t) for t in b.column(2).to_pylist()]
-        columns = [pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_values(s) for s in sets], pa.list_(pa.int64()))]
-        yield pa.record_batch([b.column(0), b.column(1), *columns], names=["key", "id", "digest", "n", "bands"])
+        prints = np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64)
+        columns = [pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.array([band_values(s) for s in sets], pa.list_(pa.int64()))]
+        yield pa.record_batch([b.column(0), b.column(1), *columns], names=["key", "id", "digest", "n", "fp", "bands"])
 
 
 def _sets(batches):
@@ -140,8 +144,10 @@ def _pairs_left(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_links(nodes: DataFrame, sets_of) -> DataFrame:
-    """(a, b) verified near copies that connect every group; nodes is (node, n, bands)."""
-    buckets = nodes.select("node", "n", F.explode("bands").alias("v"))
+    """(a, b) verified near copies that connect every group; nodes is (node, n, fp, bands)."""
+    some = nodes.where("n > 0")  # a text without shingles resembles no other
+    classes = fingerprint_classes(some.select("node", "n", "fp")).select("node", "n", F.col("root").alias("v"))
+    buckets = classes.unionByName(some.select("node", "n", F.explode("bands").alias("v")))
     sizes = buckets.groupBy("v").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
     crowded = materialise(buckets.join(sizes.hint("merge"), "v"), "crowded")
     known = crowded.join(crowded.groupBy("node").agg(F.sum("of").alias("fame")).hint("merge"), "node")
@@ -162,14 +168,14 @@ def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = keyed.select(ticked(key).alias("key"), ticked(id_col).alias("id"), ticked(text_col).cast("string").alias("text"))
-    rows = narrow.mapInArrow(_sketches, f"key long, id {kind}, digest binary, n long, bands array<long>")
+    rows = narrow.mapInArrow(_sketches, f"key long, id {kind}, digest binary, n long, fp long, bands array<long>")
     head = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key"))
-    nodes = rows.groupBy("digest").agg(F.min("key").alias("node"), head.alias("head"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    nodes = rows.groupBy("digest").agg(F.min("key").alias("node"), head.alias("head"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
     nodes = materialise(nodes.drop("digest"), "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         return keep_keys(narrow, "key", wanted.withColumnRenamed("node", "key")).select("key", "text").mapInArrow(_sets, "node long, s array<long>")
 
-    links = near_links(nodes.select("node", "n", "bands"), sets_of)
+    links = near_links(nodes.select("node", "n", "fp", "bands"), sets_of)
     kept = _rooted(nodes.select("node", "head"), links).groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.key").alias("key"))
     return keep_keys(keyed, key, kept).drop(key)

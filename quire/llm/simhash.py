@@ -43,7 +43,11 @@ def fingerprint_of(text: str | None) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit number of the bits that are set in over half the hashes."""
     set_in = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(set_in * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -234,6 +238,12 @@ def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
     return distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
+def fingerprint_classes(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """nodes, which has the fingerprint fp, with the root fingerprint of each one's class; equal fingerprints collapse first."""
+    distinct = materialise(nodes.select("fp").distinct(), "distinct")
+    return nodes.join(_rooted(distinct, radius).hint("merge"), "fp")
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """(id, fp, component): one row per row of docs; component is the smallest id of its class."""
     rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
