@@ -12,7 +12,7 @@ RECORD = r'(\{\s*"text"\s*:\s*"(?:\\.|[^"\\])*"\s*,\s*"section"\s*:\s*"[A-Za-z_]
 
 def strip(text: Column) -> Column:
     """text without white space at its ends, line breaks included."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def unfenced(text: Column) -> Column:
@@ -21,8 +21,8 @@ def unfenced(text: Column) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The JSON text from the first brace to the last; null without one."""
-    found = F.regexp_extract(unfenced(text), r"(?s)(\{.*\})", 1)
+    """The JSON text from the first brace to the last, fences being outside them; null without one."""
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\{.*\})", 1)
     return F.when(found != "", found)
 
 

@@ -90,12 +90,16 @@ def stored_references(spark, d):
 @query("""WITH s AS (SELECT p_partkey, p_size, unnest(range(0, p_size)) AS k FROM part)
 SELECT p_partkey, count(*) FILTER (k < 40 AND k % 5 > 0) AS symbols, count(*) FILTER (k < 40 AND k % 5 > 0 AND k % 2 = 0) AS noted, coalesce(max(length(p_partkey::varchar || repeat('s', k::int * 5))) FILTER (k < 40 AND k % 5 > 0), 0)::int AS raw_chars, least(coalesce(max(length(p_partkey::varchar || repeat('s', k::int * 5))) FILTER (k < 40 AND k % 5 > 0), 0), 120)::int AS kept_chars FROM s GROUP BY ALL""")
 def survey_symbols(spark, d):
-    item = "concat('{\"raw\":\"', p_partkey, repeat('s', CAST(k * 5 AS INT)), '\",\"rich\":\"', CASE WHEN k % 5 > 0 THEN '<i>s</i>' ELSE ' ' END, '\"', CASE WHEN k % 2 = 0 THEN ',\"note\":\"n\"' ELSE '' END, '}')"
-    p = table(spark, d, "part").where("p_size > 0").select("p_partkey", F.expr(f"transform(sequence(0, CAST(p_size AS INT) - 1), k -> {item})").alias("items"))
-    found = records.survey_answer(F.concat(F.lit('{"symbols":['), F.array_join("items", ","), F.lit("]}")))["symbols"]
-    longest = lambda c: F.coalesce(F.array_max(F.transform(c, lambda s: F.length(s["raw"]))), F.lit(0))
-    raw = F.filter(F.transform(F.slice("items", 1, 40), lambda x, k: F.struct(F.length(F.get_json_object(x, "$.raw")).alias("n"), (k % 5 > 0).alias("ok"))), lambda x: x["ok"])
-    return p.select("p_partkey", F.size(found).cast("long").alias("symbols"), F.size(F.filter(found, lambda s: s["note"].isNotNull())).cast("long").alias("noted"), F.coalesce(F.array_max(F.transform(raw, lambda x: x["n"])), F.lit(0)).alias("raw_chars"), longest(found).alias("kept_chars"))
+    # A few rows of part make many symbols: they are dealt out first. Each step that is read twice is a column of its own.
+    dealt = table(spark, d, "part").where("p_size > 0").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    p = dealt.select("p_partkey", F.expr("transform(sequence(0, CAST(p_size AS INT) - 1), k -> concat(p_partkey, repeat('s', CAST(k * 5 AS INT))))").alias("raws"))
+    item = "concat('{\"raw\":\"', r, '\",\"rich\":\"', CASE WHEN k % 5 > 0 THEN '<i>s</i>' ELSE ' ' END, '\"', CASE WHEN k % 2 = 0 THEN ',\"note\":\"n\"' ELSE '' END, '}')"
+    answer = F.concat(F.lit('{"symbols":['), F.array_join(F.expr(f"transform(raws, (r, k) -> {item})"), ","), F.lit("]}"))
+    found = p.select("p_partkey", "raws", records.survey_answer(answer)["symbols"].alias("found"))
+    raw = F.transform(F.slice("raws", 1, 40), lambda x, k: F.when(k % 5 > 0, F.length(x)))
+    kept = F.transform("found", lambda s: F.length(s["raw"]))
+    noted = F.filter("found", lambda s: s["note"].isNotNull())
+    return found.select("p_partkey", F.size("found").cast("long").alias("symbols"), F.size(noted).cast("long").alias("noted"), F.coalesce(F.array_max(raw), F.lit(0)).alias("raw_chars"), F.coalesce(F.array_max(kept), F.lit(0)).alias("kept_chars"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE CASE WHEN length('{"a":' || p_partkey || ',"b":"' || p_name || '"}') <= 30 THEN p_partkey END END AS a FROM part""")
