@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.grams import anchored
+from quire.functions.grams import anchored, sieve
 from quire.sources.scratch import settled
 
 # Status ranks of invites; lengths that make a title key usable; sizes of stores.
@@ -99,16 +99,20 @@ def match_titles(docs: DataFrame, catalog: DataFrame, doc: str = "doc_id") -> Da
     contains a key of at least 24 characters has the anchor of the key's first 24 among its own, one place in
     seven or so, with the same characters around it. So narrow rows meet by an equi-join on anchors, the 24
     characters are compared inside the join, and what is left is verified on the whole head. Heads and keys are
-    written first, as they are read twice and making them is the dear part.
+    written first, as they are read twice and making them is the dear part. Of equal keys only the earliest entry
+    can be an answer. Places whose anchor no key has are sieved out where they are found: of all places, which are
+    several times the text, few are shuffled.
     """
     heads = settled(docs.select(doc, "source", "head"), "heads")
-    places = anchored(heads, "head", LEAST_KEY, LEAD_GRAM)
-    usable = settled(catalog.select("id", "pos", "source", "title_key"), "keys")
-    keys = anchored(usable.withColumn("lead", F.col("title_key")), "lead", LEAST_KEY, LEAD_GRAM, first=True)
-    keys = keys.select("id", "pos", "source", "title_key", "anchor", F.col("at").alias("before"), F.substring("title_key", 1, LEAST_KEY).alias("lead"))
+    once = catalog.groupBy("source", "title_key").agg(F.min(F.struct("pos", "id")).alias("_e")).select("_e.id", "_e.pos", "source", "title_key")
+    keys = settled(anchored(once.withColumn("lead", F.col("title_key")), "lead", LEAST_KEY, LEAD_GRAM, first=True), "keys")
+    places = anchored(heads, "head", LEAST_KEY, LEAD_GRAM, among=sieve(keys.select("anchor"), keys.count()))
+    keys = keys.select("id", "pos", "source", "title_key", "anchor", F.col("at").alias("before"), F.substring("title_key", 1, LEAST_KEY).alias("lead"), F.col("rest").alias("need"), F.col("marks").alias("wanted"))
     same = (F.col("at") >= F.col("before")) & (F.substr("near", F.col("at") - F.col("before") + 1, F.lit(LEAST_KEY)) == F.col("lead"))
+    # Keys that run on differently, as those of near copies do, are told apart by a hash before they meet whole heads.
+    same &= (F.col("need") <= F.col("rest")) & ((F.size("wanted") == 0) | (F.try_element_at("wanted", F.lit(-1)) == F.try_element_at("marks", F.size("wanted"))))
     # Rows of places are many times what the optimizer takes them for.
-    candidates = places.hint("merge").join(keys, ["anchor", "source"]).where(same).select(doc, "id", "pos", "title_key").distinct().join(heads.select(doc, "head"), doc)
+    candidates = places.hint("merge").join(keys, ["anchor", "source"]).where(same).select(doc, "id", "pos", "title_key").join(heads.select(doc, "head"), doc)
     found = candidates.where(F.contains("head", "title_key"))
     return _first(found, [doc], [F.desc(F.length("title_key")), "pos"]).select(doc, "id", "title_key")
 
