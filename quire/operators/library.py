@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import title_key
@@ -116,14 +118,19 @@ def sync_plan(local: DataFrame, remote: DataFrame, local_index: DataFrame, remot
     what the giving store lacks or may not give is deleted.
     """
     fit = lambda df: safe_name(F.col("name")) & F.col("bytes").between(1, _room(F.col("name")))
-    side = lambda df, p: df.where("id IS NOT NULL AND name IS NOT NULL").groupBy("id", "name").agg(F.max(F.struct("digest", fit(df).alias("fit"))).alias(p))
-    a, b = side(local, "l"), side(remote, "r")
-    has = lambda df, p: df.where((F.col("name") == "session.json") & F.col(f"{p}.fit")).select("id", F.lit(True).alias(f"has_{p}"))
-    stamp = lambda df, p: df.groupBy("id").agg(F.max("updated_at").alias(f"at_{p}"))
-    bundles = has(a, "l").join(has(b, "r"), "id", "full_outer").join(stamp(local_index, "l"), "id", "left").join(stamp(remote_index, "r"), "id", "left")
-    l, r = F.coalesce("at_l", F.lit("")), F.coalesce("at_r", F.lit(""))
-    direction = F.when(F.col("has_r").isNull() | (F.col("has_l").isNotNull() & (l > r)), "up").when(F.col("has_l").isNull() | (r > l), "down")
-    files = a.join(b, ["id", "name"], "full_outer").join(bundles.select("id", direction.alias("direction")).where("direction IS NOT NULL"), "id")
+    sides = (("l", local, local_index), ("r", remote, remote_index))
+    listed = [df.select("id", "name", "digest", F.lit(p).alias("side"), fit(df).alias("fit"), F.lit(None).alias("at")).where("name IS NOT NULL") for p, df, _ in sides]
+    stamped = [ix.select("id", F.lit(None).alias("name"), F.lit(None).alias("digest"), F.lit(p).alias("side"), F.lit(False).alias("fit"), F.col("updated_at").alias("at")) for p, _, ix in sides]
+    rows = reduce(DataFrame.unionByName, listed + stamped).where("id IS NOT NULL").repartition("id")
+    # One shuffle by bundle, no join: what a store lists or stamps is a column, and a bundle's update times and sessions are seen from each of its files.
+    of = lambda p, value: F.max(F.when(F.col("side") == p, value))
+    files = rows.groupBy("id", "name").agg(*[of(p, F.when(F.col("name").isNotNull(), F.struct("digest", "fit"))).alias(p) for p in "lr"], *[of(p, F.col("at")).alias(f"at_{p}") for p in "lr"])
+    bundle = Window.partitionBy("id")
+    has_l, has_r = (F.coalesce(F.max((F.col("name") == "session.json") & F.col(f"{p}.fit")).over(bundle), F.lit(False)) for p in "lr")
+    l, r = (F.coalesce(F.max(f"at_{p}").over(bundle), F.lit("")) for p in "lr")
+    seen = files.withColumns({"has_l": has_l, "has_r": has_r, "later_l": l > r, "later_r": r > l}).where("name IS NOT NULL AND (has_l OR has_r)")
+    direction = F.when(~F.col("has_r") | (F.col("has_l") & F.col("later_l")), "up").when(~F.col("has_l") | F.col("later_r"), "down")
+    files = seen.select("id", "name", "l", "r", direction.alias("direction")).where("direction IS NOT NULL")
     give, have = F.when(F.col("direction") == "up", F.col("l")).otherwise(F.col("r")), F.when(F.col("direction") == "up", F.col("r")).otherwise(F.col("l"))
     files = files.withColumn("give", give).withColumn("have", have)
     given = F.coalesce(F.col("give.fit"), F.lit(False))
