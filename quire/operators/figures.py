@@ -65,6 +65,7 @@ def assign(captions: DataFrame, images: DataFrame, page: list[str], tables: bool
     Candidates come from a join bounded by the page, best first; the choice is sequential within a page
     and runs over whole partitions, holding the boxes taken on one page. Images of `after` (page, image_no,
     box) come behind all captions, in their own order: each is taken, without a caption, if nothing covers it.
+    Of candidates alike in all else the box decides, so that the answer is one.
     """
     boxes = ["x0", "y0", "x1", "y1"]
     found = (table_candidates if tables else candidates)(captions, images, page)
@@ -89,7 +90,7 @@ def assign(captions: DataFrame, images: DataFrame, page: list[str], tables: bool
                 keep.append(take)
             yield pdf.loc[keep, [*page, "caption_no", "image_no", "mode"]].astype({"caption_no": "Int64", "mode": "Int32"})
 
-    order = [F.asc_nulls_last("caption_no"), F.asc_nulls_last("mode"), "gap", F.desc("area"), "image_no"]
+    order = [F.asc_nulls_last("caption_no"), F.asc_nulls_last("mode"), "gap", F.desc("area"), "image_no", *boxes]
     return found.repartition(*page).sortWithinPartitions(*page, *order).mapInPandas(choose, kinds)
 
 
