@@ -245,9 +245,10 @@ def upsert_places(spark, d):
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, lag(l_returnflag, 1, 'N') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS old FROM (SELECT l_orderkey, l_linenumber, l_partkey, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL))
 SELECT l_orderkey, (2 + row_number() OVER (PARTITION BY l_orderkey ORDER BY i))::int AS rev, l_linenumber::bigint * 1000000 + l_partkey AS at, l_returnflag AS body FROM e WHERE l_returnflag <> old""")
 def later_revisions(spark, d):
-    edits = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")).alias("at"), F.concat("l_returnflag", F.lit(" ")).alias("body")).groupBy("l_orderkey", "at").agg(F.max("body").alias("body"))
+    # The order is by line, then part; with part keys of a million or more the number shown as `at` does not tell it.
+    edits = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("at"), F.concat("l_returnflag", F.lit(" ")).alias("body")).groupBy("l_orderkey", "at").agg(F.max("body").alias("body"))
     last = edits.select("l_orderkey").distinct().select("l_orderkey", F.lit(2).alias("rev"), F.lit("N").alias("body"))
-    return catalog.text_revisions(edits, ["l_orderkey"], "at", "body", last)
+    return catalog.text_revisions(edits, ["l_orderkey"], "at", "body", last).withColumn("at", F.col("at.l_linenumber").cast("long") * 1000000 + F.col("at.l_partkey"))
 
 
 _caps = "SELECT p_partkey AS page, n AS caption_no, 'table:' || (n % 3) AS caption_key, 10.0::double AS x0, 300.0 * n AS y0, 90.0::double AS x1, 300.0 * n + 10 AS y1 FROM part, (SELECT unnest([0, 1, 2, 3]) AS n)"
