@@ -36,7 +36,7 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
        '(^|[^\n' || chr(57344) || '])\n($|[^\n' || chr(57344) || '])', '\1 \2', 'g'), '[ \t]+', ' ', 'g'), '^[\s' || chr(57344) || ']+|[\s' || chr(57344) || ']+$|' || chr(57344), '', 'g') AS t FROM documents
 """)
 def page_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalize_page(F.col("text")).alias("t"))
+    return table(spark, d, "documents").select("doc_id", text.normalize_page(F.col("text"), once=True).alias("t"))
 
 
 @query(r"""
