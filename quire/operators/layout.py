@@ -20,11 +20,11 @@ def usable_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.where((letters >= 2) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
 
 
-def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
+def reading_order(blocks: DataFrame, page: list[str], once: bool = False) -> DataFrame:
     """(page keys, text, is_multicolumn) from blocks (page keys, block_no, x0, y0, x1, y1, text, page_width).
 
     A page is two columns when its blocks split at the median centre into two sides far enough apart;
-    then the left side comes before the right, each from top to bottom.
+    then the left side comes before the right, each from top to bottom. `once` is that of normalize_page.
     """
     centre = (F.col("x0") + F.col("x1")) / 2
     by_page = Window.partitionBy(*page)
@@ -45,7 +45,7 @@ def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
     two = (F.col("n") >= LEAST_BLOCKS) & (F.col("n_right") >= LEAST_IN_COLUMN) & (F.col("n") - F.col("n_right") >= LEAST_IN_COLUMN) & (F.col("gap") >= F.col("width") * LEAST_GAP)
     side = lambda right: F.array_join(F.transform(F.filter("columns", lambda b: b["right"] == right), lambda b: b["text"]), "\n")
     text = F.when(two, F.concat(side(False), F.lit("\n\n"), side(True))).otherwise(F.array_join(F.transform("flow", lambda b: b["text"]), "\n"))
-    return pages.select(*page, normalize_page(text).alias("text"), F.coalesce(two, F.lit(False)).alias("is_multicolumn"))
+    return pages.select(*page, normalize_page(text, once).alias("text"), F.coalesce(two, F.lit(False)).alias("is_multicolumn"))
 
 
 def join_pages(pages: DataFrame, doc: str, page: str, text: str = "text") -> DataFrame:

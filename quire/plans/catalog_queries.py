@@ -144,7 +144,7 @@ WITH {BLOCKS_SQL}, r AS (SELECT *, (x0 + x1) / 2 AS c, row_number() OVER (PARTIT
 SELECT doc_id, page, is_multicolumn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '(\n\n+)', chr(57344) || '\1' || chr(57344), 'g'),
        '(^|[^\n' || chr(57344) || '])\n($|[^\n' || chr(57344) || '])', '\1 \2', 'g'), '[ \t]+', ' ', 'g'), '^[\s' || chr(57344) || ']+|[\s' || chr(57344) || ']+$|' || chr(57344), '', 'g') AS text FROM t""")
 def reading_order(spark, d):
-    return layout.reading_order(blocks(spark, d), ["doc_id", "page"])
+    return layout.reading_order(blocks(spark, d), ["doc_id", "page"], once=True)
 
 
 _words = "SELECT l_orderkey AS page, (l_linenumber * 40.0 + l_quantity) AS x0, (l_linenumber % 3) * 20.0 AS y0, (l_linenumber * 40.0 + l_quantity + 12 + round(l_discount * 100)) AS x1, (l_linenumber % 3) * 20.0 + 8 AS y1, l_returnflag || l_linenumber AS word FROM {lineitem}"
