@@ -167,11 +167,13 @@ def library_list(entries: DataFrame, current: str) -> DataFrame:
     return shown.orderBy(F.desc("updated_at"), "id")
 
 
-def merge_stamp_stores(rows: DataFrame, key: str = "uid", keep: int = 40, users: int = 4000, over: int = 5000) -> DataFrame:
-    """(uid, stamps) from rows (uid, t): distinct stamps in order, the last `keep`; of too many users the newest."""
+def merge_stamp_stores(rows: DataFrame, key: str = "uid", keep: int = 40, users: int | None = 4000, over: int = 5000) -> DataFrame:
+    """(uid, stamps) from rows (uid, t): distinct stamps in order, the last `keep`; of too many users the newest, or all if users is None."""
     newest = Window.partitionBy(key).orderBy(F.desc("t"))
     last = rows.select(key, "t").distinct().withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= keep)
     stores = last.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("stamps"))
+    if users is None:
+        return stores
     # One row more than allowed tells whether only the newest users stay; nothing beyond it is gathered.
     top = stores.orderBy(F.element_at("stamps", -1).desc(), key).limit(over + 1)
     place = F.row_number().over(Window.orderBy(F.element_at("stamps", -1).desc(), key))
