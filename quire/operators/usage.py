@@ -109,11 +109,11 @@ def limited(calls: DataFrame, limits: dict[str, tuple[int, int, bool]] = LIMITS)
     return named.repartition("uid", "action").sortWithinPartitions("uid", "action", "at", "tie").mapInPandas(run, LIMITED)
 
 
-def throttled(updates: DataFrame, keys: list[str], order: str, percent: str, stage: str, step: float = 1.0, always: str | None = None) -> DataFrame:
+def throttled(updates: DataFrame, keys: list[str], order: str, percent: str, stage: str, step: float = 1.0, always: str | None = None, zero_is_none: bool = True) -> DataFrame:
     """updates with `pushed`: the first, a new stage, or a gain of `step` percent since the last one pushed.
 
     `always` names a column that is true for updates that are pushed whatever came before: forced or terminal ones.
-    A last percent of 0 counts as none, so an update at 0 follows another.
+    With zero_is_none a last percent of 0 counts as none, so an update at 0 follows another.
     """
     columns = [*keys, order, percent, stage, *([always] if always else [])]
     kinds = ", ".join(f"`{c}` {updates.schema[c].dataType.simpleString()}" for c in columns)
@@ -126,7 +126,7 @@ def throttled(updates: DataFrame, keys: list[str], order: str, percent: str, sta
             for row, force in zip(zip(*[pdf[c] for c in [*keys, percent, stage]]), forced):
                 if row[:-2] != key:
                     key, last = row[:-2], None
-                push = bool(force) or last is None or row[-1] != last[1] or row[-2] - (last[0] or -1) >= step
+                push = bool(force) or last is None or row[-1] != last[1] or row[-2] - (last[0] or (-1 if zero_is_none else 0)) >= step
                 if push:
                     last = row[-2:]
                 out.append(push)
